@@ -134,10 +134,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that exact dedup keeps: one of each text."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    found = exact_dedup(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == F.col("kept_sha"))
     stay = docs.join(kept, same, "left_semi")
-    if kept.count() == stay.count():
+    if found.where("not kept and doc_id <=> keep_id").isEmpty():
         return stay
     # Some rows repeat both id and text: one of them stays.
     return stay.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
