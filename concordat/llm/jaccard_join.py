@@ -38,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concordat.llm.common import map_rows, prepare, utf8
+from concordat.llm import id_filter
+from concordat.llm.common import prepare, utf8
 from concordat.llm.components import connected_components
 from concordat.session import materialize
 
@@ -121,11 +122,15 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return np.minimum(out.reshape(-1), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _tile_rows(nodes: DataFrame, sketch: np.ndarray, params: Params) -> DataFrame:
-    """(token, band, home, id, n, pos, s0, s1): the prefix shingles of each node with its signature."""
-    spark = nodes.sparkSession
+def _tile_rows(texts: DataFrame, reps: DataFrame, copies: np.ndarray, sketch: np.ndarray, params: Params) -> DataFrame:
+    """(token, band, home, id, n, pos, s0, s1): the prefix shingles of each node with its signature.
+
+    Texts of ids that are surely no copies of another row are read in place; only
+    the others move, to meet the table of nodes.
+    """
+    spark = texts.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(sketch)
+    shared, twice = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(copies)
     k, p, q = params.k, params.p, params.q
     schema = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64())])
 
@@ -149,7 +154,17 @@ def _tile_rows(nodes: DataFrame, sketch: np.ndarray, params: Params) -> DataFram
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t.type) for c, t in zip(cols, schema)], schema=schema)
 
-    rows = nodes.mapInArrow(run, "token long, id long, n int, pos int, s0 long, s1 long")
+    def part(maybe_copies: bool):
+        def pick(batches):
+            for b in batches:
+                yield b.filter(pa.array(id_filter.may_hold(twice.value, b.column(0)) == maybe_copies))
+
+        return pick
+
+    kinds = "token long, id long, n int, pos int, s0 long, s1 long"
+    clear = texts.mapInArrow(lambda batches: run(part(False)(batches)), kinds)
+    moved = texts.mapInArrow(part(True), "id long, text string").join(reps, "id", "left_semi")
+    rows = clear.unionByName(moved.mapInArrow(run, kinds))
     band = F.floor(F.log2("n")).cast("int")
     # The least size that may link with a set of n is n p / q: does it fall in the band below?
     below = F.floor(F.log2(F.ceil(F.col("n") * F.lit(p) / F.lit(q)))).cast("int")
@@ -177,10 +192,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, params: Params) -> DataFrame:
     k, p, q = params.k, params.p, params.q
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
-    def start():
-        return lambda b: {"id": b.column(0), "s": [shingle_set(x, k).tobytes() for x in b.column(1).to_pylist()]}
+    need = materialize(need, "need")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter.build(need))
+
+    def cut(batches):
+        """Sets of the rows that may be needed; texts stay where they are."""
+        schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
+        for b in batches:
+            b = b.filter(pa.array(id_filter.may_hold(wanted.value, b.column(0))))
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "s": [shingle_set(x, k).tobytes() for x in b.column(1).to_pylist()]}, schema=schema)
 
-    sets = materialize(map_rows(docs.join(need, "id").select("id", "text"), start, pa.schema([("id", pa.int64()), ("s", pa.binary())]), "id long, s binary"), "sets")
+    sets = materialize(docs.mapInArrow(cut, "id long, s binary").join(need, "id", "left_semi"), "sets")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -214,12 +236,13 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
     member = full.join(reps, ["k1", "k2"]).select("id", "rep")
     sketch = _sketch(made.where("slice is not null"))
     texts = picked.where("id is not null")
-    nodes = texts.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    ids = reps.select(F.col("rep").alias("id")).distinct()
+    copies = id_filter.build(member.where("id <> rep").select("id"))
 
     tile = Window.partitionBy("token", "band")
     me = F.struct(F.xxhash64("id").alias("prio"), "id", "n", "pos", "s0", "s1")
     # A window over the tile, not a collected list: its rows spill.
-    tiles = _tile_rows(nodes, sketch, params).withColumn("size", F.count(F.lit(1)).over(tile)).where("size > 1")
+    tiles = _tile_rows(texts, ids, copies, sketch, params).withColumn("size", F.count(F.lit(1)).over(tile)).where("size > 1")
     tiles = materialize(tiles.withColumn("pivot", F.min(me).over(tile)), "tiles")
     first = (
         tiles.where(F.col("id") != F.col("pivot.id")).where(_may_link(_columns(), _columns("pivot."), params))
@@ -240,6 +263,8 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
         .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     )
     rest = materialize(rest, "pairs")
+    # What is connected already goes on as one edge a node.
+    links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, params))
     parts = connected_components(links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()))
