@@ -7,7 +7,7 @@ that the parts of a huge text may be hashed apart. Rows with equal fingerprint
 and length are then compared chunk by chunk with the row that would stay; rows
 that differ (a collision) form groups of their own in a further round.
 
-Null text counts as empty. Of equal texts the row with the largest ``doc_id``
+Rows without an id are compared by fingerprint only. Null text counts as empty. Of equal texts the row with the largest ``doc_id``
 stays (a null doc_id is below all others); of rows that also repeat the doc_id,
 one stays. Only ``doc_id`` and ``text`` are read, so further columns of any
 name do no harm. An empty table gives an empty result.
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm import id_filter
 from concordat.llm.common import map_rows, sha, utf8
 from concordat.session import materialize
 
@@ -70,8 +71,12 @@ def fingerprinter():
     return fingerprint
 
 
+def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, n_bytes, text_sha256, text of every row."""
+    """doc_id, fp, n_bytes, text_sha256 of every row."""
 
     def start():
         fingerprint = fingerprinter()
@@ -79,27 +84,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def step(b: pa.RecordBatch) -> dict:
             data = [utf8(x) for x in b.column(1).to_pylist()]
             f = [fingerprint(x) for x in data]
-            return {
-                "doc_id": b.column(0), "fp": [x[0] for x in f], "n_bytes": [x[1] for x in f],
-                "text_sha256": [sha(x) for x in data], "text": pa.array(data, pa.binary()).cast(pa.string()),
-            }
+            return {"doc_id": b.column(0), "fp": [x[0] for x in f], "n_bytes": [x[1] for x in f], "text_sha256": [sha(x) for x in data]}
 
         return step
 
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string()), ("text", pa.string())])
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return map_rows(picked, start, schema, "doc_id long, fp long, n_bytes long, text_sha256 string, text string")
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
+    return map_rows(_picked(docs, id_col, text_col), start, schema, "doc_id long, fp long, n_bytes long, text_sha256 string")
 
 
-def _differing(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of ``groups`` (fp, n_bytes, rnd, keep_id) whose text is not that of the row that would stay."""
+def _differing(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (doc_id, fp, n_bytes, rnd, keep_id) whose text is not that of the row that would stay.
+
+    Only texts of rows that may be members move.
+    """
     key = ["fp", "n_bytes", "rnd"]
-    members = rows.join(groups, key)
+    _, unsure = id_filter.split(texts, id_filter.build(members.select("doc_id")), "doc_id")
+    own = unsure.withColumn("n_bytes", F.octet_length("text").cast("long")).join(members, ["doc_id", "n_bytes"])
     # Code points stand in for bytes here: chunks only have to be small and aligned.
-    chunks = members.select(
-        "doc_id", *key, "keep_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length("text") - 1)).cast("int"), F.lit(CHUNK))).alias("at"), "text",
-    ).select("doc_id", *key, "keep_id", "at", F.substring("text", F.col("at") + 1, F.lit(CHUNK)).alias("chunk"))
-    model = chunks.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates([*key, "at"]).select(*key, "at", F.col("chunk").alias("kept_chunk"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(CHUNK))
+    chunks = own.select("doc_id", *key, "keep_id", "text", F.explode(starts).alias("at")).select("doc_id", *key, "keep_id", "at", F.substring("text", F.col("at") + 1, F.lit(CHUNK)).alias("chunk"))
+    model = chunks.where(F.col("doc_id") == F.col("keep_id")).dropDuplicates([*key, "at"]).select(*key, "at", F.col("chunk").alias("kept_chunk"))
     return chunks.join(model, [*key, "at"], "left").where(~F.col("chunk").eqNullSafe(F.col("kept_chunk"))).select("doc_id", *key).distinct()
 
 
@@ -108,17 +112,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``rnd`` is 0 but for texts that collided with another text's fingerprint.
     """
-    printed = fingerprints(docs, id_col, text_col)
-    rows = materialize(
-        printed.select("doc_id", "fp", "n_bytes", "text_sha256", F.monotonically_increasing_id().alias("rid"), F.lit(0).alias("rnd")), "fingerprints"
-    )
-    texts = printed.select("doc_id", "fp", "n_bytes", "text")
+    printed = fingerprints(docs, id_col, text_col).withColumns({"rid": F.monotonically_increasing_id(), "rnd": F.lit(0)})
+    rows = materialize(printed, "fingerprints")
+    texts = _picked(docs, id_col, text_col)
     key = ["fp", "n_bytes", "rnd"]
     at = 0
     while True:
-        groups = rows.where(F.col("rnd") == at).groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        pool = texts.withColumn("rnd", F.lit(0)) if at == 0 else texts.join(rows.where(F.col("rnd") == at).select("doc_id", "fp", "n_bytes", "rnd").distinct(), ["doc_id", "fp", "n_bytes"])
-        unlike = materialize(_differing(pool, groups), "unlike")
+        groups = rows.where(F.col("rnd") == at).groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep_id is not null").drop("n")
+        members = materialize(rows.where("doc_id is not null").join(groups, key).select("doc_id", *key, "keep_id").distinct(), "members")
+        unlike = materialize(_differing(texts, members), "unlike")
         if unlike.isEmpty():
             break
         moved = unlike.select("doc_id", "fp", "n_bytes", "rnd", F.lit(True).alias("moved"))
@@ -135,10 +137,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that exact dedup keeps: one of each text."""
     found = exact_dedup(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == F.col("kept_sha"))
-    stay = docs.join(kept, same, "left_semi")
-    if found.where("not kept and doc_id <=> keep_id").isEmpty():
-        return stay
-    # Some rows repeat both id and text: one of them stays.
-    return stay.withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    verdict = materialize(found.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("keep"), F.bool_and("kept").alias("alone")), "verdicts")
+    gone = verdict.where("not alone and doc_id is not null").select(F.col("doc_id").alias("id"))
+    clear, unsure = id_filter.split(docs.where("doc_id is not null"), id_filter.build(gone), "doc_id")
+    nulls = docs.where("doc_id is null")  # told apart by their texts
+    some = unsure.unionByName(nulls).withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    kept = verdict.where("keep").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"))
+    stay = some.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")), "left_semi")
+    # Where rows repeat both id and text, one of them stays.
+    return clear.unionByName(stay.dropDuplicates(["doc_id", "__sha"]).drop("__sha"))

@@ -57,3 +57,28 @@ def may_hold(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
     """For each id (no nulls): could it be in the set?"""
     at = _places(ids.to_numpy(zero_copy_only=False))
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split(df: DataFrame, bits: np.ndarray, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows surely not in the set, rows that may be), all columns; null ids are not in it."""
+    spark = df.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(bits)
+    at = df.columns.index(id_col)
+
+    def pick(held: bool):
+        def run(batches):
+            for b in batches:
+                ids = b.column(at).cast(pa.int64())
+                hit = may_hold(shared.value, ids.fill_null(0)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == held, pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)
+
+    return pick(False), pick(True)
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose id is not in ``gone`` (one column ``id``); only rows that may be gone are shuffled."""
+    clear, unsure = split(df, build(gone), id_col)
+    return clear.unionByName(unsure.join(gone, unsure[id_col] == gone["id"], "left_anti"))

@@ -276,5 +276,5 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
 def keep_one(docs: DataFrame, params: Params) -> DataFrame:
     """The rows of ``docs``, all columns, of the least id in each component; rows with a null id stay."""
     parts = jaccard_components(docs, params)
-    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    return id_filter.without(docs, gone, "doc_id")
