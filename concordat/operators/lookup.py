@@ -119,3 +119,41 @@ def hydrate_secrets(items: DataFrame, secrets: DataFrame, dataset: str, fields:
 def retire_secrets(secrets: DataFrame, applied: DataFrame) -> DataFrame:
     """Secrets left after items (dataset, field, match_key) were applied."""
     return secrets.join(applied.select("dataset", "field", "match_key").distinct(), ["dataset", "field", "match_key"], "left_anti")
+
+
+def canonical_lookup(df: DataFrame, row_id: str, rule: LookupRule, canonical) -> DataFrame:
+    """``lookup`` with both sides in canonical form. A null field is '' there and matches a key that becomes ''.
+
+    ``canonical`` maps a Column to its form, never null. One hash join instead of
+    a scan of the provider for each row.
+    """
+    side = rule.provider.select(canonical(rule.provider_key.cast("string")).alias("__k"), rule.value.cast("string").alias("v")).where("v is not null")
+    side = side.groupBy("__k").agg(F.array_sort(F.collect_list("v")).alias("found"))
+    one = lambda v: F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.confidence).alias("confidence"), v.alias("value"))
+    keyed = df.where(rule.key.isNotNull()).select(row_id, canonical(rule.key.cast("string")).alias("__k"))
+    return keyed.join(side, "__k").select(row_id, F.transform("found", one).alias("candidates"))
+
+
+def append_when(base: Column, when: Column, then: Column) -> Column:
+    """``base``, or ``base`` and ``then`` where the condition holds."""
+    return F.when(F.coalesce(when, F.lit(False)), F.concat(base, then)).otherwise(base)
+
+
+def lookup_counters(df: DataFrame, name: str, hit: Column, failed: Column | None = None) -> DataFrame:
+    """Hits, misses and errors of lookups by dictionary name, with a total (null name)."""
+    bad = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    flagged = df.select(F.col(name).alias("dictionary"), hit.alias("__h"), bad.alias("__b"))
+    return flagged.rollup("dictionary").agg(F.count_if(F.col("__h") & ~F.col("__b")).alias("hits"), F.count_if(~F.col("__h") & ~F.col("__b")).alias("misses"), F.count_if("__b").alias("errors"))
+
+
+def outcome(failure: Column, policy: str) -> dict[str, Column]:
+    """Where a failure (null: none) goes under a policy: skip, warn, error or needs_resolve."""
+    none = F.lit(None).cast("string")
+    return {"error": failure if policy == "error" else none, "warning": failure if policy == "warn" else none, "hint": failure if policy == "needs_resolve" else none}
+
+
+def runs(policy: str, has_errors: Column) -> Column:
+    """Does an operation run on this row? 'never' on rows with errors (the default), or 'always'."""
+    if policy not in ("never", "always"):
+        raise ValueError(f"unknown run policy {policy!r}")
+    return F.lit(True) if policy == "always" else ~has_errors

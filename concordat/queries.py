@@ -412,3 +412,126 @@ def j22_wake_pending(spark, sf):
 @query("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS node_id FROM lineitem")
 def s10_membership(spark, sf):
     return files.membership(table(spark, sf, "lineitem"), "l_partkey")
+
+
+@query("""SELECT n_nationkey, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def j2_canonical_lookup(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    key = n.join(F.broadcast(r.select("r_regionkey", F.lower("r_name").alias("low"))), F.col("r_regionkey") == F.col("n_regionkey"))  # five regions, fixed by the schema
+    key = key.select("n_nationkey", F.concat(F.lit("  "), "low", F.lit("\t")).alias("k"))
+    rule = lookup.LookupRule("region", F.col("k"), r, F.col("r_name"), F.col("r_name"))
+    found = lookup.canonical_lookup(key, "n_nationkey", rule, compare_form)
+    return found.select("n_nationkey", lookup.decide(F.col("candidates"))["value"].alias("region"))
+
+
+@query("""SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN NULL ELSE l_returnflag END AS dictionary, count(*) FILTER (l_partkey % 3 <> 0) AS hits, count(*) FILTER (l_partkey % 3 = 0) AS misses, CAST(0 AS BIGINT) AS errors FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
+def a15_lookup_counters(spark, sf):
+    held = table(spark, sf, "part").where("p_partkey % 3 <> 0")
+    found = lookup.exists_in(table(spark, sf, "lineitem"), F.col("l_partkey"), held, F.col("p_partkey"), "hit")
+    return lookup.lookup_counters(found, "l_returnflag", F.col("hit"))
+
+
+@query("""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS null_keys, count(*) FILTER (p_size > 40) AS null_size, (SELECT count(*) FROM (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)) AS duplicate_keys FROM part""")
+def s5_dictionary_checks(spark, sf):
+    p = table(spark, sf, "part").select("p_name", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("size"))
+    return files.check_dictionary(p, "p_name", ["size"])
+
+
+@query("SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS node_id, CASE WHEN n_regionkey <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS parent_id, n_name AS label FROM nation")
+def s7_adjacency(spark, sf):
+    n = table(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, " NULL ").otherwise(F.col("n_regionkey").cast("string")).alias("p"), F.concat(F.lit(" "), "n_name").alias("l"))
+    return files.adjacency(n.unionByName(n), "n_nationkey", "p", "l")
+
+
+@query(f"SELECT node_id, parent_id FROM ({_SOURCE}) WHERE parent_id >= 1000000 OR parent_id >= (SELECT count(*) FROM part)")
+def j20_orphans(spark, sf):
+    return hierarchy.missing_parents(part_nodes(spark, sf))
+
+
+def part_nodes(spark, sf):
+    """Parts as a source tree with absent parents and two-node cycles."""
+    k = F.col("p_partkey")
+    parent = F.when(k == 0, None).when(k % 97 == 0, k + 1000000).when(k % 89 == 0, k + 1).when((k % 89 == 1) & (k > 1), k - 1).otherwise(F.floor(k / 2))
+    return table(spark, sf, "part").select(k.alias("node_id"), parent.cast("long").alias("parent_id"))
+
+
+@query("SELECT p_name AS node_id, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def a5_duplicate_nodes(spark, sf):
+    return hierarchy.duplicate_nodes(table(spark, sf, "part").select(F.col("p_name").alias("node_id")))
+
+
+@query("""SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM region) AS roots, CAST(2 AS BIGINT) AS max_depth""")
+def a14_tree_profile(spark, sf):
+    nodes = tree(spark, sf)
+    return hierarchy.profile(nodes, hierarchy.path_table(nodes))
+
+
+@query("SELECT 'n' || c_nationkey AS node_id, list_sort(list('c' || c_custkey)) AS children FROM customer GROUP BY c_nationkey")
+def l6_children(spark, sf):
+    return hierarchy.children(tree(spark, sf).where("node_id like 'c%'"))
+
+
+@query("""SELECT p_partkey AS line_no, CASE WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN 'empty' WHEN row_number() OVER (PARTITION BY CASE WHEN p_size % 10 = 0 AND p_partkey % 2 = 0 THEN 'e' ELSE p_brand || '/' || p_type END ORDER BY p_partkey) > 1 THEN 'repeated' WHEN p_partkey % 2 = 0 THEN 'gaps' ELSE 'ok' END AS path_state FROM part""")
+def h2_path_checks(spark, sf):
+    p = table(spark, sf, "part")
+    none = (F.col("p_size") % 10 == 0) & (F.col("p_partkey") % 2 == 0)
+    path = F.when(none, F.array(F.lit(" "), F.lit(None).cast("string"))).when(F.col("p_partkey") % 2 == 0, F.array("p_brand", F.lit(""), "p_type")).otherwise(F.array("p_brand", "p_type"))
+    return hierarchy.path_checks(p.select(F.col("p_partkey").alias("line_no"), path.alias("path"))).select("line_no", "path_state")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) || '|' || o_orderstatus END AS match_key FROM orders")
+def r1_match_key(spark, sf):
+    o = table(spark, sf, "orders")
+    cust = F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey").cast("string")).otherwise(" ")
+    key, _ = lookup.match_key([cust, F.concat(F.lit(" "), "o_orderstatus")])
+    return o.select("o_orderkey", key.alias("match_key"))
+
+
+@query(f"SELECT line_no, op FROM ({_PLAN}) WHERE op <> 'skip' ORDER BY line_no LIMIT 25")
+def l5_first_actions(spark, sf):
+    items = plan.plan_items(build_plan(feed(spark, sf), target(spark, sf), sync_spec()))
+    return plan.first_actions(items, 25).select("line_no", "op")
+
+
+@query(f"SELECT CASE WHEN count(*) FILTER (op = 'create') = 0 THEN 'SUCCESS' WHEN count(*) FILTER (op = 'create') < count(*) THEN 'PARTIAL' ELSE 'FAILED' END AS status, round(100.0 * count(*) FILTER (op = 'skip') / count(*), 3) AS skip_rate FROM ({_PLAN})")
+def a9_run_status(spark, sf):
+    s = plan.plan_summary(build_plan(feed(spark, sf), target(spark, sf), sync_spec()))
+    return plan.rates(s, {"skip_rate": ("skipped", "rows_total")}).select(diagnostics.run_status(F.col("rows_total"), F.col("to_create")).alias("status"), "skip_rate")
+
+
+@query("""SELECT row_id, cand_id, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, ord) AS rk FROM (""" + _FUZZY + """ SELECT row_id, cand_id, ord, score FROM capped)) WHERE rk <= 2""")
+def l1_top_candidates(spark, sf):
+    p = table(spark, sf, "part").withColumn("block", F.concat_ws("|", "p_type", F.col("p_size").cast("string")))
+    pairs = match.block_candidates(p.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "row_id"), "row_id", p.where("p_partkey % 2 = 1"), "p_partkey", ["block"], 20, ["p_name", "p_brand"])
+    scored = match.score_candidates(pairs, [match.Comparator("p_name", "exact", 3.0), match.Comparator("p_brand", "casefold", 1.0)])
+    top = match.fuzzy_decision(scored, "row_id", 0.7, 0.2, 0.05, top_k=2)
+    return top.select("row_id", F.posexplode("top").alias("pos", "t")).select("row_id", "t.cand_id", (F.col("pos") + 1).alias("rank"))
+
+
+@query("""SELECT user_id, CASE WHEN sum(value) FILTER (event_type = 'error') IS NULL THEN false ELSE true END AS deleted FROM events GROUP BY user_id""")
+def p13_soft_delete(spark, sf):
+    e = table(spark, sf, "events").withColumn("d", cache.soft_deleted(any_rules=[("equals", F.col("event_type"), "ERROR")]))
+    return e.groupBy("user_id").agg(F.bool_or("d").alias("deleted"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def u1_replay(spark, sf):
+    o = table(spark, sf, "orders")
+    waiting = pending.encode(o.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"])
+    at = F.lit("2024-01-01").cast("timestamp")
+    stored = waiting.select(F.lit("orders").alias("dataset"), F.col("o_orderkey").cast("string").alias("source_row_id"), F.lit("cust").alias("field"), F.lit("k").alias("lookup_key"), "payload", F.lit("pending").alias("status"), at.alias("created_at"), at.alias("last_attempt_at"))
+    return pending.replay(o.where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey"), stored, "o_orderkey long, o_custkey long", "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("""WITH t AS (SELECT p_name, min(p_partkey) AS lo, count(*) AS n FROM part GROUP BY p_name)
+SELECT p_partkey, CASE WHEN n = 1 THEN 'matched' WHEN p_partkey % 2 = 0 THEN 'matched' ELSE 'ambiguous' END AS match_status, CASE WHEN n > 1 AND p_partkey % 2 = 0 THEN 'exact_path' END AS topology_mode FROM part JOIN t USING (p_name)""")
+def j17_topology_refinement(spark, sf):
+    from concordat.operators import topology
+
+    p = table(spark, sf, "part")
+    n = p.groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    rows = p.join(n, "p_name").select("p_partkey", F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("match_status"), F.when(F.col("n") == 1, F.col("p_partkey").cast("string")).alias("target_ref"), F.when(F.col("p_partkey") % 2 == 0, topology.locator([F.lit(" Parts "), F.col("p_partkey")])).alias("segs"))
+    paths = p.select(F.col("p_partkey").cast("string").alias("node_id"), F.array(F.lit("parts"), F.col("p_partkey").cast("string")).alias("path"))
+    # Each row's candidates: itself and its neighbour.
+    cands = p.select("p_partkey", F.explode(F.array(F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string"))).alias("node_id"))
+    return topology.refine_match(rows, "p_partkey", "segs", cands, paths).select("p_partkey", "match_status", "topology_mode")
