@@ -119,6 +119,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     at = 0
     while True:
         groups = rows.where(F.col("rnd") == at).groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep_id is not null").drop("n")
+        groups = materialize(groups, "groups")
         members = materialize(rows.where("doc_id is not null").join(groups, key).select("doc_id", *key, "keep_id").distinct(), "members")
         unlike = materialize(_differing(texts, members), "unlike")
         if unlike.isEmpty():
@@ -128,7 +129,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows.join(moved, ["doc_id", "fp", "n_bytes", "rnd"], "left").withColumn("rnd", F.col("rnd") + F.coalesce(F.col("moved").cast("int"), F.lit(0))).drop("moved"), "fingerprints"
         )
         at += 1
-    keeps = rows.groupBy(*key).agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written out, so that a hot fingerprint's rows meet it in a join that Spark can split.
+    keeps = materialize(rows.groupBy(*key).agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size")), "keeps")
     return rows.join(keeps, key).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256",
     )

@@ -231,7 +231,8 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
     made = materialize(_sized(picked, params.k), "sets")
     rows = made.where("slice is null").select("id", "n", "k1", "k2")
     full = rows.where("n > 0 and id is not null")
-    reps = full.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # Written out, so that the rows of a hot group meet it in a join that Spark can split.
+    reps = materialize(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "reps")
     # Copies hang on their representative; ids that repeat with other texts tie these together.
     member = full.join(reps, ["k1", "k2"]).select("id", "rep")
     sketch = _sketch(made.where("slice is not null"))
