@@ -15,7 +15,7 @@ link when their Jaccard similarity is at least ``p / q``.
 3. Inside a tile a pair must pass the size bound, the positional bound, and the
    bitmap bound: signatures are 128-bit parities, so the popcount of their xor
    never exceeds the symmetric difference, which bounds the overlap from above.
-4. First each tile's sets are paired with one pivot only and the pairs checked
+4. First each set is paired with one pivot of its tiles and the pair checked
    exactly on sorted arrays. Then only pairs of sets that are still in
    different components are made and checked. A group of n near copies thus
    costs about n pairs, and no link between components is lost.
@@ -233,8 +233,10 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
     full = rows.where("n > 0 and id is not null")
     # Written out, so that the rows of a hot group meet it in a join that Spark can split.
     reps = materialize(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "reps")
-    # Copies hang on their representative; ids that repeat with other texts tie these together.
+    # Copies are members of their representative; ids that repeat with other texts tie these together.
     member = full.join(reps, ["k1", "k2"]).select("id", "rep")
+    many = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    ties = member.join(many, "id").select(F.col("lo").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     sketch = _sketch(made.where("slice is not null"))
     texts = picked.where("id is not null")
     ids = reps.select(F.col("rep").alias("id")).distinct()
@@ -245,11 +247,12 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
     # A window over the tile, not a collected list: its rows spill.
     tiles = _tile_rows(texts, ids, copies, sketch, params).withColumn("size", F.count(F.lit(1)).over(tile)).where("size > 1")
     tiles = materialize(tiles.withColumn("pivot", F.min(me).over(tile)), "tiles")
-    first = (
+    pivots = materialize(
         tiles.where(F.col("id") != F.col("pivot.id")).where(_may_link(_columns(), _columns("pivot."), params))
-        .select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
+        .select("id", F.col("pivot.prio").alias("prio"), F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct(), "pivots",
     )
-    first = materialize(first, "pairs")
+    # One pair a set first, with the pivot that most of its group are likely to share.
+    first = materialize(pivots.groupBy("id").agg(F.min(F.struct("prio", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
     links = materialize(_verified(first, texts, params), "links")
     parts = connected_components(links)
 
@@ -261,17 +264,20 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
     x, y = (left.select("token", "band", *[F.col(c).alias(side + c) for c in ("home", "id", "comp", "n", "pos", "s0", "s1")]) for side in ("x_", "y_"))
     rest = (
         x.join(y, ["token", "band"]).where("x_comp < y_comp and (x_home or y_home)").where(_may_link(_columns("x_"), _columns("y_"), params))
-        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
     )
-    rest = materialize(rest, "pairs")
+    side = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    apart = pivots.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    rest = materialize(rest.unionByName(apart.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     # What is connected already goes on as one edge a node.
     links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, params))
-    parts = connected_components(links.unionByName(member.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()))
-    return rows.join(parts, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, comp).otherwise(F.col("id")).alias("component_id")
-    )
+    parts = connected_components(links.unionByName(ties))
+    by_rep = parts.select(F.col("id").alias("rep"), "component")
+    placed = rows.join(reps, ["k1", "k2"], "left").join(by_rep, "rep", "left")
+    linked = (F.col("n") > 0) & F.col("id").isNotNull()
+    return placed.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(linked, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, params: Params) -> DataFrame:
