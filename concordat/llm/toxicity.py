@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import learning_fold, map_rows, prepare, words
+from concordat.session import materialize
 
 BITS = 20
 GRAM = 4
@@ -126,7 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     take_p, take_u = min(1.0, params.max_positive / n_pos), min(1.0, params.max_unlabelled / n_all)
     # One row an id: repeated label rows are confirmed toxic if any of them is.
     lab = lab.where((draw < take_u * rate) | (F.col("y") == 1) & (draw < take_p * rate)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(lab, "doc_id").select("doc_id", "y", "text")
+    lab = materialize(lab, "sample")
+    # The sample's ids are few by its parameters; were they not, texts would be shuffled to meet them.
+    few = F.broadcast(lab) if lab.count() <= 2 * (params.max_positive + params.max_unlabelled) else lab
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(few, "doc_id").select("doc_id", "y", "text")
 
     def start():
         def step(b: pa.RecordBatch) -> dict:
