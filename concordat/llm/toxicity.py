@@ -67,12 +67,12 @@ def text_features(text: str | None) -> list[int]:
 def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, params: Params = Params()) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk with logistic loss (Adam)."""
     w, bias = np.zeros(1 << BITS, np.float32), 0.0
-    if not pos or not unl:
+    if not pos or not unl or not 0 < prior < 1:
         return w, -30.0
     ratio = _ratios(pos, unl)
     used = np.flatnonzero(ratio)
     if not len(used):
-        return w, float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
+        return w, float(np.log(prior / (1 - prior)))
     place = np.full(len(ratio), -1)
     place[used] = np.arange(len(used))
     pos, unl = ([(y := place[x])[y >= 0] for x in rows] for rows in (pos, unl))
@@ -142,12 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     rows = sorted(((r.doc_id, r.f, r.y) for r in map_rows(sample, start, schema, "doc_id long, y int, f binary").collect()), key=lambda r: r[:2])
     feats = [np.frombuffer(f, "<i4") for _, f, _ in rows]
     pos = [f for f, (_, _, y) in zip(feats, rows) if y == 1]
-    base = [f for f, (i, _, y) in zip(feats, rows)]
+    base = list(zip(feats, (y for _, _, y in rows)))
     # The unlabelled set holds positives at their natural rate: those drawn beyond it are left out.
     if take_p > take_u:
         keep = np.random.default_rng(params.seed).random(len(rows)) < take_u / take_p
-        base = [f for f, (_, _, y), k in zip(feats, rows, keep) if y != 1 or k]
-    return train_nnpu(pos, base, n_pos / n_all, params)
+        base = [(f, y) for (f, y), k in zip(base, keep) if y != 1 or k]
+    # The prior is that of the unlabelled set itself: the risk is sensitive to it.
+    prior = sum(y == 1 for _, y in base) / max(len(base), 1)
+    return train_nnpu(pos, [f for f, _ in base], prior, params)
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

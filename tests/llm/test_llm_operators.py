@@ -150,7 +150,7 @@ def test_toxicity_learns(spark, sf, hard):
     assert hit / (hit + miss) > 0.8
     assert sum(a and not b for a, b in test) <= 0.01 * len(test)
     model = toxicity.fit(d, labels.limit(0))
-    assert {r.score for r in toxicity.score(hard, model).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert max(r.score for r in toxicity.score(hard, model).collect()) < 1e-9
     kept = toxicity.keep_clean(hard, labels)
     assert kept.columns == hard.columns and kept.count() == hard.count()
 
