@@ -16,9 +16,10 @@ link when their Jaccard similarity is at least ``p / q``.
    bitmap bound: signatures are 128-bit parities, so the popcount of their xor
    never exceeds the symmetric difference, which bounds the overlap from above.
 4. First each set is paired with one pivot of its tiles and the pair checked
-   exactly on sorted arrays. Then only pairs of sets that are still in
-   different components are made and checked. A group of n near copies thus
-   costs about n pairs, and no link between components is lost.
+   exactly on sorted arrays; sets still apart are tried with ``HEADS`` sets of
+   each tile; then all pairs across components that a signature of ``WIDE`` bits
+   cannot rule out are made and checked, so that no link between components is
+   lost. A group of n near copies thus costs some n pairs.
 
 Null and empty texts have the empty set and link with nothing. Rows that repeat
 an id are one document that has the links of all of them; a null id links with
@@ -45,6 +46,8 @@ from concordat.session import materialize
 
 #: Counters of the frequency sketch: 4 MB, whatever the input, kept in slices.
 SKETCH_BITS, SLICES = 20, 16
+#: Bits of the signatures that rows still apart get, and sets of a tile they are tried with before.
+WIDE, HEADS = 1024, 16
 
 
 @dataclass(frozen=True)
@@ -73,6 +76,12 @@ def bucket(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def signature(s: np.ndarray, bits: int, shift: int) -> np.ndarray:
+    """Parities of a set's elements by hashed place, as 64-bit words."""
+    at = (s >> np.uint64(shift)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -147,8 +156,7 @@ def _tile_rows(texts: DataFrame, reps: DataFrame, copies: np.ndarray, sketch: np
                 f = freq[bucket(s)]
                 # The rarest `first` of them; s is sorted, so a stable sort breaks ties by value.
                 tokens = s[np.argsort(f, kind="stable")[:first]].view(np.int64)
-                bits = np.bincount((s >> np.uint64(9)).astype(np.int64) & 127, minlength=128) & 1
-                sig = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                sig = signature(s, 128, 9)
                 for c, v in zip(cols, (tokens, i, n, np.arange(len(tokens)), sig[0], sig[1])):
                     c.append(np.broadcast_to(v, len(tokens)))
             if cols[0]:
@@ -225,6 +233,54 @@ def _columns(prefix: str = "") -> dict[str, Column]:
     return {c: F.col(prefix + c) for c in ("n", "pos", "s0", "s1")}
 
 
+def _stars(parts: DataFrame) -> DataFrame:
+    """What is connected already, as one edge a node."""
+    return parts.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+
+
+def _mixed(tiles: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows with ``comp`` of the tiles that hold several components; tiles of two have met their pivot."""
+    rows = tiles.where("size > 2").drop("pivot", "size").join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    mixed = rows.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "band")
+    return materialize(rows.join(mixed, ["token", "band"], "left_semi"), "mixed")
+
+
+def _across(xs: DataFrame, ys: DataFrame, params: Params, wide: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of a tile's sets in different components that no bound rules out.
+
+    A pair has a home row at least: two visitors meet in their own band.
+    """
+    more = [f"w{i}" for i in range(WIDE // 64)] if wide else []
+    x, y = (d.select("token", "band", *[F.col(c).alias(p + c) for c in ("home", "id", "comp", "n", "pos", "s0", "s1", *more)]) for d, p in ((xs, "x_"), (ys, "y_")))
+    ok = _may_link(_columns("x_"), _columns("y_"), params)
+    if wide:
+        differing = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in more), F.lit(0))
+        ok = ok & ((F.col("x_n").cast("long") + F.col("y_n")) * F.lit(params.q - params.p) >= differing * F.lit(params.p + params.q))
+    met = x.join(y, ["token", "band"]).where(F.col("x_comp") != F.col("y_comp")).where("x_home or y_home").where(ok)
+    return met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+
+
+def _wide(texts: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, s0, s1, w0, w1, ...): wide parity signatures of the sets of some ids, for the rows that need them."""
+    ids = materialize(ids, "wide-ids")
+    wanted = texts.sparkSession.sparkContext.broadcast(id_filter.build(ids))
+    names = ["id", "s0", "s1", *[f"w{i}" for i in range(WIDE // 64)]]
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(pa.array(id_filter.may_hold(wanted.value, b.column(0))))
+            rows = [[] for _ in names]
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = shingle_set(text, k)
+                for c, v in zip(rows, (i, *signature(s, 128, 9), *signature(s, WIDE, 20))):
+                    c.append(int(v))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=schema)
+
+    made = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return made.join(ids, "id", "left_semi").dropDuplicates(["id", "s0", "s1"])
+
+
 def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     picked = _picked(docs, id_col, text_col)
@@ -256,21 +312,23 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), id_col: str =
     links = materialize(_verified(first, texts, params), "links")
     parts = connected_components(links)
 
-    comp = F.coalesce("component", "id")
-    left = tiles.where("size > 2").drop("pivot", "size").join(parts, "id", "left").withColumn("comp", comp).drop("component")
-    mixed = left.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "band")
-    left = materialize(left.join(mixed, ["token", "band"], "left_semi"), "mixed")
-    # A pair has a home row at least: two visitors meet in their own band.
-    x, y = (left.select("token", "band", *[F.col(c).alias(side + c) for c in ("home", "id", "comp", "n", "pos", "s0", "s1")]) for side in ("x_", "y_"))
-    rest = (
-        x.join(y, ["token", "band"]).where("x_comp < y_comp and (x_home or y_home)").where(_may_link(_columns("x_"), _columns("y_"), params))
-        .select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    )
+    # Sets that their pivot did not reach: pairs with some more sets of the tile, from other components.
+    left = _mixed(tiles, parts)
+    rank = F.row_number().over(Window.partitionBy("token", "band").orderBy(F.xxhash64("id"), "id"))
+    heads = left.withColumn("rank", rank).where(F.col("rank") <= HEADS).drop("rank")
+    second = materialize(_across(left, heads, params).join(first, ["a", "b"], "left_anti"), "pairs")
+    done = first.unionByName(second)
+    parts = connected_components(_stars(parts).unionByName(materialize(_verified(second, texts, params), "links")))
+
+    # What is still apart: all pairs across components that a wide signature cannot rule out.
+    left = _mixed(tiles, parts)
+    wide = _wide(texts, left.select("id").distinct(), params.k)
+    left = materialize(left.join(wide, ["id", "s0", "s1"]), "wide")
     side = lambda c: parts.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     apart = pivots.select("a", "b").distinct().join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    rest = materialize(rest.unionByName(apart.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    # What is connected already goes on as one edge a node.
-    links = parts.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
+    rest = _across(left, left, params, wide=True).unionByName(apart.select("a", "b")).distinct().join(done, ["a", "b"], "left_anti")
+    rest = materialize(rest, "pairs")
+    links = _stars(parts)
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, params))
     parts = connected_components(links.unionByName(ties))
