@@ -189,6 +189,38 @@ def test_license_base_equals_brute_force(spark, sf, hard):
     assert license_scan.scan(hard).count() == hard.count()
 
 
+def test_license_gates_hide_nothing():
+    from concordat.llm import license_rules
+
+    s = license_scan.Scanner()
+    samples = {
+        "CC0 1.0": "cc0", "SPDX-License-Identifier: CC0-1.0": "cc0", "0BSD": "0bsd", "GPL3": "gpl-3", "GPL2": "gpl-2", "General Public License version 2": "gpl-2",
+        "LGPL3": "lgpl-3", "AGPL3": "agpl-3", "MPL2": "mpl-2", "MPLv2": "mpl-2", "Internet Systems Consortium License": "isc", "Open Software License 3.0": "osl-3",
+        "Open Data Commons Attribution License": "odc-by-1", "Public Domain Dedication and License": "pddl-1", "Server Side Public License": "sspl-1",
+        "Q Public License": "qpl-1", "Universal Permissive License 1.0": "upl-1", "Beer-Ware License": "beerware",
+    }
+    assert {x: s.scan(f"here {x} there")["labels"] for x in samples} == samples
+    everything = s.gates
+    passages = [
+        "permission is hereby granted free of charge to any person x to permit persons to whom the software is furnished to do so the software is provided",
+        "neither the name of x nor the names of its contributors may be used to endorse or promote products derived from this software",
+        "dedicated to the public domain", "copyright c 2020 x all rights reserved", "confidential and proprietary", "proprietary and confidential",
+    ]
+    passages += [r.replace("(?:program|software|file)", "file").replace("[sc]", "s") for _, _, r in license_rules.BODIES]
+    n = 0
+    for names in license_rules.FAMILIES:
+        for label, name in names:
+            for x in license_rules.spellings(name):
+                assert re.fullmatch(name, x), (label, x)
+                passages.append(x)
+    for x in passages:
+        joined = f" {x} ".encode()
+        found = s.detections(joined, everything)
+        n += bool(found)
+        assert s.detections(joined, set(x.encode().split())) == found, x
+    assert n > 0.9 * len(passages)
+
+
 def test_unigram_counts_equal_brute_force(spark, hard):
     u = token_counts.Unigram(token_counts.load_pieces(queries.vocabulary(queries.PIECE_FILE)))
 
