@@ -6,8 +6,9 @@ by gradient descent (Adam) on the non-negative risk estimator (logistic loss),
 ``pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))``, where ``pi``, the class prior,
 is the share of toxic rows among the labelled training rows. Features: the
 distinct words of a whole text and their character 4-grams, hashed. A text's
-logit is a bias plus the sum over its distinct words, so that a task may
-remember a word's share.
+logit is a bias plus the sum over its distinct words, divided by the root of
+its number of features (the norm of its feature vector), so that a long text
+gathers no score by its vocabulary alone; a task may remember a word's share.
 
 Training reads a bounded sample (``max_positive``, ``max_unlabelled``: expected
 sizes, taken by a hash of the id); scoring covers every row. Null and empty
@@ -65,7 +66,10 @@ def text_features(text: str | None) -> list[int]:
 
 
 def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, params: Params = Params()) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative PU risk with logistic loss (Adam)."""
+    """Weights and bias that minimise the non-negative PU risk with logistic loss (Adam).
+
+    The weights are for feature vectors divided by the root of their length.
+    """
     w, bias = np.zeros(1 << BITS, np.float32), 0.0
     if not pos or not unl or not 0 < prior < 1:
         return w, -30.0
@@ -73,6 +77,8 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, param
     used = np.flatnonzero(ratio)
     if not len(used):
         return w, float(np.log(prior / (1 - prior)))
+    norm = np.sqrt([max(len(x), 1) for x in pos + unl])
+    scale = float(norm[len(pos) :].mean())  # keeps the inputs at the size of the log ratios
     place = np.full(len(ratio), -1)
     place[used] = np.arange(len(used))
     pos, unl = ([(y := place[x])[y >= 0] for x in rows] for rows in (pos, unl))
@@ -80,7 +86,7 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, param
     n_p, n_u = len(pos), len(unl)
     idx = np.concatenate(pos + unl)
     row = np.repeat(np.arange(n_p + n_u), [len(x) for x in pos + unl])
-    x = r[idx]
+    x = r[idx] * (scale / norm)[row]
     theta = np.append(np.full(len(used), 0.1), bias)  # weights, then the bias
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     dz = np.empty(n_p + n_u)
@@ -101,18 +107,24 @@ def train_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, param
         theta -= params.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         theta[:-1] = np.maximum(theta[:-1], 0)  # a feature is evidence for, or none
     v, bias = theta[:-1], float(theta[-1])
-    w[used] = v * r
+    w[used] = v * r * scale
     return w, bias
 
 
-def _ratios(pos: list[np.ndarray], unl: list[np.ndarray], least: int = 3, sure: float = 4.0) -> np.ndarray:
+def _ratios(pos: list[np.ndarray], unl: list[np.ndarray], least: int = 3) -> np.ndarray:
     """Log ratio of a feature's share in positive and unlabelled texts, for those that are surely
-    more frequent in positives; 0 for the rest, which would only add noise to the sum of a long text."""
+    more frequent in positives; 0 for the rest, which would only add noise to a text's sum.
+
+    Sure is a likelihood ratio (G) above what the largest of as many features would reach by chance.
+    """
     n_p, n_u = len(pos), len(unl)
     p, u = (np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=1 << BITS) for rows in (pos, unl))
+    both = np.maximum(p + u, 1) / (n_p + n_u)
+    g = 2 * (p * np.log(np.maximum(p, 1) / (both * n_p)) + u * np.log(np.maximum(u, 1) / (both * n_u)))
     share_p, share_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
-    z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / n_p)
-    return np.where((z > sure) & (p >= least), np.log(share_p / share_u), 0).astype(np.float32)
+    tried = p >= least
+    sure = tried & (share_p > share_u) & (g > 2 * np.log(max(tried.sum(), 2)))
+    return np.where(sure, np.log(share_p / share_u), 0).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
@@ -167,20 +179,22 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
 
 def scorer(w: np.ndarray, bias: float):
     """A function from a text to its score."""
-    memo: dict[bytes, float] = {}
+    memo: dict[bytes, tuple[float, int]] = {}
     weights = array("f", w)
 
     def of(text: str | None) -> float:
         if len(memo) > MEMO:
             memo.clear()
-        z = 0.0
+        z, n = 0.0, 0
         for x in set(words(text)):
             try:
-                z += memo[x]
+                a, k = memo[x]
             except KeyError:
-                memo[x] = a = sum(weights[i] for i in word_features(x))
-                z += a
-        z += bias
+                fs = word_features(x)
+                a, k = memo[x] = sum(weights[i] for i in fs), len(fs)
+            z += a
+            n += k
+        z = bias + z / max(n, 1) ** 0.5
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
     return of

@@ -155,6 +155,26 @@ def test_toxicity_learns(spark, sf, hard):
     assert kept.columns == hard.columns and kept.count() == hard.count()
 
 
+def test_toxicity_spares_long_clean_texts():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+
+    def text(toxic, n=None):
+        n = n or int(np.exp(rng.uniform(np.log(50), np.log(5000))))
+        own = 200 + np.unique((150_000 * rng.random(n) ** 3).astype(int))
+        return np.append(own, rng.choice(20, min(20, 2 + int(n**0.5 / 4)), replace=False)) if toxic else own
+
+    word = lambda f: f"w{f}"
+    feats = lambda xs: [np.array(toxicity.text_features(" ".join(map(word, x))), "<i4") for x in xs]
+    bad, mixed = [text(True) for _ in range(300)], [text(i % 10 == 0) for i in range(600)]
+    of = toxicity.scorer(*toxicity.train_nnpu(feats(bad), feats(mixed), 0.1))
+    share = lambda toxic, n: np.mean([of(" ".join(map(word, text(toxic, n)))) >= 0.5 for _ in range(60)])
+    for n in (100, 1000, 5000, 20000):
+        assert share(False, n) <= 0.05, n
+        assert share(True, n) >= 0.8, n
+
+
 def test_language_held_out_accuracy(spark, hard):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = language_id.fit(d)
