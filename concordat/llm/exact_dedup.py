@@ -93,18 +93,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _differing(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """Members (doc_id, fp, n_bytes, rnd, keep_id) whose text is not that of the row that would stay.
+    """Members (doc_id, text_sha256, fp, n_bytes, rnd, keep_id, keep_sha) whose text is not that of the row that would stay.
 
-    Only texts of rows that may be members move.
+    Only texts of rows that may be members move. A doc_id may repeat with other
+    texts, so that the digest tells which text is which member's.
     """
     key = ["fp", "n_bytes", "rnd"]
     _, unsure = id_filter.split(texts, id_filter.build(members.select("doc_id")), "doc_id")
-    own = unsure.withColumn("n_bytes", F.octet_length("text").cast("long")).join(members, ["doc_id", "n_bytes"])
+    told = {"n_bytes": F.octet_length("text").cast("long"), "text_sha256": F.sha2(F.col("text").cast("binary"), 256)}
+    own = unsure.withColumns(told).join(members, ["doc_id", "n_bytes", "text_sha256"])
     # Code points stand in for bytes here: chunks only have to be small and aligned.
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - 1), F.lit(CHUNK))
-    chunks = own.select("doc_id", *key, "keep_id", "text", F.explode(starts).alias("at")).select("doc_id", *key, "keep_id", "at", F.substring("text", F.col("at") + 1, F.lit(CHUNK)).alias("chunk"))
-    model = chunks.where(F.col("doc_id") == F.col("keep_id")).dropDuplicates([*key, "at"]).select(*key, "at", F.col("chunk").alias("kept_chunk"))
-    return chunks.join(model, [*key, "at"], "left").where(~F.col("chunk").eqNullSafe(F.col("kept_chunk"))).select("doc_id", *key).distinct()
+    kept = ((F.col("doc_id") == F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha"))).alias("is_kept")
+    chunks = own.select("doc_id", "text_sha256", *key, kept, "text", F.explode(starts).alias("at")).select("doc_id", "text_sha256", *key, "is_kept", "at", F.substring("text", F.col("at") + 1, F.lit(CHUNK)).alias("chunk"))
+    model = chunks.where("is_kept").dropDuplicates([*key, "at"]).select(*key, "at", F.col("chunk").alias("kept_chunk"))
+    return chunks.join(model, [*key, "at"], "left").where(~F.col("chunk").eqNullSafe(F.col("kept_chunk"))).select("doc_id", "text_sha256", *key).distinct()
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,15 +121,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = ["fp", "n_bytes", "rnd"]
     at = 0
     while True:
-        groups = rows.where(F.col("rnd") == at).groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep_id is not null").drop("n")
+        groups = rows.where(F.col("rnd") == at).groupBy(*key).agg(F.max(F.struct("doc_id", "text_sha256")).alias("keep"), F.count(F.lit(1)).alias("n"))
+        groups = groups.where("n > 1 and keep.doc_id is not null").select(*key, F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_sha256").alias("keep_sha"))
         groups = materialize(groups, "groups")
-        members = materialize(rows.where("doc_id is not null").join(groups, key).select("doc_id", *key, "keep_id").distinct(), "members")
+        members = materialize(rows.where("doc_id is not null").join(groups, key).select("doc_id", "text_sha256", *key, "keep_id", "keep_sha").distinct(), "members")
         unlike = materialize(_differing(texts, members), "unlike")
         if unlike.isEmpty():
             break
-        moved = unlike.select("doc_id", "fp", "n_bytes", "rnd", F.lit(True).alias("moved"))
+        moved = unlike.select("doc_id", "text_sha256", *key, F.lit(True).alias("moved"))
         rows = materialize(
-            rows.join(moved, ["doc_id", "fp", "n_bytes", "rnd"], "left").withColumn("rnd", F.col("rnd") + F.coalesce(F.col("moved").cast("int"), F.lit(0))).drop("moved"), "fingerprints"
+            rows.join(moved, ["doc_id", "text_sha256", *key], "left").withColumn("rnd", F.col("rnd") + F.coalesce(F.col("moved").cast("int"), F.lit(0))).drop("moved"), "fingerprints"
         )
         at += 1
     # Written out, so that a hot fingerprint's rows meet it in a join that Spark can split.

@@ -101,6 +101,17 @@ def test_exact_dedup_tells_collisions_apart(spark, monkeypatch):
     assert got == {i: (last[t], size[t]) for i, t in rows}
 
 
+def test_exact_dedup_of_repeated_ids_with_texts_of_one_length(spark):
+    def check(rows):
+        out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        got = sorted((r.doc_id, r.text_sha256, r.keep_id, r.group_size) for r in out)
+        assert got == sorted((i, hashlib.sha256(t.encode()).hexdigest(), max(j for j, u in rows if u == t), sum(u == t for _, u in rows)) for i, t in rows)
+        assert sum(r.kept for r in out) == len({t for _, t in rows})
+
+    check([(1, "ab"), (1, "cd"), (2, "ab")])
+    check([(1, "ab"), (1, "cd"), (2, "ab"), (2, "cd"), (2, "cd")])  # never ended before
+
+
 def brute_components(rows, k, p, q):
     def shingles(t):
         w = (t or "").encode().lower().split()
