@@ -160,10 +160,24 @@ def test_toxicity_learns(spark, sf, hard):
     hit, miss = sum(a and b for a, b in test), sum(b and not a for a, b in test)
     assert hit / (hit + miss) > 0.8
     assert sum(a and not b for a, b in test) <= 0.01 * len(test)
+    clean = [r.text for r in d.join(labels.where("toxic = 0"), "doc_id").where("length(text) < 4000").limit(450).collect()]
+    long = spark.createDataFrame([(i, " ".join(clean[i * 150 : i * 150 + 150])) for i in range(3)], "doc_id long, text string")
+    assert max(r.score for r in toxicity.score(long, toxicity.fit(d, labels)).collect()) < 0.5
     model = toxicity.fit(d, labels.limit(0))
     assert max(r.score for r in toxicity.score(hard, model).collect()) < 1e-9
+    assert max(r.score for r in toxicity.score(hard, toxicity.fit(hard.limit(0), labels)).collect()) < 1e-9
     kept = toxicity.keep_clean(hard, labels)
     assert kept.columns == hard.columns and kept.count() == hard.count()
+    empty = hard.limit(0)
+    assert toxicity.score(empty, model).count() == 0 and toxicity.keep_clean(empty, labels).count() == 0
+
+
+def test_toxicity_of_exactly_one_half_is_rejected(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert {r.score for r in toxicity.score(df, (np.zeros(1 << toxicity.BITS, np.float32), 0.0)).collect()} == {0.5}
+    assert toxicity.drop_toxic(df, (np.zeros(1 << toxicity.BITS, np.float32), 0.0)).count() == 0
 
 
 def test_toxicity_spares_long_clean_texts():
@@ -177,15 +191,46 @@ def test_toxicity_spares_long_clean_texts():
         return np.append(own, rng.choice(20, min(20, 2 + int(n**0.5 / 4)), replace=False)) if toxic else own
 
     word = lambda f: f"w{f}"
-    feats = lambda xs: [np.array(toxicity.text_features(" ".join(map(word, x))), "<i4") for x in xs]
-    bad, mixed = [text(True) for _ in range(300)], [text(i % 10 == 0) for i in range(600)]
-    of = toxicity.scorer(*toxicity.train_nnpu(feats(bad), feats(mixed), 0.1))
+    feats = lambda xs: [toxicity.text_features(" ".join(map(word, x))) for x in xs]
+    bad, mixed = feats([text(True) for _ in range(300)]), feats([text(i % 10 == 0) for i in range(600)])
+    p, u = (np.bincount(np.concatenate([np.unique(f) for f in fs]), minlength=1 << toxicity.BITS) for fs in (bad, mixed))
+    tried = np.flatnonzero(p >= 3)
+    r = toxicity.telling(p[tried], u[tried], len(bad), len(mixed), len(tried))
+    used = tried[r > 0]
+    place = np.full(1 << toxicity.BITS, -1)
+    place[used] = np.arange(len(used))
+    cut = lambda fs: [x[x >= 0] for x in (place[np.unique(f)] for f in fs)]
+    theta, bias = toxicity.train_nnpu(cut(bad), cut(mixed), np.sqrt([len(f) for f in bad + mixed]), r[r > 0], 0.1)
+    w = np.zeros(1 << toxicity.BITS, np.float32)
+    w[used] = theta
+    of = toxicity.scorer(w, bias)
     share = lambda toxic, n: np.mean([of(" ".join(map(word, text(toxic, n)))) >= 0.5 for _ in range(60)])
     for n in (100, 1000, 5000, 20000):
         assert share(False, n) <= 0.05, n
         assert share(True, n) >= 0.8, n
 
 
+def test_nnpu_weights_minimise_the_risk():
+    """The risk of the trained weights against that of many perturbed ones, by its definition."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    r = np.ones(4)
+    pos = [np.flatnonzero(rng.random(4) < [0.9, 0.7, 0.2, 0.1]).astype(np.int32) for _ in range(200)]
+    unl = [np.flatnonzero(rng.random(4) < ([0.9, 0.7, 0.2, 0.1] if i % 5 == 0 else [0.1, 0.1, 0.2, 0.1])).astype(np.int32) for i in range(500)]
+    norm, prior = np.ones(700), 0.2
+
+    def risk(w, b):
+        z = np.array([w[f].sum() + b for f in pos + unl])
+        lose = lambda z, y: np.logaddexp(0, -y * z).mean()
+        return prior * lose(z[:200], 1) + max(0.0, lose(z[200:], -1) - prior * lose(z[:200], -1))
+
+    w, b = toxicity.train_nnpu(pos, unl, norm, r, prior, toxicity.Params(steps=3000))
+    best = risk(w, b)
+    near = [risk(np.maximum(w + rng.normal(0, 0.3, 4), 0), b + rng.normal(0, 0.3)) for _ in range(200)]
+    assert best <= min(near) + 0.002
+
+
 def test_language_held_out_accuracy(spark, hard):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = language_id.fit(d)
