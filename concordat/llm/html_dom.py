@@ -8,10 +8,13 @@ from dataclasses import dataclass, field
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button datalist".split())
+#: Their content is text up to their own first end tag, and never text of the page.
+RAW = "script|style|textarea|title|iframe|noembed|noframes"
+#: Form controls and what is not shown: left out where they are closed within the block they stand in.
+UNSEEN = frozenset("template select button datalist".split())
 BLOCKS = frozenset(
     "html body article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd menu table caption thead tbody tfoot tr td th "
-    "blockquote pre figure figcaption form fieldset legend address details summary dialog hr search center label".split()
+    "blockquote pre figure figcaption form fieldset legend address details summary dialog hr search center label noscript".split()
 )
 CLOSES_P = BLOCKS - frozenset("html body caption thead tbody tfoot tr td th li dt dd legend label summary figcaption".split())
 #: An opening tag ends an open element of these kinds, up to the container named.
@@ -20,8 +23,10 @@ IMPLIED = {
     "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody"), ("table",)),
 }
+#: A comment, a raw element as a whole, another declaration, a tag, or text, whichever comes first.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)|([^<]++|<)", re.S
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1(?=[\s/>])[^>]*+>?|\Z)|<[!?][^>]*+>?"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)|([^<]++|<)", re.S | re.I
 )
 ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -39,19 +44,39 @@ class Dom:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # (node, text)
 
 
-def parse(page: str | None) -> Dom:
+def _unseen(tokens: list[tuple]) -> dict[int, int]:
+    """Places of the start and end tags of ``UNSEEN`` elements that are closed within the block they stand in."""
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    for i, (_, slash, tag, attrs, _) in enumerate(tokens):
+        tag = (tag or "").lower()
+        if tag in UNSEEN or tag in BLOCKS - VOID:
+            if not slash:
+                open_.append((tag, i))
+            elif any(t == tag for t, _ in open_):
+                while (top := open_.pop())[0] != tag:
+                    pass
+                if tag in UNSEEN:
+                    ends[top[1]] = i
+    return ends
+
+
+def read(page: str | None) -> Dom:
     """Blocks of a page. Inline tags are dropped without a gap; ``br`` counts as white space.
 
     References are decoded once; white space inside a block becomes one space.
-    Raw elements (scripts, styles, form controls and the like) are left out.
+    Comments, scripts, styles and the like are whole tokens, found in one pass, so
+    that one cannot start inside another. A form control that is never closed
+    hides nothing: its tag is passed over.
     """
     dom = Dom()
     stack = [0]
     text: list[str] = []
     links = 0
     in_link = False
-    raw = None
-    depth = 0
+    tokens = [m.groups() for m in TOKEN.finditer(page or "")]
+    ends = _unseen(tokens)
+    skip = -1
 
     def flush() -> None:
         nonlocal links
@@ -75,13 +100,8 @@ def parse(page: str | None) -> Dom:
             if tag in until:
                 return
 
-    for m in TOKEN.finditer(page or ""):
-        slash, tag, attrs, plain = m.groups()
-        if raw:
-            if tag and tag.lower() == raw:
-                depth += -1 if slash else 1
-                if not depth:
-                    raw = None
+    for at, (_, slash, tag, attrs, plain) in enumerate(tokens):
+        if at <= skip:
             continue
         if plain is not None:
             text.append(plain)
@@ -103,11 +123,8 @@ def parse(page: str | None) -> Dom:
             text.append(" ")
         elif tag == "a":
             in_link = True
-        elif tag in RAW:
-            if not attrs.endswith("/"):
-                raw, depth = tag, 1
-                if tag in ("script", "style"):  # their text knows no tags but its own end
-                    pass
+        elif tag in UNSEEN:
+            skip = ends.get(at, skip)
         elif tag in BLOCKS:
             flush()
             if tag in CLOSES_P:
@@ -128,11 +145,3 @@ def parse(page: str | None) -> Dom:
             stack.append(len(dom.tag) - 1)
     flush()
     return dom
-
-
-SCRIPT = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-
-
-def read(page: str | None) -> Dom:
-    """``parse`` after scripts and styles are cut out: their text may hold anything but their own end."""
-    return parse(SCRIPT.sub("", page) if page else page)

@@ -41,7 +41,7 @@ LABELLED = (
     '<body data-is=b><nav class="breadcrumb"><a href=#>Home</a></nav><div class="alert notice">The site is down tonight for repairs.</div><article data-is=c><header><h1>Recipe</h1></header><section><p>Mix the flour with water, and wait for an hour before you go on with it.</p><figure><figcaption>The dough</figcaption></figure></section><footer data-is=b class="article-footer"><p>Tags and sharing</p></footer><div data-is=b class="promo banner"><p>Get our app</p></div><form data-is=b><p>Leave a reply</p></form></article>'
     '<div class="comments-area"><ol class="comment-list"><li class="comment"><div class="comment-body"><p>Great recipe, I made it twice and my children loved it so much.</p></div></li></ol></div><div class="popup modal"><p>Join us today</p></div><footer><div>About</div></footer></body>',
     '<body data-is=b><div class="menu"><ul><li><a href=#>One</a></li></ul></div><div class="page" data-is=c><div class="text body"><h2>Chapter</h2><p>It was late in the year when they came to the town by the river, and it rained.</p><p>No.</p><dl><dt>Term</dt><dd>Meaning of the term</dd></dl></div><div data-is=b class="pagination pager"><a href=#>Next</a></div><div data-is=b class="author-bio bio"><p>The author lives in a town.</p></div><div data-is=b class="sponsored"><p>A word from our sponsor about shoes.</p></div></div>'
-    '<div class="ads"><p>Cheap flights to the sun</p></div><div class="ad-banner sponsor"><p>Sale ends soon</p></div><div class="disclaimer notice">Notice to readers</div><div class="login form search"><form><label>Name</label></form></div><div class="copyright">Copyright</div></body>',
+    '<div class="ads"><p>Cheap flights to the sun</p></div><div class="ad-banner sponsor"><p>Sale ends soon</p></div><div class="disclaimer notice">Notice to readers</div><noscript>Please turn on scripts to see this page.</noscript><div class="login form search"><form><label>Name</label></form></div><div class="copyright">Copyright</div></body>',
     '<body data-is=b><h1 data-is=c>A plain page</h1><p data-is=c>It has no containers, and its paragraphs stand in the body itself.</p><p data-is=c>The second one.</p><ul data-is=c><li>An item of the text</li></ul><hr><div class="footer">Contact us</div></body>',
     '<body data-is=b><div class="sidebar"><p>Latest</p></div><div data-is=c class="article-body"><p>The text of the article stands in a box of its own, as it does on many pages.</p><p>More of it.</p></div><div class="footer"><p>Terms</p></div></body>',
     '<body data-is=b><div class="topmenu menu"><a href=#>Start</a></div><div data-is=c class="page text"><div class="post-content"><h2>Head</h2><p>The text of the post stands here.</p></div></div><div class="comments"><p>First!</p></div></body>',
