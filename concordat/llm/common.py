@@ -69,3 +69,19 @@ def learning_fold(col: str = "doc_id"):
 
 def held_out(col: str = "doc_id"):
     return F.coalesce(~learning_fold(col), F.lit(False))
+
+
+#: A key with more than this share of the rows is hot; there are fewer than ``1 / HOT`` such keys.
+HOT = 1 / 1000
+
+
+def join_spread(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join with ``side`` (one row a key, ``size``: how many of the ``total`` rows have it) in which no key is hot.
+
+    Keys with more than ``HOT`` of the rows, fewer than ``1 / HOT`` by that very
+    share, are broadcast, so that their rows stay where they are; all others are
+    joined as Spark sees fit. ``side`` should be a written table: it is read twice.
+    """
+    hot = F.col(size) > F.lit(max(total, 1) * HOT)
+    few, rest = F.broadcast(side.where(hot)), side.where(~hot)
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(rest, keys, how))

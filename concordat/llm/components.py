@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.llm.common import join_spread
 from concordat.session import materialize
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Each larger neighbour of a node is linked to the least node around it."""
+def _large_star(e: DataFrame, total: int) -> DataFrame:
+    """Each larger neighbour of a node is linked to the least node around it. The hub of a star is a hot key."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    return join_spread(both.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of them; edges have a < b."""
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
-    kept = e.join(least, "b")
+    least = materialize(e.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    kept = join_spread(e, least, ["b"], "n", total)
     return (
         kept.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a <> b").unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
     )
@@ -37,7 +38,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        e = materialize(_small_star(_large_star(e)), "edges")
+        e = materialize(_large_star(e, state[0]), "edges")
+        e = materialize(_small_star(e, state[0]), "edges")
     members = e.select(F.col("b").alias("id"), F.col("a").alias("component"))
     roots = e.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     return members.unionByName(roots)

@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from concordat.llm.common import prepare
 
@@ -79,6 +80,15 @@ def split(df: DataFrame, bits: np.ndarray, id_col: str) -> tuple[DataFrame, Data
 
 
 def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``gone`` (one column ``id``); only rows that may be gone are shuffled."""
-    clear, unsure = split(df, build(gone), id_col)
-    return clear.unionByName(unsure.join(gone, unsure[id_col] == gone["id"], "left_anti"))
+    """Rows of ``df`` whose id is not in ``gone`` (one column ``id``), null ids included.
+
+    A second bitmap holds the ids of ``df`` that the first takes for gone but
+    that are not: a row that hits the first only is gone for sure and dropped
+    where it is. Only rows that hit both, few beside those that go, are shuffled.
+    """
+    first = build(gone)
+    ids = df.select(df[id_col].cast("long").alias("id"))
+    spared = split(ids, first, "id")[1].distinct().join(gone, "id", "left_anti")
+    clear, unsure = split(df, first, id_col)
+    both = split(unsure, build(spared), id_col)[1].alias("d")
+    return clear.unionByName(both.join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.id"), "left_anti"))
