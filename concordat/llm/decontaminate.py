@@ -8,8 +8,9 @@ by hash join; a positional bound (the window has to start at or after the first
 word) and a length bound (and end by the last) come next, then exact comparison
 of the document's words with the window.
 
-The windows are broadcast only up to ``BROADCAST_WORDS`` words; beyond that the
-candidates are shuffled, and texts join them again to be compared.
+The windows are broadcast only while their words and item lists have up to
+``BROADCAST_WORDS`` entries; beyond that the candidates are shuffled, texts join
+them again to be compared, and items are joined to the hits.
 
 Null and empty texts have no words and are never contaminated. Rows of equal id
 and text come out as often as they stand in the input; rows that repeat an id
@@ -23,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concordat.llm.common import LOWER, UPPER, WORD
+from concordat.llm.common import LOWER, UPPER, WORD, join_spread
 from concordat.session import materialize
 
 SIZE = 13
-#: Windows of up to so many words in all (about 100 bytes a word at most) are broadcast.
+#: Windows of up to so many words and items in all (about 100 bytes each at most) are broadcast.
 BROADCAST_WORDS = 500_000
 
 
@@ -37,31 +38,42 @@ def words_of(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int = SIZE, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: wid, words, items (sorted distinct item ids as strings)."""
+    """(wid, words, item): the windows of each item, distinct; items as strings."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1)))
-    cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words"))
-    one = cut.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return one.withColumn("wid", F.xxhash64(F.array_join("words", " "), F.size("words")))
+    cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words")).distinct()
+    return cut.select(F.xxhash64(F.array_join("words", " "), F.size("words")).alias("wid"), "words", "item")
 
 
 def anchors(docs_words: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
-    """Each window with its rarest word over all documents and that word's first place (from 0)."""
+    """Each window with its rarest word over all documents and that word's first place (from 0).
+
+    A word that very many windows hold is a hot key: its count reaches them by
+    broadcast (see ``join_spread``).
+    """
     each = wins.select("wid", F.posexplode("words").alias("at", "word"))
-    vocabulary = each.select("word").distinct()
-    seen = docs_words.select(F.explode("words").alias("word")).join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi")
-    counts = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = each.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("at"))).alias("a"))
-    return wins.join(rarest, "wid").select("wid", F.col("a.word").alias("anchor"), F.col("a.at").cast("int").alias("at"), F.col("words").alias("window"), "items", F.size("words").alias("len"))
+    vocabulary = materialize(each.groupBy("word").agg(F.count(F.lit(1)).alias("uses")), "vocabulary")
+    seen = docs_words.select(F.explode("words").alias("word")).join(F.broadcast(vocabulary.select("word")) if small else vocabulary.select("word"), "word", "left_semi")
+    counts = vocabulary.join(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left").select("word", "uses", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = materialize(counts, "counts")
+    ranked = each.join(F.broadcast(counts), "word") if small else join_spread(each, counts, ["word"], "uses", each.count())
+    rarest = ranked.groupBy("wid").agg(F.min(F.struct("n", "word", "at")).alias("a"))
+    return wins.join(rarest, "wid").select("wid", F.col("a.word").alias("anchor"), F.col("a.at").cast("int").alias("at"), F.col("words").alias("window"), F.size("words").alias("len"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share: int = 20, id_col: str = "doc_id", text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), items of every row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("h"), words_of(F.col("text")).alias("words"))
-    wins = materialize(windows(benchmark, size), "windows")
-    small = (wins.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]) <= broadcast_words
-    keyed = materialize(anchors(d, wins, small), "anchors")
+    cut = materialize(windows(benchmark, size), "windows")
+    owners = cut.select("wid", "item").distinct()
+    # The words of the windows and the entries of their item lists are what would be broadcast.
+    small = cut.agg(F.coalesce(F.sum(F.size("words") + 1), F.lit(0))).first()[0] <= broadcast_words
+    wins = cut.select("wid", "words").distinct()
+    keyed = anchors(d, wins, small)
+    if small:
+        keyed = keyed.join(owners.groupBy("wid").agg(F.array_sort(F.collect_set("item")).alias("items")), "wid")
+    keyed = materialize(keyed, "anchors")
     first = F.col("pos") - F.col("at")
     fits = (first >= 0) & (first + F.col("len") <= F.size("words"))
     found = fits & (F.slice("words", F.greatest(first, F.lit(0)) + 1, F.col("len")) == F.col("window"))
@@ -79,8 +91,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share
             d.withColumnsRenamed({"doc_id": "id", "h": "hh"}).join(tries, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("h").eqNullSafe(F.col("hh"))).join(keyed, "wid")
             .where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("window"))
         )
-        hits = checked.select("doc_id", "h", F.lit(None).cast("int").alias("n_words"), "start", (F.col("start") + F.col("len")).alias("stop"), "items")
-        got = d.select("doc_id", "h", F.size("words").alias("n_words"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop"), F.lit(None).cast("array<string>").alias("items")).unionByName(hits)
+        checked = materialize(checked.select("doc_id", "h", "wid", "start", (F.col("start") + F.col("len")).alias("stop")).distinct(), "hits")
+        none = F.lit(None)
+        places = checked.select("doc_id", "h", none.cast("int").alias("n_words"), "start", "stop", none.cast("array<string>").alias("items"))
+        # An item counts once a text, however many of its windows occur there.
+        named = checked.select("doc_id", "h", "wid").distinct().join(owners, "wid").select("doc_id", "h", "item").distinct()
+        items = named.select("doc_id", "h", none.cast("int").alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("stop"), F.array("item").alias("items"))
+        every = d.select("doc_id", "h", F.size("words").alias("n_words"), none.cast("int").alias("start"), none.cast("int").alias("stop"), none.cast("array<string>").alias("items"))
+        got = every.unionByName(places).unionByName(items)
     # Words of a union of intervals: what each adds to the furthest end before it.
     w = Window.partitionBy("doc_id", "h").orderBy(F.col("start").asc_nulls_first(), "stop").rowsBetween(Window.unboundedPreceding, -1)
     added = got.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(w), F.lit(0)))))
@@ -97,6 +115,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, share
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_h"))
-    return docs.join(bad, same, "left_anti")
+    bad = decontaminate(docs, benchmark).where("contaminated").select("doc_id", "h").distinct().alias("bad")
+    d = docs.alias("d")
+    return d.join(bad, F.col("d.doc_id").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64("d.text") == F.col("bad.h")), "left_anti")
