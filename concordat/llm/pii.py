@@ -7,13 +7,20 @@ with possessive quantifiers, which match the same strings as the contract's
 greedy ones (no class contains what follows it) but neither backtrack nor
 recurse on very long runs.
 
-Bootstrapping: base spans are the seeds. The word before a seed is a lexical
-pattern. Patterns and instances (identifier-like strings) form a bipartite
-graph that is scored for ``rounds`` rounds: a pattern's confidence for a kind is
-the share of all its occurrences in the corpus that stand before an instance of
-that kind, weighted by the instances' confidence; an instance's is the noisy or
-of its patterns. Instances at ``accept`` or more that are formatted like the
-kind, but unlike the base format, become spans at each of their places.
+Bootstrapping: base spans are the seeds. The word before a mention and the word
+after it are lexical patterns. Patterns and instances (identifier-like strings)
+form a bipartite graph that is scored for ``rounds`` rounds. Each round the
+patterns are induced anew from the seeds and from all instances accepted so far:
+a pattern needs ``support`` distinct ones of a kind, and its confidence is the
+share of all its occurrences in the corpus that stand by an instance of that
+kind, weighted by the instances' confidence; an instance's is the noisy or of its
+patterns. Instances at ``accept`` or more that are formatted like the kind, but
+unlike the base format, become spans at each of their places: so an instance that
+one pattern finds makes new patterns of the words that stand by it elsewhere.
+
+A candidate is a word with a digit or an @, or a run of number groups from such a
+word on: the word alone and the longest run that may be an instance both count,
+and the more trusted one, of equal ones the longer, becomes the span.
 
 Null and empty texts have no spans. Rows are kept as they repeat in the input.
 Offsets are code points, ends exclusive. Other columns are not read. An empty
@@ -23,6 +30,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,19 +49,23 @@ FORMATS = {
 }
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Identifier-like strings that are no base spans: words with a digit or @, and number groups after them.
+#: Runs that candidates are cut from: a word with a digit or @, and the number groups after it.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(]?[0-9]\S*+)*+"
 #: What an unseen instance of a kind may look like.
-LIKE = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9a-fA-F]+(?:[.:][0-9a-fA-F]+){3,7}$", "card": r"^(?:[^0-9]*[0-9]){13,19}[^0-9]*$", "phone": r"^[^A-Za-z@]*$"}
-PHONE_DIGITS = r"^(?:[^0-9]*[0-9]){7,15}[^0-9]*$"
-#: Characters before a span that are looked at for the word before it.
-REACH = 80
+LIKE = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9a-fA-F]+(?:[.:][0-9a-fA-F]+){3,7}$", "card": r"^(?:[^0-9]*+[0-9]){13,19}[^0-9]*$", "phone": r"^[^A-Za-z@]*$"}
+PHONE_DIGITS = r"^(?:[^0-9]*+[0-9]){7,15}[^0-9]*$"
+#: Number groups of a run that can be one instance: each has a digit, and no kind has more digits.
+GROUPS = 19
+#: Matches whose lengths are added up in one go when places are computed.
+BLOCK = 64
+#: White space other than the space itself.
+SPACES = "\t\n\r\x0b\x0c"
 
 
 @dataclass(frozen=True)
 class Params:
     rounds: int = 3
-    support: int = 3  # distinct seeds that a pattern needs
+    support: int = 3  # distinct accepted instances that a pattern needs
     pattern: float = 0.5  # confidence that a pattern needs
     accept: float = 0.5  # confidence that an instance needs
     #: Patterns of up to so many rows (of under 100 bytes) are broadcast to count their occurrences.
@@ -87,30 +99,64 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: lambda variables are, columns inside lambdas are not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
 def _places(text: Column, pattern: str) -> Column:
-    """array<struct<start, stop, s, gap>> of the matches of a pattern: where they stand and the text before."""
-    gaps = F.split(text, pattern, -1)
+    """array<struct<start, stop, s, before, after>> of the matches of a pattern, with the words beside them.
+
+    Starts are sums of the lengths of all gaps and matches before, by blocks of ``BLOCK``.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("s"))
-    kind = "struct<at:int,out:array<struct<start:int,stop:int,s:string,gap:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    step = F.lit(BLOCK)
+
+    def measured(v: Column) -> Column:
+        lens = F.zip_with(F.slice(v["gaps"], F.lit(1), F.size(v["hits"])), v["hits"], lambda g, h: F.length(g) + F.length(h))
+        return _let(F.struct(v["gaps"].alias("gaps"), v["hits"].alias("hits"), lens.alias("lens")), blocks)
+
+    def blocks(v: Column) -> Column:
+        n = F.size(v["hits"])
+        sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda j: _sum(F.slice(v["lens"], j * step + 1, step)))
+        with_sums = F.struct(v["gaps"].alias("gaps"), v["hits"].alias("hits"), v["lens"].alias("lens"), sums.alias("sums"))
+        return _let(with_sums, lambda x: _let(F.struct(*[x[c].alias(c) for c in ("gaps", "hits", "lens")], F.transform(x["sums"], lambda _, j: _sum(F.slice(x["sums"], F.lit(1), j))).alias("ahead")), rows))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["s"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["s"].alias("s"), F.right(x["gap"], F.lit(REACH)).alias("gap"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+    def rows(v: Column) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            block = F.floor(i / step).cast("int")
+            gap = F.get(v["gaps"], i)
+            start = F.get(v["ahead"], block) + _sum(F.slice(v["lens"], block * step + 1, i % step)) + F.length(gap)
+            return F.struct(
+                start.cast("int").alias("start"), (start + F.length(h)).cast("int").alias("stop"), h.alias("s"), _last_word(gap).alias("before"), _first_word(F.get(v["gaps"], i + 1)).alias("after"),
+            )
 
-    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+        return F.transform(v["hits"], one)
 
+    kind = "array<struct<start:int,stop:int,s:string,before:string,after:string>>"
+    found = _let(F.struct(F.split(text, pattern, -1).alias("gaps"), hits.alias("hits")), lambda v: F.when(F.size(v["hits"]) > 0, measured(v)))
+    return F.coalesce(found.cast(kind), F.array().cast(kind))
 
-SPANS = "array<struct<kind:int,start:int,stop:int,s:string>>"
+
+def _last_word(gap: Column) -> Column:
+    return F.lower(F.substring_index(F.rtrim(F.translate(gap, SPACES, " " * len(SPACES))), " ", -1))
+
+
+def _first_word(gap: Column) -> Column:
+    return F.lower(F.substring_index(F.ltrim(F.translate(gap, SPACES, " " * len(SPACES))), " ", 1))
+
+
+SPANS = "array<struct<kind:int,start:int,stop:int,s:string,before:string,after:string>>"
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """Valid base spans of a kind, leftmost first."""
     found = F.filter(_places(text, FORMATS[kind]), lambda x: _valid(kind, x["s"]))
-    named = F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), x["s"].alias("s"))).cast(SPANS)
+    named = F.transform(found, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), *[x[c].alias(c) for c in ("start", "stop", "s", "before", "after")])).cast(SPANS)
     needed = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(NEEDS[kind])
     return F.when(needed, named).otherwise(F.array().cast(SPANS))
 
@@ -122,70 +168,106 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def _word_before(gap: Column) -> Column:
-    """The last word of the text before a span, lower-cased; '' if it is no plain word."""
-    return F.lower(F.regexp_extract(gap, r"(\S+)\s*$", 1))
-
-
 def _like(kind: Column, s: Column) -> Column:
     """Could this string be an instance of the kind?"""
     checks = [(kind == i) & s.rlike(LIKE[k]) & (s.rlike(PHONE_DIGITS) if k == "phone" else F.lit(True)) for i, k in enumerate(KINDS)]
     return checks[0] | checks[1] | checks[2] | checks[3]
 
 
+def _of_any_kind(s: Column) -> Column:
+    return F.coalesce(reduce(lambda a, b: a | b, [_like(F.lit(i), s) for i in range(len(KINDS))]), F.lit(False))
+
+
+def _bare(s: Column) -> Column:
+    """A candidate without the punctuation around it."""
+    return F.regexp_replace(s, r"^[^0-9A-Za-z@+(]++|[^0-9A-Za-z]++$", "")
+
+
+def _cut(run: Column) -> Column:
+    """array<struct<start, s, last>> of the candidates in a run (start: from the run's own; last: its last group).
+
+    From each group on: the group alone, and the longest run of groups that may be an instance.
+    """
+
+    def cut(v: Column) -> Column:
+        groups = v["groups"]
+
+        def from_group(i: Column) -> Column:
+            at = _sum(F.transform(F.slice(groups, F.lit(1), i), lambda g: F.length(g) + 1))
+            sizes = F.sequence(F.least(F.lit(GROUPS), F.size(groups) - i), F.lit(1), F.lit(-1))
+            made = F.transform(sizes, lambda k: F.struct(at.cast("int").alias("start"), _bare(F.array_join(F.slice(groups, i + 1, k), " ")).alias("s"), (i + k).cast("int").alias("last"), k.cast("int").alias("k")))
+            fits = F.filter(made, lambda x: _of_any_kind(x["s"]))
+            return F.filter(F.array_distinct(F.array(F.get(fits, F.lit(0)), F.try_element_at(fits, F.lit(-1)))), lambda x: x.isNotNull())
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), from_group))
+
+    return _let(F.struct(F.split(run, " ", -1).alias("groups")), cut)
+
+
 def _mentions(rows: DataFrame) -> DataFrame:
-    """Seeds and candidates: rid, kind (null: candidate), start, stop, s, word (before it)."""
-    seeds = rows.where("size(base) > 0").select("rid", "text", F.explode("base").alias("b")).select(
-        "rid", F.col("b.kind").alias("kind"), F.col("b.start").alias("start"), F.col("b.stop").alias("stop"), F.col("b.s").alias("s"),
-        _word_before(F.substring("text", F.greatest(F.lit(0), F.col("b.start") - REACH) + 1, F.least(F.lit(REACH), F.col("b.start")))).alias("word"),
-    )
-    could = rows.where(F.col("text").rlike("[0-9@]")).select("rid", "base", F.explode(_places(F.col("text"), CANDIDATE)).alias("c"))
-    lead = F.length(F.regexp_extract("c.s", r"^[^0-9A-Za-z@+(]*", 0))
-    value = F.regexp_replace(F.col("c.s"), r"^[^0-9A-Za-z@+(]+|[^0-9A-Za-z]+$", "")
-    trimmed = could.select("rid", "base", (F.col("c.start") + lead).alias("start"), value.alias("s"), _word_before(F.col("c.gap")).alias("word"))
-    trimmed = trimmed.withColumn("stop", F.col("start") + F.length("s")).where("length(s) between 5 and 80")
-    free = trimmed.where(~F.exists("base", lambda x: (x["start"] < F.col("stop")) & (F.col("start") < x["stop"])))
-    likely = free.where(F.reduce(F.array(*[_like(F.lit(i), F.col("s")) for i in range(len(KINDS))]), F.lit(False), lambda a, x: a | x))
-    return seeds.unionByName(likely.select("rid", F.lit(None).cast("int").alias("kind"), "start", "stop", "s", "word"))
+    """Seeds and candidates: rid, kind (null: candidate), start, stop, s, before, after (the words beside it)."""
+    seeds = rows.where("size(base) > 0").select("rid", F.explode("base").alias("b")).select("rid", "b.*").select("rid", "kind", "start", "stop", "s", "before", "after")
+    runs = rows.where(F.col("text").rlike("[0-9@]")).select("rid", "base", F.explode(_places(F.col("text"), CANDIDATE)).alias("c"))
+    could = runs.select("rid", "base", "c", F.explode(_cut(F.col("c.s"))).alias("x")).where("x.s <> ''")
+    groups = F.split("c.s", " ", -1)
+    # Inside a run the words beside a candidate are the groups beside it; at its ends those beside the run.
+    first = F.col("x.last") - F.col("x.k")
+    before = F.when(first == 0, F.col("c.before")).otherwise(F.lower(F.get(groups, first - 1)))
+    after = F.when(F.col("x.last") == F.size(groups), F.col("c.after")).otherwise(F.lower(F.get(groups, F.col("x.last"))))
+    lead = F.length(F.regexp_extract(F.element_at(groups, first + 1), r"^[^0-9A-Za-z@+(]*+", 0))
+    start = F.col("c.start") + F.col("x.start") + lead
+    placed = could.select("rid", "base", start.alias("start"), (start + F.length("x.s")).alias("stop"), F.col("x.s").alias("s"), before.alias("before"), after.alias("after"))
+    free = placed.where(~F.exists("base", lambda x: (x["start"] < F.col("stop")) & (F.col("start") < x["stop"])))
+    return seeds.unionByName(free.select("rid", F.lit(None).cast("int").alias("kind"), "start", "stop", "s", "before", "after"))
 
 
 def bootstrap(rows: DataFrame, corpus: DataFrame, params: Params = Params()) -> DataFrame:
     """Discovered spans (rid, kind, start, stop) of ``rows`` (rid, text, base); words are counted over the texts of ``corpus``."""
     mentions = materialize(_mentions(rows), "mentions")
-    edges = mentions.where("word <> ''").groupBy("word", "s").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
-    backed = edges.where("kind is not null").groupBy("word", "kind").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= params.support)
-    patterns = materialize(backed.select("word").distinct(), "patterns")
-    n = patterns.count()
     none = mentions.limit(0).select("rid", "kind", "start", "stop")
-    if not n or mentions.where("kind is null").isEmpty():
+    if mentions.where("kind is null").isEmpty():
+        return none
+    beside = F.explode(F.array(F.struct(F.lit("<").alias("side"), F.col("before").alias("word")), F.struct(F.lit(">").alias("side"), F.col("after").alias("word"))))
+    edges = mentions.select("s", "kind", beside.alias("p")).where("p.word <> ''").groupBy("p.side", "p.word", "s").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
+    edges = materialize(edges, "edges")
+    # Patterns beside fewer strings than the support asks for never count.
+    some = edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("strings"), F.sum("n").alias("most")).where(F.col("strings") >= params.support)
+    some = materialize(some, "patterns")
+    words = materialize(some.select("word").distinct(), "words")
+    n = words.count()
+    if not n:
         return none
-    # How often each pattern's word stands in the corpus, before whatever.
+    # How often each pattern's word stands in the corpus, beside whatever.
     everywhere = corpus.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
     if n <= params.broadcast_patterns:
-        seen = everywhere.join(F.broadcast(patterns), "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+        seen = everywhere.join(F.broadcast(words), "word").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     else:
-        seen = everywhere.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(patterns, "word")
-    # The copy of a word inside a mention's context is one of its occurrences, so total >= n.
-    seen = materialize(seen, "seen")
-    # A pattern that cannot reach the confidence even if all it precedes are instances is out at once.
-    room = edges.groupBy("word").agg(F.sum("n").alias("most")).join(seen, "word").where(F.col("most") >= F.col("total") * params.pattern).select("word", "total")
-    graph = materialize(edges.join(room, "word"), "graph")
+        seen = everywhere.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(words, "word")
+    # A word glued to a mention is no word of its own in the corpus: then what is known is all there is.
+    # A pattern that cannot reach the confidence even if all it stands by are instances is out at once.
+    room = some.join(seen, "word", "left").withColumn("total", F.greatest("most", F.coalesce("total", F.lit(0)))).where(F.col("most") >= F.col("total") * params.pattern)
+    graph = materialize(edges.join(room.select("side", "word", "total"), ["side", "word"]), "graph")
     seeds = mentions.where("kind is not null").select("s", "kind").distinct().withColumn("conf", F.lit(1.0))
-    instances = materialize(seeds.join(graph.select("s").distinct(), "s", "left_semi"), "instances")
-    known = instances
+    known = materialize(seeds.join(graph.select("s").distinct(), "s", "left_semi"), "instances")
+    instances = known
     for _ in range(params.rounds):
-        scored = (
-            graph.select("word", "s", "n", "total").join(instances, "s").groupBy("word", "kind", "total")
-            .agg((F.sum(F.col("n") * F.col("conf")) / F.col("total")).alias("trust")).where(F.col("trust") >= params.pattern)
-            .join(backed.select("word", "kind"), ["word", "kind"], "left_semi").select("word", "kind", F.least("trust", F.lit(0.999)).alias("trust"))
+        trusted = (
+            graph.select("side", "word", "s", "n", "total").join(instances, "s").groupBy("side", "word", "kind", "total")
+            .agg((F.sum(F.col("n") * F.col("conf")) / F.col("total")).alias("trust"), F.count_if(F.col("conf") >= params.accept).alias("support"))
+            .where((F.col("trust") >= params.pattern) & (F.col("support") >= params.support)).select("side", "word", "kind", F.least("trust", F.lit(0.999)).alias("trust"))
         )
         found = (
-            graph.where("kind is null").select("word", "s").join(scored, "word").where(_like(F.col("kind"), F.col("s")))
+            graph.where("kind is null").select("side", "word", "s").join(trusted, ["side", "word"]).where(_like(F.col("kind"), F.col("s")))
             .groupBy("s", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("conf"))
         )
-        instances = materialize(known.unionByName(found.join(known.select("s"), "s", "left_anti")), "instances")
-    best = instances.where(F.col("conf") >= params.accept).groupBy("s").agg(F.max_by("kind", F.struct("conf", -F.col("kind"))).alias("as"))
-    return mentions.where("kind is null").join(best, "s").select("rid", F.col("as").alias("kind"), "start", "stop").distinct()
+        instances = materialize(known.unionByName(found.join(known.select("s").distinct(), "s", "left_anti")), "instances")
+    best = instances.where(F.col("conf") >= params.accept).groupBy("s").agg(F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("b"))
+    spans = mentions.where("kind is null").join(best, "s").select("rid", (-F.col("b.k")).alias("kind"), "start", "stop", F.col("b.conf").alias("conf")).distinct()
+    # Of candidates that overlap, the more trusted one stays, of equal ones the longer, then the first.
+    a, b = spans.alias("a"), spans.alias("b")
+    rank = lambda t: F.struct(F.col(f"{t}.conf"), F.col(f"{t}.stop") - F.col(f"{t}.start"), -F.col(f"{t}.start"))
+    over = (F.col("a.rid") == F.col("b.rid")) & (F.col("a.start") < F.col("b.stop")) & (F.col("b.start") < F.col("a.stop")) & (rank("a") < rank("b"))
+    return a.join(b, over, "left_anti").select("rid", "kind", "start", "stop")
 
 
 def _is(kind: int):

@@ -44,7 +44,9 @@ def test_decontaminate_edges(spark, hard):
     assert sorted((r.n_hit, r.contaminated) for r in got)[-3:] == [(3, True)] * 3
     assert decontaminate.decontaminate(hard.limit(0), b).count() == 0
     assert decontaminate.decontaminate(hard, b.limit(0)).where("n_hit > 0").count() == 0
-    assert decontaminate.keep_uncontaminated(hard, b).columns == hard.columns
+    clash = hard.withColumns({c: F.lit("clash") for c in ("bad_id", "bad_h", "wid", "n", "d")})
+    assert decontaminate.keep_uncontaminated(clash, b).columns == clash.columns
+    assert decontaminate.keep_uncontaminated(clash, b).count() == clash.count() - 3
 
 
 def test_bpe_equals_tiktoken(spark, sf, hard):
@@ -92,13 +94,33 @@ def test_exact_dedup_tells_collisions_apart(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     real = exact_dedup.fingerprints
 
-    def coarse(d, i="doc_id", t="text"):  # all texts of a length collide
-        return real(d, i, t).withColumn("fp", F.lit(1).cast("long"))
+    def coarse(d, i="doc_id", t="text", big=exact_dedup.BIG):  # all texts of a length collide
+        return real(d, i, t, big).withColumn("fp", F.lit(1).cast("long"))
 
     monkeypatch.setattr(exact_dedup, "fingerprints", coarse)
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()}
     last, size = {t: i for i, t in rows}, Counter(t for _, t in rows)
     assert got == {i: (last[t], size[t]) for i, t in rows}
+    # Under one id, and without an id, too.
+    for rows in ([(1, "ab"), (1, "cd"), (1, "ab")], [(None, "ab"), (None, "cd"), (2, "ab"), (None, "cd")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        out = exact_dedup.exact_dedup(df).collect()
+        size = Counter(t for _, t in rows)
+        best = {t: max((i for i, u in rows if u == t and i is not None), default=None) for t in size}
+        key = lambda x: tuple(map(str, x))
+        assert sorted(((r.doc_id, r.text_sha256, r.keep_id, r.group_size) for r in out), key=key) == sorted(((i, hashlib.sha256(t.encode()).hexdigest(), best[t], size[t]) for i, t in rows), key=key)
+        assert sum(r.kept for r in out) == 2 and exact_dedup.keep_one(df).count() == 2
+
+
+def test_exact_dedup_hashes_long_texts_as_rows_of_chunks(spark):
+    long = "".join(chr(97 + i * i % 26) + "é🎉"[i % 2] for i in range(150_000))
+    rows = [(1, long), (2, long + "x"), (3, long), (4, "short"), (5, "short"), (None, long), (7, long[:-1] + "é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda d: sorted(((r.doc_id, r.fp, r.n_bytes, r.text_sha256) for r in d.collect()), key=str)
+    assert key(exact_dedup.fingerprints(df, big=1000)) == key(exact_dedup.fingerprints(df))
+    for big in (1000, exact_dedup.BIG):
+        got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df, big=big).collect()}
+        assert got == {(1, 3, 3), (3, 3, 3), (None, 3, 3), (2, 2, 1), (4, 5, 2), (5, 5, 2), (7, 7, 1)}
 
 
 def test_exact_dedup_of_repeated_ids_with_texts_of_one_length(spark):
@@ -277,12 +299,7 @@ def test_license_gates_hide_nothing():
     }
     assert {x: s.scan(f"here {x} there")["labels"] for x in samples} == samples
     everything = s.gates
-    passages = [
-        "permission is hereby granted free of charge to any person x to permit persons to whom the software is furnished to do so the software is provided",
-        "neither the name of x nor the names of its contributors may be used to endorse or promote products derived from this software",
-        "dedicated to the public domain", "copyright c 2020 x all rights reserved", "confidential and proprietary", "proprietary and confidential",
-    ]
-    passages += [r.replace("(?:program|software|file)", "file").replace("[sc]", "s") for _, _, r in license_rules.BODIES]
+    passages = [x for _, r in license_rules.BODIES for x in license_rules.spellings(r)[:50]]
     n = 0
     for names in license_rules.FAMILIES:
         for label, name in names:
@@ -295,6 +312,32 @@ def test_license_gates_hide_nothing():
         n += bool(found)
         assert s.detections(joined, set(x.encode().split())) == found, x
     assert n > 0.9 * len(passages)
+    # Every signature finds its own spellings, and no pattern stands twice.
+    for label, r in license_rules.BODIES:
+        for x in license_rules.spellings(r)[:20]:
+            assert s.scan(x)["labels"], (label, x)
+    patterns = [r for _, r in license_rules.BODIES] + [r for names in license_rules.FAMILIES for _, r in names]
+    assert len(patterns) == len(set(patterns)) == 246 and sum(len(own) for _, own in license_rules.rules()) == 578
+
+
+def test_license_labels_equal_brute_force(spark, sf):
+    """All rules on all texts without gates; overlaps resolved by definition: a detection goes if a better one that stays holds it."""
+    from concordat.llm import license_rules
+
+    own = [(r, re.compile(rf"(?<= )(?:{r.regex})(?= )")) for _, rs in license_rules.rules() for r in rs]
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    extra = ["GPL v3 or later, or the MIT License; see LGPL 2.1", "Licensed under the Apache License, Version 2.0 with LLVM exceptions", "Licensed under MPL 2.0 and all rights reserved"]
+    texts = [r.text for r in docs(spark, sf).select("text").collect()] + extra
+    s = license_scan.Scanner()
+    for t in texts:
+        joined = f" {' '.join(WORD.findall((t or '').translate(LOW)))} "
+        found = [(-r.priority, m.start() - m.end(), m.start(), r.label, m.end()) for r, x in own for m in x.finditer(joined)]
+        kept = []
+        for d in sorted(found):
+            if all(k[2] > d[2] or k[4] < d[4] for k in kept):
+                kept.append(d)
+        labels = {d[3] for d in kept} | {v for p, v in phrases.items() if f" {p} " in joined}
+        assert s.scan(t)["labels"] == ",".join(sorted(labels))
 
 
 def test_unigram_counts_equal_brute_force(spark, hard):
@@ -324,6 +367,60 @@ def test_html_layouts(spark):
     assert got[4][0] == "Some long text here that is quite a paragraph of words, and so on."
 
 
+BROKEN = {
+    "comment with a script tag": "<!-- <script> old -->", "script with a comment": "<script>if (a <!-- b) '</p>'</script>", "unclosed button": "<button>", "unclosed template": "<template>",
+    "unclosed object": "<object data=x>", "unclosed option": "<option>", "unclosed select": "<select>", "unclosed svg": "<svg>", "unclosed noscript": "<span><noscript></span>", "empty comment": "<!-->",
+    "title in text": "<title>a<title></title>", "style": "<style>p > a {}</style>", "declaration": "<!DOCTYPE x>", "stray end": "</button></template></div>", "control": "<select><option>x</select><button>Go</button>",
+}
+
+
+@pytest.mark.parametrize("what", sorted(BROKEN))
+def test_html_loses_no_article_text(what):
+    m = html_extract.Model(html_extract.hand_counts())
+    first, second = "The first paragraph of this article is long enough to be one.", "The second paragraph of the article comes after it, and stays."
+    page = f"<html><body><nav><a href=x>Menu</a></nav><article><p>{first}</p>{BROKEN[what]}<p>{second}</p></article><footer>Foot</footer></body></html>"
+    assert m.extract(page) == f"{first}\n\n{second}"
+
+
+def test_html_keeps_text_of_math_and_drops_controls_inside_a_block():
+    m = html_extract.Model(html_extract.hand_counts())
+    page = "<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <button>Like</button>here, and this goes on for a while.</p></article>"
+    assert m.extract(page) == "We know that x=2 holds here, and this goes on for a while."
+
+
+#: Pages that the model has never seen, with the text a person would mark as the article's.
+HELD_OUT = (
+    ("<body><header><h1>Site</h1></header><div class='container'><div class='post-body'><h2>On rain</h2><p>It rained for three days before the river rose, and nobody slept.</p><p>Then it stopped.</p></div><div class='related-posts'><p>More on weather</p></div></div><footer>2024</footer></body>",
+     "On rain\n\nIt rained for three days before the river rose, and nobody slept.\n\nThen it stopped."),
+    ("<body><div id=topbar class=menu><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></div><main><p>A main part without an article element still holds the text that people came to read.</p><ul><li>With a list of points</li></ul></main><div class='cookie banner'>We use cookies</div></body>",
+     "A main part without an article element still holds the text that people came to read.\n\nWith a list of points"),
+    ("<body><article class=story><header><h1>Council votes</h1></header><p>The council voted late in the night to keep the old bridge open for walkers.</p><aside class=sidebar><p>Read next</p></aside><p>Work begins in May, said the mayor of the town on Monday.</p></article><section class=comments><div class=comment><p>About time, I walk there every day with my dog.</p></div></section></body>",
+     "Council votes\n\nThe council voted late in the night to keep the old bridge open for walkers.\n\nWork begins in May, said the mayor of the town on Monday."),
+    ("<body><div class=advert><p>Buy now and save</p></div><div class='article content'><h1>How bread is made</h1><p>Flour, water and salt are mixed, and the dough is left to rest for hours.</p><blockquote><p>Time does the work, an old baker once said to me.</p></blockquote></div><form class=newsletter><label>Mail</label></form></body>",
+     "How bread is made\n\nFlour, water and salt are mixed, and the dough is left to rest for hours.\n\nTime does the work, an old baker once said to me."),
+)
+
+
+def test_html_held_out_pages():
+    """Blocks of pages labelled by hand that training never sees: precision and recall of 0.95 or more."""
+    m = html_extract.Model(html_extract.hand_counts())
+    hit = got = want = 0
+    for page, text in HELD_OUT:
+        a, b = Counter(m.extract(page).split("\n\n")), Counter(text.split("\n\n"))
+        hit, got, want = hit + (a & b).total(), got + a.total(), want + b.total()
+    assert hit / got >= 0.95 and hit / want >= 0.95
+
+
+def test_html_edges(spark):
+    long = "<article>" + "<p>A paragraph of a very long page that goes on and on.</p>" * 20_000 + "</article>"
+    rows = [(1, "u", long), (1, "u", long), (None, None, None), (2, None, "<p"), (3, "u", "<" * 5000), (4, "u", "<div>" * 3000 + "deep text")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "n_chars", "k", "v")})
+    model = html_extract.fit(df)
+    got = html_extract.extract(df, model).collect()
+    assert len(got) == 6 and [r.text.count("\n\n") for r in got if r.page_id == 1] == [19_999] * 2
+    assert html_extract.extract(df.limit(0), html_extract.fit(df.limit(0))).count() == 0
+
+
 def test_html_marginals_equal_enumeration():
     import itertools
     import math
@@ -375,3 +472,25 @@ def test_pii_base_and_bootstrapping(spark, sf, hard):
         assert g.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert g.spans == (text if r.doc_id != 50_024 else "phone:14:28")
     assert pii.find(hard).count() == hard.count() and pii.find(hard.limit(0)).count() == 0
+
+
+def test_pii_discovers_in_rounds(spark):
+    """'callme:' is learnt from seeds; what it finds teaches 'ring', which no seed stands by."""
+    texts = [f"noise {i} callme: +1 (743) 555-38{i:02d} and so" for i in range(20)]
+    both = [f"(743) 666-77{i:02d}" for i in range(5)]
+    texts += [f"words callme: {x} then" for x in both] + [f"please ring {x} soon" for x in both]
+    only = ["please ring (743) 888-9999 soon", "badge callme: 4471882 2024 17 30 45 67 12 11 22 33 44 55 66 77 88 99 11 22 33 44 end"]
+    df = spark.createDataFrame(list(enumerate(texts + only)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df, pii.Params(rounds=1)).collect()}
+    assert got[len(texts)] == "" and got[25] == "phone:12:26"  # a found string is one at each of its places
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert got[20] == "phone:14:28" and got[25] == "phone:12:26" and got[len(texts)] == "phone:12:26"
+    assert got[len(texts) + 1].startswith("phone:14:")
+
+
+def test_pii_places_of_many_matches(spark):
+    text = " ".join(f"w{'é' * (i % 7)} a{i}@b{i}.org" for i in range(700))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(BASE["email"], text))
+    assert got[1].spans == want and got[1].n_email == 700 and got[2].spans == got[3].spans == ""
