@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from concordat.session import ship
 
-#: Rows of an Arrow batch. Texts may be 100 KB and more, so that a batch of
-#: Spark's default 10,000 rows would not fit in a small executor.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch. Texts may be 100 KB and more, and groups of long near
+#: copies follow each other, so that Spark's default of 10,000 rows would not fit
+#: in a small executor.
+BATCH_ROWS = 250
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

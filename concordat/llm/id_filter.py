@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.llm.common import prepare
+from concordat.session import materialize
 
 BITS, SLICES = 25, 16
 
@@ -26,8 +27,11 @@ def _places(ids: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def build(ids: DataFrame) -> np.ndarray:
-    """Bitmap of a one-column frame of long ids. Tasks fill their own, slices are joined in Spark."""
+def build(ids: DataFrame, within=None) -> np.ndarray:
+    """Bitmap of a one-column frame of long ids. Tasks fill their own, slices are joined in Spark.
+
+    ``within``: a broadcast bitmap; ids that it surely does not hold are left out.
+    """
     prepare(ids.sparkSession)
     kinds = "slice int, bits binary"
     schema = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
@@ -35,7 +39,10 @@ def build(ids: DataFrame) -> np.ndarray:
     def fill(batches):
         bits = np.zeros(1 << (BITS - 3), np.uint8)
         for b in batches:
-            at = _places(b.column(0).drop_null().to_numpy(zero_copy_only=False))
+            own = b.column(0).drop_null()
+            if within is not None:
+                own = own.filter(pa.array(may_hold(within.value, own)))
+            at = _places(own.to_numpy(zero_copy_only=False))
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         parts = [(i, p) for i, p in enumerate(np.split(bits, SLICES)) if p.any()]
         yield pa.RecordBatch.from_pydict({"slice": [i for i, _ in parts], "bits": [zlib.compress(p.tobytes(), 1) for _, p in parts]}, schema=schema)
@@ -60,23 +67,22 @@ def may_hold(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def split(df: DataFrame, bits: np.ndarray, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows surely not in the set, rows that may be), all columns; null ids are not in it."""
-    spark = df.sparkSession
-    prepare(spark)
-    shared = spark.sparkContext.broadcast(bits)
+def split(df: DataFrame, id_col: str, *held) -> tuple[DataFrame, DataFrame]:
+    """(rows surely not in the first set, rows that may be in all of them), all columns, by broadcast bitmaps; null ids are in none."""
+    prepare(df.sparkSession)
     at = df.columns.index(id_col)
 
-    def pick(held: bool):
+    def pick(first: bool):
         def run(batches):
             for b in batches:
                 ids = b.column(at).cast(pa.int64())
-                hit = may_hold(shared.value, ids.fill_null(0)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                yield b.filter(pa.array(hit == held, pa.bool_()))
+                known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0)
+                hits = [may_hold(x.value, ids) & known for x in held]
+                yield b.filter(pa.array(~hits[0] if first else np.logical_and.reduce(hits), pa.bool_()))
 
         return df.mapInArrow(run, df.schema)
 
-    return pick(False), pick(True)
+    return pick(True), pick(False)
 
 
 def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
@@ -86,9 +92,10 @@ def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     that are not: a row that hits the first only is gone for sure and dropped
     where it is. Only rows that hit both, few beside those that go, are shuffled.
     """
-    first = build(gone)
-    ids = df.select(df[id_col].cast("long").alias("id"))
-    spared = split(ids, first, "id")[1].distinct().join(gone, "id", "left_anti")
-    clear, unsure = split(df, first, id_col)
-    both = split(unsure, build(spared), id_col)[1].alias("d")
+    sc = df.sparkSession.sparkContext
+    first = sc.broadcast(build(gone))
+    flagged = split(df.select(df[id_col].cast("long").alias("id")), "id", first)[1]
+    spared = materialize(flagged.distinct().join(gone, "id", "left_anti"), "spared")
+    clear, both = split(df, id_col, first, sc.broadcast(build(spared)))
+    both = both.alias("d")
     return clear.unionByName(both.join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.id"), "left_anti"))

@@ -54,7 +54,7 @@ SKETCH_BITS, SLICES = 20, 16
 #: Bits of the bitmap of tile keys (16 MB), of the keys that are counted, and keys of a counting task.
 MARK_BITS, KEY_BITS, KEYS_A_TASK = 27, 40, 400_000
 #: Keys a task holds before it counts and packs them.
-FLUSH = 2_000_000
+FLUSH = 500_000
 #: Bits of the signatures that rows still apart get, and sets of a tile they are tried with before.
 WIDE, HEADS = 1024, 8
 
@@ -158,7 +158,7 @@ def _nodes(texts: DataFrame, reps: DataFrame, copies: DataFrame):
         for b in batches:
             yield b.filter(pa.array(id_filter.may_hold(bits.value, b.column(0)) == want))
 
-    both = spark.sparkContext.broadcast(id_filter.build(reps.mapInArrow(lambda batches: hits(twice, batches), "id long")))
+    both = spark.sparkContext.broadcast(id_filter.build(reps, within=twice))
     moved = texts.mapInArrow(lambda batches: hits(both, hits(twice, batches)), "id long, text string").join(reps, "id", "left_semi")
     moved = materialize(moved, "nodes")
 
