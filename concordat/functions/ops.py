@@ -43,12 +43,16 @@ class OpRegistry:
 
     def __init__(self):
         self._ops: dict[str, Callable[..., Value | Column]] = {}
+        self._sequences: set[str] = set()
+
+    def register(self, name: str, fn: Callable | None = None, *, override: bool = False, sequence: bool = False):
+        """``sequence``: the operation takes an array; a scalar counts as an array of one, null as none."""
 
-    def register(self, name: str, fn: Callable | None = None, *, override: bool = False):
         def put(f):
             if name in self._ops and not override:
                 raise ValueError(f"operation {name!r} is registered already")
             self._ops[name] = f
+            (self._sequences.add if sequence else self._sequences.discard)(name)
             return f
 
         return put(fn) if fn else put
@@ -62,7 +66,10 @@ class OpRegistry:
     def names(self) -> list[str]:
         return sorted(self._ops)
 
-    def apply(self, call: Op, c: Column) -> Value:
+    def apply(self, call: Op, c: Column, kind: str | None = None) -> Value:
+        """``kind``: the column's type, where it is known."""
+        if kind is not None and call.name in self._sequences and not kind.startswith("array"):
+            c = F.when(c.isNotNull(), F.array(c))
         out = self.get(call.name)(c, **call.args)
         return out if isinstance(out, Value) else Value(out)
 
@@ -76,8 +83,8 @@ def run_chains(df: DataFrame, chains: dict[str, tuple[Column, list[Op]]], ops: O
     ship(df.sparkSession)  # a few operations are Arrow helpers
     df = df.withColumns({n: c for n, (c, _) in chains.items()} | {f"{n}__err": F.lit(None).cast("string") for n in chains})
     for i in range(max((len(calls) for _, calls in chains.values()), default=0)):
-        step = {n: ops.apply(calls[i], F.col(f"`{n}`")) for n, (_, calls) in chains.items() if i < len(calls)}
         kinds = dict(df.dtypes)
+        step = {n: ops.apply(calls[i], F.col(f"`{n}`"), kinds[n]) for n, (_, calls) in chains.items() if i < len(calls)}
         new = df.select(*[v.value.alias(n) for n, v in step.items()]).dtypes
         cols = {}
         for n, kind in new:
@@ -109,7 +116,7 @@ _put("title", lambda c: vector.title(c))
 _put("capitalize", lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2**31 - 1))))
 _put("upper_first", lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1)))
 _put("transliterate", lambda c: vector.transliterate(c))
-_put("casefold", lambda c: vector.casefold(c))
+_put("casefold", text.casefold)
 _put("to_string", lambda c: text.empty_to_null(text.strip(c.cast("string"))))
 _put("normalize_text", text.collapse)
 _put("concat", lambda c, sep="": F.when(F.exists(c, lambda x: x.isNotNull()), F.array_join(c, sep)))
@@ -143,6 +150,17 @@ def _groups(pattern: str) -> int:
     return re.compile(pattern).groups
 
 
+def java_replacement(repl: str) -> str:
+    """A Python-style replacement for Spark's engine: ``\\1`` and ``\\g<name>`` are groups, ``$`` is itself."""
+
+    def one(m: re.Match) -> str:
+        if m[1] or m[2]:
+            return f"${{{m[1]}}}" if m[1] and not m[1].isdigit() else f"${m[1] or m[2]}"
+        return {"\\\\": "\\\\", "$": "\\$"}.get(m[0], "\\" + m[0] if m[0] == "\\" else m[0])
+
+    return re.sub(r"\\g<(\w+)>|\\(\d)|\\\\|\\|\$", one, repl)
+
+
 @_put("regex_extract")
 def _regex_extract(c, pattern, group=0):
     if group > _groups(pattern):
@@ -153,7 +171,7 @@ def _regex_extract(c, pattern, group=0):
 
 @_put("regex_replace")
 def _regex_replace(c, pattern, repl=""):
-    return F.regexp_replace(c, java_regex(pattern), re.sub(r"\\g<(\w+)>", r"${\1}", re.sub(r"\\(\d)", r"$\1", repl)))
+    return F.regexp_replace(c, java_regex(pattern), java_replacement(repl))
 
 
 @_put("format_mask")
@@ -312,12 +330,12 @@ def _extract_patterns(c, patterns, split_pattern=r"\s+", keyed_prefixes=()):
 
 # Arrays
 
-_put("first", lambda c: F.get(c, F.lit(0)))
-_put("last", lambda c: F.try_element_at(c, F.lit(-1)))
-_put("at", lambda c, index=0: F.get(c, F.lit(index)) if index >= 0 else F.try_element_at(c, F.lit(index)))
-_put("compact", lambda c: F.coalesce(F.filter(c, lambda x: ~text.blank(x)), F.array().cast("array<string>")))
-_put("unique", F.array_distinct)
-_put("count", lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)))
+_put("first", lambda c: F.get(c, F.lit(0)), sequence=True)
+_put("last", lambda c: F.try_element_at(c, F.lit(-1)), sequence=True)
+_put("at", lambda c, index=0: F.get(c, F.lit(index)) if index >= 0 else F.try_element_at(c, F.lit(index)), sequence=True)
+_put("compact", lambda c: F.coalesce(F.filter(c, lambda x: ~text.blank(x.cast("string"))), F.array()), sequence=True)
+_put("unique", lambda c: F.coalesce(F.array_distinct(c), F.array()), sequence=True)
+_put("count", lambda c: F.when(c.isNull(), 0).otherwise(F.size(c)), sequence=True)
 
 
 @_put("map_each")

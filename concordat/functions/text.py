@@ -28,14 +28,30 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WS, " "))
 
 
+# The dotless i folds to itself, and what stands for it meanwhile.
+_KEPT, _SPARE = "ı", "\ue000"
+
+
+def casefold(c: Column) -> Column:
+    """Full Unicode case folding without Python: lower, upper and lower case again.
+
+    The final sigma folds to the plain one. Cherokee, whose folding is upper case,
+    comes out in lower case on both sides of a comparison.
+    """
+    # Spark drops the inner one of two case functions that follow each other: something stands between them.
+    upper = F.upper(F.translate(F.lower(c), _KEPT, _SPARE))
+    return F.translate(F.lower(F.translate(upper, "ϴ", "Θ")), "ς" + _SPARE, "σ" + _KEPT)
+
+
 def compare_form(c: Column) -> Column:
-    """Form in which texts are compared: collapsed, lower-cased, null as ''."""
-    return F.replace(F.lower(collapse(F.coalesce(c, F.lit("")))), F.lit("ß"), F.lit("ss"))
+    """Form in which texts are compared: collapsed, case-folded, null as ''."""
+    return casefold(collapse(F.coalesce(c, F.lit(""))))
 
 
 def shorten(c: Column, limit: int) -> Column:
-    """Texts longer than ``limit`` are cut and end in three dots."""
-    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(max(limit - 3, 0))), F.lit("..."))).otherwise(c)
+    """Texts longer than ``limit`` are cut to it; with room for more than three dots they end in these."""
+    dots = "..." if limit > 3 else ""
+    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(max(limit - len(dots), 0))), F.lit(dots))).otherwise(c)
 
 
 def key_digest(c: Column, salt: str = "", length: int = 12) -> Column:

@@ -1,4 +1,4 @@
-"""The four text functions Spark SQL lacks, as Arrow helpers."""
+"""The three text functions Spark SQL lacks, as Arrow helpers."""
 
 from __future__ import annotations
 
@@ -9,18 +9,21 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Latin spellings of Cyrillic letters and of Latin letters that NFKD leaves whole.
+# Latin spellings of Cyrillic and Greek letters, and of Latin letters that NFKD leaves whole.
 CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюя", "a b v g d e zh z i i k l m n o p r s t u f kh ts ch sh shch # y # e iu ia".replace("#", "").split(" ")))
 OTHER = {"ё": "e", "є": "ie", "і": "i", "ї": "yi", "ґ": "g", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "«": "<<", "»": ">>", "№": "No", "…": "..."}
-TABLE = {ord(k): v for k, v in (CYRILLIC | OTHER).items()}
-TABLE |= {ord(k.upper()): v.capitalize() for k, v in (CYRILLIC | OTHER).items() if k.upper() != k and len(k.upper()) == 1}
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(" ")))
+TABLE = {ord(k): v for k, v in (CYRILLIC | GREEK | OTHER).items()}
+TABLE |= {ord(k.upper()): v.capitalize() for k, v in (CYRILLIC | GREEK | OTHER).items() if k.upper() != k and len(k.upper()) == 1}
 
 
 def to_ascii(s: str | None) -> str | None:
     """ASCII spelling of a text; letters without one are dropped."""
     if s is None or s.isascii():
         return s
-    plain = unicodedata.normalize("NFKD", unicodedata.normalize("NFC", s).translate(TABLE))
+    # Accents come off first where a letter has its own spelling without them (Greek), but й and ё keep theirs.
+    bare = "".join(unicodedata.normalize("NFD", x)[0] if "Ͱ" <= x <= "Ͽ" or "ἀ" <= x <= "῿" else x for x in unicodedata.normalize("NFC", s))
+    plain = unicodedata.normalize("NFKD", bare.translate(TABLE))
     return plain.encode("ascii", "ignore").decode()
 
 
@@ -35,11 +38,6 @@ def transliterate(s: pd.Series) -> pd.Series:
     return s.map(to_ascii)
 
 
-@F.pandas_udf(T.StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
-
-
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of the longest-matching-blocks comparison, first argument first; null scores 0."""

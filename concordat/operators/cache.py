@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from concordat.functions.ops import all_of, any_of
 from concordat.functions.text import blank, strip
@@ -15,7 +15,10 @@ from concordat.functions.text import blank, strip
 
 @dataclass(frozen=True)
 class CacheColumn:
-    """``value`` over a raw item, cast to ``type``; on_error: error, warn or set_null when it doesn't fit."""
+    """``value`` over a raw item, cast to ``type``; on_error: error, warn, skip or set_null when it doesn't fit.
+
+    All but error store null; warn leaves a warning with the item.
+    """
 
     name: str
     value: Column
@@ -25,16 +28,19 @@ class CacheColumn:
 
 
 def project_items(raw: DataFrame, columns: list[CacheColumn], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Cache columns, and ``failed``: null or why the item can't be stored."""
-    out, why = {}, []
+    """Cache columns, ``failed``: null or why the item can't be stored, and ``warned``: what was stored as null with a warning."""
+    out, why, warned = {}, [], []
     for c in columns:
+        if c.on_error not in ("error", "warn", "skip", "set_null"):
+            raise ValueError(f"{c.name}: unknown on_error {c.on_error!r}")
         v = c.value.try_cast(c.type) if c.type != "string" else c.value.cast("string")
         out[c.name] = v
-        if c.on_error == "error":
-            why.append(F.when(c.value.isNotNull() & v.isNull(), f"{c.name}: not of type {c.type}"))
+        if c.on_error in ("error", "warn"):
+            (why if c.on_error == "error" else warned).append(F.when(c.value.isNotNull() & v.isNull(), f"{c.name}: not of type {c.type}"))
         if c.required:
             why.append(F.when(blank(v.cast("string")), f"{c.name}: missing"))
-    return raw.select(*keep, *[v.alias(n) for n, v in out.items()], F.coalesce(*why, F.lit(None).cast("string")).alias("failed"))
+    notes = F.array_compact(F.array(*warned)) if warned else F.array().cast("array<string>")
+    return raw.select(*keep, *[v.alias(n) for n, v in out.items()], F.coalesce(*why, F.lit(None).cast("string")).alias("failed"), notes.alias("warned"))
 
 
 def nullish(c: Column) -> Column:
@@ -70,10 +76,9 @@ def find(cache: DataFrame, equals: dict | None = None, like: dict | None = None,
 
 
 def last_wins(batch: DataFrame, pk: str, order: list[str]) -> DataFrame:
-    """The last item of each key, by page and ordinal; ``sightings`` counts them."""
-    w = Window.partitionBy(pk)
-    ranked = batch.withColumns({"__n": F.row_number().over(w.orderBy(*[F.desc(o) for o in order])), "sightings": F.count(F.lit(1)).over(w)})
-    return ranked.where("__n = 1").drop("__n")
+    """The last item of each key, by page and ordinal; ``sightings`` counts them. Tasks keep one item a key before the shuffle."""
+    per = batch.groupBy(pk).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("__last"), F.count(F.lit(1)).alias("sightings"))
+    return per.select("__last.*", "sightings")
 
 
 def upsert(snapshot: DataFrame, batch: DataFrame, pk: str) -> DataFrame:
@@ -88,8 +93,9 @@ def upsert(snapshot: DataFrame, batch: DataFrame, pk: str) -> DataFrame:
 
 def unique_violations(rows: DataFrame, pk: str, unique: str, order: str) -> DataFrame:
     """Rows whose unique value belongs to the key that came first with it. Null values are free."""
-    w = Window.partitionBy(unique).orderBy(order, pk)
-    return rows.where(F.col(unique).isNotNull()).withColumn("__owner", F.first(pk).over(w)).where(F.col("__owner") != F.col(pk)).drop("__owner")
+    some = rows.where(F.col(unique).isNotNull())
+    owners = some.groupBy(F.col(unique).alias("__u")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(pk).alias("k")))["k"].alias("__owner"))
+    return some.join(owners, F.col(unique) == F.col("__u")).where(F.col("__owner") != F.col(pk)).drop("__u", "__owner")
 
 
 def refresh(snapshot: DataFrame, raw: DataFrame, columns: list[CacheColumn], pk: str, order: list[str], deleted: Column) -> tuple[DataFrame, DataFrame]:
@@ -110,6 +116,32 @@ def refresh(snapshot: DataFrame, raw: DataFrame, columns: list[CacheColumn], pk:
     return state, base.crossJoin(seen)  # one row each
 
 
+def refresh_totals(counts: dict[str, DataFrame]) -> DataFrame:
+    """Counts of ``refresh`` by data set, with a total (null data set)."""
+    rows = reduce(DataFrame.unionByName, [c.withColumn("dataset", F.lit(n)) for n, c in counts.items()])
+    return rows.rollup("dataset").agg(*[F.sum(c).alias(c) for c in ("inserted", "updated", "failed", "skipped")])
+
+
+def clear(parts: dict[str, DataFrame], parents: dict[str, list[str]], dataset: str | None = None, cascade: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the emptied data sets, dependants first; one row each with what it held) of one data set or of all.
+
+    With ``cascade`` what depends on the data set is cleared too; without, a data
+    set that others depend on is refused.
+    """
+    order = [d for d in clear_order(parents) if d in parts]
+    below = {d: {c for c, ps in parents.items() if d in ps} for d in order}
+    chosen, open_ = set(order if dataset is None else [dataset]), [] if dataset is None else [dataset]
+    while open_:
+        new = below.get(open_.pop(), set()) - chosen
+        chosen |= new
+        open_ += new
+    if dataset is not None and not cascade and len(chosen) > 1:
+        raise ValueError(f"{dataset} is needed by {', '.join(sorted(chosen - {dataset}))}")
+    names = [d for d in order if d in chosen]
+    counts = reduce(DataFrame.unionByName, [parts[d].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step"), F.lit(d).alias("dataset"), "rows") for i, d in enumerate(names)])
+    return {d: parts[d].limit(0) for d in names}, counts
+
+
 def schema_hash(df: DataFrame) -> str:
     return hashlib.sha256(df.schema.json().encode()).hexdigest()
 
@@ -125,6 +157,14 @@ def drift(df: DataFrame, stored_hash: str | None, policy: str = "fail") -> str:
     return "rebuild"
 
 
+def rebuilt(df: DataFrame, snapshot: DataFrame, stored_hash: str | None, policy: str = "fail") -> DataFrame:
+    """The snapshot to refresh from: the stored one, or an empty one of the new schema where the schema's drift asks for a rebuild.
+
+    Policies: fail, rebuild. All data sets are rebuilt by calling this for each.
+    """
+    return df.limit(0) if drift(df, stored_hash, policy) in ("rebuild", "first") else snapshot
+
+
 def status_by_dataset(parts: dict[str, DataFrame]) -> DataFrame:
     """Rows of each dataset and a grand total (null dataset)."""
     all_ = None

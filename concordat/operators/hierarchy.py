@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from concordat.functions.text import blank, strip
+from concordat.operators.diagnostics import add, diag, with_channels
 from concordat.session import materialize
 
 
@@ -26,8 +26,19 @@ def missing_parents(nodes: DataFrame) -> DataFrame:
 
 def first_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """One row per node id, the first by ``order``."""
-    w = Window.partitionBy("node_id").orderBy(order)
-    return nodes.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    per = nodes.groupBy("node_id").agg(F.min_by(F.struct(*nodes.columns), F.struct(order)).alias("__first"))
+    return per.select("__first.*")
+
+
+def repeated_nodes(nodes: DataFrame, order: str) -> DataFrame:
+    """(node_id, kept, dropped): for each row that ``first_nodes`` drops its ``order`` and that of the row that stays."""
+    firsts = nodes.groupBy("node_id").agg(F.min(order).alias("kept"))
+    return nodes.join(firsts, "node_id").where(F.col(order) != F.col("kept")).select("node_id", "kept", F.col(order).alias("dropped"))
+
+
+def anchored_nodes(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The nodes that no verdict drops."""
+    return nodes.join(verdicts.where("verdict <> 'anchored'").select("node_id"), "node_id", "left_anti")
 
 
 def jump(nodes: DataFrame) -> DataFrame:
@@ -56,7 +67,8 @@ def anchor_verdicts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
     A chain of parents ends well at a root or at an id of ``targets`` (node_id).
     ``missing_parent`` is the node whose own parent is not there; what lies below
-    it is ``unanchored_subtree``.
+    it is ``unanchored_subtree``. ``broken_at`` is the absent parent, or, of a
+    cycle, the node on it that the smallest node id leading into it enters first.
     """
     known = targets.select(F.col("node_id").alias("parent_id")).distinct().withColumn("__held", F.lit(True))
     ids = nodes.select(F.col("node_id").alias("parent_id")).distinct().withColumn("__node", F.lit(True))
@@ -69,7 +81,40 @@ def anchor_verdicts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     ends = fit.select(F.col("node_id").alias("top"), "broken", F.col("parent_id").alias("lost"))
     out = reach.join(ends, "top")
     verdict = F.when(~F.col("done"), "cycle").when(~F.col("broken"), "anchored").when(F.col("top") == F.col("node_id"), "missing_parent").otherwise("unanchored_subtree")
-    return out.select("node_id", verdict.alias("verdict"), F.when(F.col("broken") & F.col("done"), F.col("lost")).alias("broken_at"))
+    told = out.select("node_id", verdict.alias("verdict"), F.when(F.col("broken") & F.col("done"), F.col("lost")).alias("broken_at"))
+    if told.where("verdict = 'cycle'").isEmpty():
+        return told
+    told = materialize(told, "verdicts")
+    entries = _cycle_entries(fit.select("node_id", F.col("up").alias("parent_id")).join(told.where("verdict = 'cycle'").select("node_id"), "node_id", "left_semi"))
+    return told.join(entries, "node_id", "left").select("node_id", "verdict", F.coalesce("broken_at", "__entry").alias("broken_at"))
+
+
+def _cycle_entries(nodes: DataFrame) -> DataFrame:
+    """(node_id, __entry) of nodes that all end in cycles: the cycle node that the least node id leading into the same cycle enters first.
+
+    After as many steps as there are nodes every walk is on its cycle; what a
+    walk has reached by then marks the nodes that are on cycles.
+    """
+    nodes = materialize(nodes, "cyclic")
+    n = max(nodes.count(), 1)
+    far = nodes.select("node_id", F.col("parent_id").alias("at"))
+    low = nodes.select("node_id", F.least("node_id", "parent_id").alias("low"), F.col("parent_id").alias("at"))
+    for _ in range(n.bit_length()):
+        step = far.select(F.col("node_id").alias("at"), F.col("at").alias("__t"))
+        far = materialize(far.join(step, "at").select("node_id", F.col("__t").alias("at")), "far")
+        more = low.select(F.col("node_id").alias("at"), F.col("low").alias("__l"), F.col("at").alias("__t"))
+        low = materialize(low.join(more, "at").select("node_id", F.least("low", "__l").alias("low"), F.col("__t").alias("at")), "low")
+    on = far.select(F.col("at").alias("node_id")).distinct().withColumn("__on", F.lit(True))
+    # The least id of a cycle names it; a walk from any node has met it.
+    ring = low.join(on, "node_id", "left_semi").select("node_id", F.col("low").alias("ring"))
+    # The first cycle node of each walk: itself on a cycle, else found by doubling over the nodes that are not.
+    first = nodes.join(on, "node_id", "left").select("node_id", F.when(F.col("__on"), F.col("node_id")).otherwise(F.col("parent_id")).alias("enter"))
+    for _ in range(n.bit_length()):
+        hop = first.select(F.col("node_id").alias("enter"), F.col("enter").alias("__e"))
+        first = materialize(first.join(hop, "enter").select("node_id", F.col("__e").alias("enter")), "enter")
+    named = first.join(ring.select(F.col("node_id").alias("enter"), "ring"), "enter")
+    pick = named.groupBy("ring").agg(F.min_by("enter", "node_id").alias("__entry"))
+    return named.join(pick, "ring").select("node_id", "__entry")
 
 
 def build_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +127,11 @@ def build_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def path_table(nodes: DataFrame) -> DataFrame:
-    """(node_id, path_ids, path, depth, root_id) from root to node, of a valid tree (node_id, parent_id, label)."""
+    """(node_id, path_ids, path, depth, root_id) from root to node, of a tree (node_id, parent_id, label).
+
+    Each round doubles the paths. One that holds a node twice runs through a
+    cycle: it ends there, and nodes on or below a cycle have null paths.
+    """
     cur = materialize(nodes.select("node_id", F.col("parent_id").alias("up"), F.array("node_id").alias("path_ids"), F.array("label").alias("path")), "paths")
     while not cur.where("up is not null").isEmpty():
         above = cur.select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("path_ids").alias("__i"), F.col("path").alias("__p"))
@@ -91,8 +140,16 @@ def path_table(nodes: DataFrame) -> DataFrame:
             cur.join(above, "up", "left").select(
                 "node_id", F.col("__up").alias("up"), F.when(F.col("__i").isNull(), F.col("path_ids")).otherwise(F.concat("__i", "path_ids")).alias("path_ids"),
                 F.when(F.col("__p").isNull(), F.col("path")).otherwise(F.concat("__p", "path")).alias("path"),
-            ), "paths",
+            ).withColumn("up", F.when(F.size("path_ids") == F.size(F.array_distinct("path_ids")), F.col("up")))
+            .withColumn("path_ids", F.when(F.size("path_ids") == F.size(F.array_distinct("path_ids")), F.col("path_ids"))), "paths",
         )
+        # Below a path that broke off nothing can be known either.
+        broken = cur.where("path_ids is null").select(F.col("node_id").alias("up")).withColumn("__lost", F.lit(True))
+        if not broken.isEmpty():
+            cur = materialize(
+                cur.join(broken, "up", "left").select("node_id", F.when(F.col("__lost").isNull(), F.col("up")).alias("up"), F.when(F.col("__lost").isNull(), F.col("path_ids")).alias("path_ids"), "path"), "paths",
+            )
+    cur = cur.withColumn("path", F.when(F.col("path_ids").isNotNull(), F.col("path")))
     return cur.select("node_id", "path_ids", "path", (F.size("path_ids") - 1).alias("depth"), F.get("path_ids", F.lit(0)).alias("root_id"))
 
 
@@ -132,10 +189,12 @@ def prefix_tree(paths: DataFrame, path: str = "path") -> DataFrame:
 def path_checks(paths: DataFrame, path: str = "path", order: str = "line_no") -> DataFrame:
     """Adds path_state: ok, empty (no segment that is not blank), gaps (some blank), repeated (seen before)."""
     clean = F.filter(F.col(path), lambda x: ~blank(x))
-    w = Window.partitionBy("__c").orderBy(order)
-    out = paths.withColumn("__c", clean).withColumn("__n", F.row_number().over(w))
-    state = F.when(F.size("__c") == 0, "empty").when(F.col("__n") > 1, "repeated").when(F.size("__c") < F.size(path), "gaps").otherwise("ok")
-    return out.withColumn("path_state", state).drop("__c", "__n")
+    out = paths.withColumn("__c", clean)
+    firsts = out.where(F.size("__c") > 0).groupBy(F.col("__c").alias("__k")).agg(F.min(order).alias("__first"))
+    out = out.join(firsts, F.col("__c") == F.col("__k"), "left")
+    empty = F.coalesce(F.size("__c") <= 0, F.lit(True))
+    state = F.when(empty, "empty").when(F.col(order) != F.col("__first"), "repeated").when(F.size("__c") < F.size(path), "gaps").otherwise("ok")
+    return out.withColumn("path_state", state).drop("__c", "__k", "__first")
 
 
 def ladder(df: DataFrame, row_id: str, segments: str, candidates: DataFrame, paths: DataFrame) -> DataFrame:
@@ -164,7 +223,9 @@ def ladder(df: DataFrame, row_id: str, segments: str, candidates: DataFrame, pat
 
 
 def filter_by_verdict(df: DataFrame, node: Column, verdicts: DataFrame, policy: str = "warn") -> DataFrame:
-    """Adds node_verdict and row_ok: rows of dropped nodes stay under 'warn', else they are no longer ok."""
+    """Adds node_verdict, row_ok and a diagnostic: rows of dropped nodes get a warning under 'warn', else an error, and are no longer ok."""
     bad = verdicts.where("verdict <> 'anchored'").select(F.col("node_id").alias("__id"), F.col("verdict").alias("node_verdict"))
     out = df.join(bad, strip(node.cast("string")) == F.col("__id").cast("string"), "left").drop("__id")
+    found = [diag("topology", "NODE_DROPPED", None, F.col("node_verdict"), F.col("node_verdict").isNotNull())]
+    out = add(with_channels(out), warnings=found) if policy == "warn" else add(with_channels(out), errors=found)
     return out.withColumn("row_ok", F.lit(True) if policy == "warn" else F.col("node_verdict").isNull())

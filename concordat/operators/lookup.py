@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +25,44 @@ class LookupRule:
     merge: str = "if_empty"  # recompute_always, never, if_empty, if_authoritative
 
 
+class Providers:
+    """Lookup and existence providers by name: functions of keyword arguments that return a DataFrame."""
+
+    def __init__(self):
+        self._made: dict[str, Callable[..., DataFrame]] = {}
+
+    def register(self, name: str, make: Callable[..., DataFrame]) -> None:
+        if name in self._made:
+            raise ValueError(f"provider {name!r} is registered already")
+        self._made[name] = make
+
+    def get(self, name: str, **args) -> DataFrame:
+        try:
+            return self._made[name](**args)
+        except KeyError:
+            raise ValueError(f"unknown provider {name!r}") from None
+
+
+def _found(limit: int | None) -> Column:
+    """Values of a key, sorted: one or two as mergeable aggregates, so that no list of a hot key is ever made."""
+    if limit == 1:
+        return F.array(F.min("v"))
+    if limit == 2:  # the least and the greatest: all that a decision needs of several
+        return F.when(F.count("v") > 1, F.array(F.min("v"), F.max("v"))).otherwise(F.array(F.min("v")))
+    values = F.array_sort(F.collect_list("v"))
+    return F.slice(values, 1, limit) if limit else values
+
+
 def lookup(df: DataFrame, row_id: str, rule: LookupRule, limit: int | None = None) -> DataFrame:
     """(row_id, candidates) of rows with a key: array of (priority, confidence, value); nulls are no candidates.
 
     ``provider_key`` is aggregated first, so that the join has one row a key and
-    a frequent key of the feed never multiplies.
+    a frequent key of the feed never multiplies. With ``limit`` 1 or 2 nothing
+    grows with a key's rows (of more than two, the two are the least and the
+    greatest); without a limit a key's values are one list.
     """
     side = rule.provider.select(strip(rule.provider_key.cast("string")).alias("__k"), rule.value.cast("string").alias("v"))
-    values = F.array_sort(F.collect_list("v"))
-    side = side.where("__k <> '' and v is not null").groupBy("__k").agg((F.slice(values, 1, limit) if limit else values).alias("found"))
+    side = side.where("__k <> '' and v is not null").groupBy("__k").agg(_found(limit).alias("found"))
     keyed = df.select(row_id, strip(rule.key.cast("string")).alias("__k")).where(~blank(F.col("__k")))
     one = lambda v: F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.confidence).alias("confidence"), v.alias("value"))
     return keyed.join(side, "__k").select(row_id, F.transform("found", one).alias("candidates"))
@@ -61,7 +91,7 @@ def enrich(df: DataFrame, row_id: str, rules: list[LookupRule]) -> DataFrame:
     Adds ``<target>__status``. Rows without a key have status 'none'.
     """
     for r in rules:
-        found = lookup(df, row_id, r)
+        found = lookup(df, row_id, r, limit=2)
         df = df.join(found, row_id, "left").withColumn("__d", decide(F.coalesce("candidates", F.array().cast("array<struct<priority:int,confidence:double,value:string>>"))))
         cur = F.col(r.target) if r.target in df.columns else F.lit(None).cast("string")
         take = (F.col("__d.status") == "selected") & may_write(r.merge, cur)
@@ -116,19 +146,39 @@ def hydrate_secrets(items: DataFrame, secrets: DataFrame, dataset: str, fields:
     return out.withColumn("missing_secrets", F.array_compact(F.array(*[F.when(F.col(f).isNull(), f) for f in fields])))
 
 
+SECRET = ["dataset", "field", "match_key"]
+
+
 def retire_secrets(secrets: DataFrame, applied: DataFrame) -> DataFrame:
     """Secrets left after items (dataset, field, match_key) were applied."""
-    return secrets.join(applied.select("dataset", "field", "match_key").distinct(), ["dataset", "field", "match_key"], "left_anti")
+    return secrets.join(applied.select(*SECRET).distinct(), SECRET, "left_anti")
+
+
+def retire_counters(secrets: DataFrame, applied: DataFrame) -> DataFrame:
+    """One row a data set: secrets deleted, kept, and applied items skipped since they have none."""
+    mark = lambda d, n: d.select(*SECRET).distinct().withColumn(n, F.lit(True))
+    both = mark(secrets, "__s").join(mark(applied, "__a"), SECRET, "full_outer")
+    held, used = F.col("__s").isNotNull(), F.col("__a").isNotNull()
+    return both.groupBy("dataset").agg(F.count_if(held & used).alias("deleted"), F.count_if(held & ~used).alias("kept"), F.count_if(~held).alias("skipped"))
+
+
+def canonicalize(df: DataFrame, row_id: str, key: Column, provider: DataFrame, provider_key: Column, fields: list[str]) -> DataFrame:
+    """Adds ``entry``, all ``fields`` of the provider's row with the least of them for the key, and ``entry_status``: none, selected or ambiguous."""
+    row = F.struct(*fields)
+    side = provider.select(strip(provider_key.cast("string")).alias("__k"), row.alias("__r")).where("__k <> ''").groupBy("__k").agg(F.min("__r").alias("__r"), F.count(F.lit(1)).alias("__n"))
+    out = df.withColumn("__q", strip(key.cast("string"))).join(side, F.col("__q") == F.col("__k"), "left")
+    status = F.when(F.col("__n").isNull(), "none").when(F.col("__n") == 1, "selected").otherwise("ambiguous")
+    return out.withColumn("entry_status", status).withColumn("entry", F.when(F.col("entry_status") == "selected", F.col("__r"))).drop("__q", "__k", "__r", "__n")
 
 
-def canonical_lookup(df: DataFrame, row_id: str, rule: LookupRule, canonical) -> DataFrame:
+def canonical_lookup(df: DataFrame, row_id: str, rule: LookupRule, canonical, limit: int | None = None) -> DataFrame:
     """``lookup`` with both sides in canonical form. A null field is '' there and matches a key that becomes ''.
 
     ``canonical`` maps a Column to its form, never null. One hash join instead of
     a scan of the provider for each row.
     """
     side = rule.provider.select(canonical(rule.provider_key.cast("string")).alias("__k"), rule.value.cast("string").alias("v")).where("v is not null")
-    side = side.groupBy("__k").agg(F.array_sort(F.collect_list("v")).alias("found"))
+    side = side.groupBy("__k").agg(_found(limit).alias("found"))
     one = lambda v: F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.confidence).alias("confidence"), v.alias("value"))
     keyed = df.where(rule.key.isNotNull()).select(row_id, canonical(rule.key.cast("string")).alias("__k"))
     return keyed.join(side, "__k").select(row_id, F.transform("found", one).alias("candidates"))

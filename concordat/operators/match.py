@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from concordat.functions import vector
-from concordat.functions.text import blank
+from concordat.functions.text import blank, casefold
 from concordat.session import ship
 
 
@@ -22,9 +22,11 @@ class IdentityRule:
     target: Column
 
 
-def identity_match(df: DataFrame, row_id: str, target: DataFrame, target_id: str, rules: list[IdentityRule]) -> DataFrame:
+def identity_match(df: DataFrame, row_id: str, target: DataFrame, target_id: str, rules: list[IdentityRule], carry: Column | None = None) -> DataFrame:
     """Adds target_ref, match_status (matched, conflict, not_found), identity_rule, identity_value.
 
+    With ``carry``, a column over the target, also ``existing``: its value in the matched record.
+
     Rules count in order: the first whose key finds one record wins, and one that
     finds several is a conflict unless an earlier one matched. All rules go
     through one exploded join, one shuffle; keys are aggregated on the target
@@ -32,16 +34,17 @@ def identity_match(df: DataFrame, row_id: str, target: DataFrame, target_id: str
     take the first rule with a key as their identity.
     """
     side = None
+    held = carry if carry is not None else F.lit(None).cast("string")
     for i, r in enumerate(rules):
-        part = target.select(F.lit(i).alias("ord"), r.target.cast("string").alias("key"), F.col(target_id).cast("string").alias("tid"))
+        part = target.select(F.lit(i).alias("ord"), r.target.cast("string").alias("key"), F.col(target_id).cast("string").alias("tid"), held.alias("held"))
         side = part if side is None else side.unionByName(part)
     # Whether a key has one record or several is all that matters: min and max tell.
-    side = side.where(~blank(F.col("key"))).groupBy("ord", "key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"))
+    side = side.where(~blank(F.col("key"))).groupBy("ord", "key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi"), F.min_by("held", "tid").alias("held"))
     keys = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(r.name).alias("rule"), r.source.cast("string").alias("key")) for i, r in enumerate(rules)])
     tries = df.select(row_id, F.explode(keys).alias("t")).select(row_id, "t.*").where(~blank(F.col("key")))
     hit = F.col("lo").isNotNull()
     per = tries.join(side, ["ord", "key"], "left").groupBy(row_id).agg(
-        F.min_by(F.struct("lo", "hi", "rule", "key"), F.when(hit, F.col("ord"))).alias("won"), F.min_by(F.struct("rule", "key"), "ord").alias("own"),
+        F.min_by(F.struct("lo", "hi", "rule", "key", "held"), F.when(hit, F.col("ord"))).alias("won"), F.min_by(F.struct("rule", "key"), "ord").alias("own"),
     )
     found = F.col("won.lo").isNotNull()
     clash = found & (F.col("won.lo") != F.col("won.hi"))
@@ -49,7 +52,7 @@ def identity_match(df: DataFrame, row_id: str, target: DataFrame, target_id: str
         "match_status": F.when(clash, "conflict").when(found, "matched").otherwise("not_found"),
         "target_ref": F.when(found & ~clash, F.col("won.lo")),
         "identity_rule": F.coalesce("won.rule", "own.rule"), "identity_value": F.coalesce("won.key", "own.key"),
-    }).drop("won", "own")
+    } | ({"existing": F.when(found & ~clash, F.col("won.held"))} if carry is not None else {})).drop("won", "own")
 
 
 @dataclass(frozen=True)
@@ -63,22 +66,25 @@ def _compare(c: Comparator) -> Column:
     a, b = F.col(f"s_{c.field}").cast("string"), F.col(f"c_{c.field}").cast("string")
     if c.kind == "similarity":
         return vector.similarity(a, b)
-    same = F.lower(a) == F.lower(b) if c.kind == "casefold" else a == b
+    same = casefold(a) == casefold(b) if c.kind == "casefold" else a == b
     return F.coalesce(same, F.lit(False)).cast("double")
 
 
 def block_candidates(df: DataFrame, row_id: str, target: DataFrame, target_id: str, blocks: list[str], max_candidates: int, fields: list[str]) -> DataFrame:
     """(row_id, cand_id, ord, s_*, c_*): candidates by block keys in order, each id once, capped before scoring.
 
-    A row's candidates are ranked while joining on (block, key), without pairing
-    rows of the same side. The cap is part of the operator: the first
-    ``max_candidates`` by block order and id.
+    The cap is part of the operator: the first ``max_candidates`` by block order
+    and id. So a block needs only its first ``max_candidates`` ids: of any earlier
+    block's ids fewer than that were taken, or none of this one is. Tasks cut
+    blocks before the shuffle, and a hot block never pairs all its rows.
     """
     def keys(d, key_id, name):
         each = F.array(*[F.struct(F.lit(i).alias("ord"), F.col(b).cast("string").alias("key")) for i, b in enumerate(blocks)])
         return d.select(F.col(key_id).alias(name), F.explode(each).alias("k")).select(name, "k.*").where(~blank(F.col("key")))
 
-    pairs = keys(df, row_id, row_id).join(keys(target, target_id, "cand_id"), ["ord", "key"])
+    of_block = Window.partitionBy("ord", "key").orderBy("cand_id")
+    few = keys(target, target_id, "cand_id").withColumn("__n", F.row_number().over(of_block)).where(F.col("__n") <= max_candidates).drop("__n")
+    pairs = keys(df, row_id, row_id).join(few, ["ord", "key"])
     first = pairs.groupBy(row_id, "cand_id").agg(F.min("ord").alias("ord"))
     w = Window.partitionBy(row_id).orderBy("ord", "cand_id")
     capped = first.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= max_candidates)
@@ -110,11 +116,12 @@ def fuzzy_decision(scored: DataFrame, row_id: str, accept: float, review: float,
 def source_dedup(df: DataFrame, key: str, fingerprint: Column, order: str = "line_no") -> DataFrame:
     """Adds ``dedup``: first, duplicate (content of the first) or conflict (other content). Rows without a key are 'first'.
 
-    Always against the first row of a key. Null keys are spread by their order
-    column, so that they don't meet in one task.
+    Always against the first row of a key, by ``order``, which tells rows apart.
+    Firsts are aggregated, which tasks do ahead of the shuffle, and joined back;
+    Spark splits the rows of a hot key.
     """
-    df = df.withColumn("__f", fingerprint).withColumn("__k", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("n"), F.col(order).cast("string"))))
-    w = Window.partitionBy("__k").orderBy(order)
-    out = df.withColumns({"__n": F.row_number().over(w), "__first": F.first("__f").over(w)})
-    state = F.when((F.col("__n") == 1) | F.col(key).isNull(), "first").when(F.col("__f") == F.col("__first"), "duplicate").otherwise("conflict")
-    return out.withColumn("dedup", state).drop("__f", "__k", "__n", "__first")
+    df = df.withColumn("__f", fingerprint)
+    firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(F.struct(F.col(order).alias("o"), F.col("__f").alias("f"))).alias("__first"))
+    out = df.join(firsts, F.col(key) == F.col("__k"), "left")
+    state = F.when(F.col("__first").isNull() | (F.col(order) == F.col("__first.o")), "first").when(F.col("__f") == F.col("__first.f"), "duplicate").otherwise("conflict")
+    return out.withColumn("dedup", state).drop("__f", "__k", "__first")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from concordat.operators.diagnostics import add, diag, with_channels
 
 KEY = ["dataset", "source_row_id", "field", "lookup_key"]
 
@@ -52,17 +55,46 @@ def close_sources(stored: DataFrame, clean_rows: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when((F.col("status") == "pending") & F.col("__done"), "resolved").otherwise(F.col("status"))).drop("__done").select(*stored.columns)
 
 
-def latest_payloads(stored: DataFrame) -> DataFrame:
-    """The latest pending row of each source row."""
-    w = Window.partitionBy("source_row_id").orderBy(F.desc(F.coalesce("last_attempt_at", "created_at")), F.desc("lookup_key"), "field")
-    return stored.where("status = 'pending'").withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def latest_payloads(stored: DataFrame, dataset: str | None = None) -> DataFrame:
+    """The latest pending row of each source row of a data set (of every data set, if none is named).
+
+    Rows of one source row are few, and tasks keep only the best of theirs before the shuffle.
+    """
+    mine = stored if dataset is None else stored.where(F.col("dataset") == dataset)
+    late = F.struct(F.coalesce("last_attempt_at", "created_at").alias("at"), F.col("lookup_key").alias("k"), F.col("field").alias("f"))
+    best = mine.where("status = 'pending'").groupBy("dataset", "source_row_id").agg(F.max_by(F.struct(*stored.columns), late).alias("r"))
+    return best.select("r.*")
 
 
 def encode(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumn("payload", F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
 
 
-def replay(df: DataFrame, stored: DataFrame, schema: str, required: str) -> DataFrame:
-    """Rows of this run and rows decoded from pending payloads; payloads that don't parse are left out."""
-    decoded = latest_payloads(stored).select(F.from_json("payload", schema).alias("p")).where(F.col(f"p.{required}").isNotNull()).select("p.*")
+def _decoded(stored: DataFrame, schema: str, required: str, dataset: str | None) -> DataFrame:
+    """Latest payloads as ``p`` and whether they are ``fit``: they parse and hold the required field."""
+    return latest_payloads(stored, dataset).select("dataset", F.from_json("payload", schema).alias("p")).withColumn("fit", F.coalesce(F.col(f"p.{required}").isNotNull(), F.lit(False)))
+
+
+def replay(df: DataFrame, stored: DataFrame, schema: str, required: str, dataset: str | None = None) -> DataFrame:
+    """Rows of this run and rows decoded from pending payloads; payloads that don't parse are left out (see ``replay_counts``)."""
+    decoded = _decoded(stored, schema, required, dataset).where("fit").select("p.*")
     return df.withColumn("replayed", F.lit(False)).unionByName(decoded.withColumn("replayed", F.lit(True)), allowMissingColumns=True)
+
+
+def replay_counts(stored: DataFrame, schema: str, required: str, dataset: str | None = None) -> DataFrame:
+    """One row a data set: payloads that were decoded, and those that were skipped as invalid."""
+    return _decoded(stored, schema, required, dataset).groupBy("dataset").agg(F.count_if("fit").alias("decoded"), F.count_if(~F.col("fit")).alias("invalid"))
+
+
+def report_expired(stored: DataFrame, now: Column, policy: str = "error") -> DataFrame:
+    """Rows that ``expire`` would turn, with errors and warnings by policy: error, report_only (a warning) or skip (neither)."""
+    if policy not in ("error", "report_only", "skip"):
+        raise ValueError(f"unknown report policy {policy!r}")
+    gone = stored.where((F.col("status") == "pending") & (F.col("expires_at") <= now)).withColumn("status", F.lit("expired"))
+    found = [diag("resolve", "PENDING_EXPIRED", F.col("field"), F.concat(F.lit("no record came for "), "lookup_key"))]
+    return add(with_channels(gone), errors=found if policy == "error" else [], warnings=found if policy == "report_only" else [])
+
+
+def due(last: datetime | None, now: datetime, every_seconds: float) -> bool:
+    """Interval guard of a sweep: has it been long enough since the last one?"""
+    return last is None or (now - last).total_seconds() >= every_seconds

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.ops import OPS, op
-from concordat.functions.text import blank
+from concordat.functions.text import blank, strip
 
 
 def plan_items(resolved: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def payload(fields: list[PayloadField], preview: bool = False) -> tuple[Column,
 
 def id_params(c: Column) -> tuple[Column, Column]:
     """(id without outer space, error when blank)."""
-    return F.when(~blank(c.cast("string")), F.trim(c.cast("string"))), F.when(blank(c.cast("string")), "no target id")
+    s = c.cast("string")
+    return F.when(~blank(s), strip(s)), F.when(blank(s), "no target id")
 
 
 def dry_run(items: DataFrame, error: Column) -> DataFrame:

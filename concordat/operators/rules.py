@@ -151,6 +151,20 @@ def desired_state(fields: list[str], drop: set[str] = frozenset()) -> Column:
     return F.struct(*[F.col(f) for f in fields if f not in drop])
 
 
-def source_ref(values: dict[str, Column]) -> Column:
-    """Identity values that are not blank, by name."""
-    return F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: v.isNotNull() & (v != ""))
+def source_ref(values: dict[str, Column], primary: tuple[str, Column] | None = None) -> Column:
+    """Identity values that are not blank, by name; with ``primary`` (name, value) that one too, unless it is there."""
+    all_ = values if primary is None or primary[0] in values else values | {primary[0]: primary[1]}
+    return F.map_filter(F.create_map(*[x for k, v in all_.items() for x in (F.lit(k), v.cast("string"))]), lambda _, v: ~blank(v))
+
+
+def path_column(path: str, record: str | None = None, meta: str = "meta") -> Column:
+    """The column a path reads: ``row.x`` and ``record.x`` are fields, ``meta.x`` an entry of the meta map, other paths are dotted names.
+
+    ``record``: the struct that holds the record's fields, if they are no plain columns.
+    """
+    head, _, rest = path.partition(".")
+    if head == "meta" and rest:
+        return F.col(meta)[rest]
+    if head in ("row", "record") and rest:
+        return F.col(f"{record}.{rest}" if record else rest)
+    return F.col(path)

@@ -14,7 +14,7 @@ from concordat.functions.ops import fingerprint
 from concordat.operators import diagnostics as dg
 from concordat.operators.lookup import match_key
 from concordat.operators.match import IdentityRule, identity_match, source_dedup
-from concordat.operators.resolve import DiffRule, field_changes, operation
+from concordat.operators.resolve import DiffRule, LinkRule, as_id, field_changes, fill_from_existing, operation, resolve_links, target_id
 from concordat.operators.rules import MapRule, NormalizeRule, SinkField, check_sink, map_rows, normalize_rows
 
 
@@ -30,12 +30,21 @@ class SyncSpec:
     normalize: list[NormalizeRule] = field(default_factory=list)
     sink: list[SinkField] = field(default_factory=list)
     dedup: bool = False
+    #: Links between records, and the index (lookup_key, id) they are looked up in.
+    links: list[LinkRule] = field(default_factory=list)
+    #: Fields of the target that a row keeps where it has none of its own; blank ones too with ``fill_blank``.
+    fill: list[str] = field(default_factory=list)
+    fill_blank: bool = False
 
 
-def build_plan(feed: DataFrame, target: DataFrame, spec: SyncSpec, row_id: str = "line_no") -> DataFrame:
-    """All rows with op, changes, target_ref, match_key, row_ok, errors, warnings.
+def build_plan(feed: DataFrame, target: DataFrame, spec: SyncSpec, row_id: str = "line_no", index: DataFrame | None = None) -> DataFrame:
+    """All rows with op, changes, target_ref, target_id, match_key, row_ok, errors, warnings.
 
-    Matching comes before source dedup, which uses the identity that matched.
+    Matching comes before source dedup, which uses the identity that matched. The
+    matched record comes along with the match, so that the target is read once.
+    With links, ``index`` holds the stored records; a link that is ambiguous is an
+    error, one that finds nothing yet makes ``pending`` true, and a row with such a
+    link has no operation (see ``pending_requests``).
     """
     rows = map_rows(feed, spec.rules, keep=(row_id,))
     if spec.normalize:
@@ -46,17 +55,30 @@ def build_plan(feed: DataFrame, target: DataFrame, spec: SyncSpec, row_id: str =
     rows = rows.withColumn("match_key", key)
     rows = dg.add(rows, errors=[dg.diag("enrich", "MATCH_KEY_BLANK", None, err, err.isNotNull())])
     rows = rows.withColumn("row_ok", ~dg.has_errors())
-    rows = identity_match(rows, row_id, target, spec.target_id, spec.identity)
     fields = [r.desired for r in spec.diff]
+    held = list(dict.fromkeys([r.existing or r.desired for r in spec.diff] + spec.fill))
+    rows = identity_match(rows, row_id, target, spec.target_id, spec.identity, carry=F.struct(*held))
     if spec.dedup:
         rows = rows.withColumn("__dk", F.concat_ws(":", "identity_rule", "identity_value"))
         rows = source_dedup(rows, "__dk", fingerprint({f: F.col(f) for f in fields}), row_id).drop("__dk")
     else:
         rows = rows.withColumn("dedup", F.lit("first"))
-    existing = target.select(F.col(spec.target_id).cast("string").alias("__tid"), F.struct(*[F.col(r.existing or r.desired).alias(r.existing or r.desired) for r in spec.diff]).alias("existing"))
-    rows = rows.withColumn("desired", F.struct(*fields)).join(existing, F.col("target_ref") == F.col("__tid"), "left").drop("__tid")
+    rows = rows.withColumn("pending", F.lit(False))
+    if spec.links:
+        rows = resolve_links(rows, row_id, spec.links, index)
+        for rule in spec.links:
+            status, found = F.col(f"{rule.field}__status"), F.col(f"{rule.field}__id")
+            if not rule.skipped(dict(rows.dtypes)):
+                rows = rows.withColumn(rule.field, F.when(status == "resolved", as_id(found)).otherwise(F.col(rule.field).cast("string")))
+            rows = dg.add(rows, errors=[dg.diag("resolve", "LINK_AMBIGUOUS", rule.field, "several records have this key", status == "ambiguous")], warnings=[dg.diag("resolve", "LINK_PENDING", rule.field, "no record has this key yet", status == "unresolved")])
+            rows = rows.withColumn("pending", F.col("pending") | (status == "unresolved")).withColumn("row_ok", F.col("row_ok") & (status != "ambiguous"))
+    rows = rows.withColumn("desired", F.struct(*fields))
+    if spec.fill:
+        merged = fill_from_existing(spec.fill, set(fields), spec.fill_blank)
+        rows = rows.withColumn("desired", F.struct(*[merged[f].alias(f) if f in merged else F.col(f"desired.{f}").alias(f) for f in dict.fromkeys(fields + spec.fill)]))
     rows = rows.withColumn("changes", F.when(F.col("match_status") == "matched", field_changes(spec.diff)))
-    alive = F.col("row_ok") & (F.col("dedup") == "first") & (F.col("match_status") != "conflict")
+    alive = F.col("row_ok") & (F.col("dedup") == "first") & (F.col("match_status") != "conflict") & ~F.col("pending")
+    rows = rows.withColumn("target_id", target_id(F.col("match_status"), F.col("target_ref"), F.col("match_key"))[0])
     rows = dg.add(
         rows,
         errors=[
@@ -66,3 +88,13 @@ def build_plan(feed: DataFrame, target: DataFrame, spec: SyncSpec, row_id: str =
         warnings=[dg.diag("match", "SOURCE_DUPLICATE", None, "an earlier row has the same values", F.col("dedup") == "duplicate")],
     )
     return rows.withColumn("op", F.when(alive, operation(F.col("match_status"), F.col("changes")))).withColumn("row_ok", alive)
+
+
+def pending_requests(plan: DataFrame, spec: SyncSpec, dataset: str, row_id: str = "line_no") -> DataFrame:
+    """Requests of a plan's unresolved links, for ``pending.upsert_pending``: one a link and row, by its first key."""
+    links = [
+        F.when(F.col(f"{r.field}__status") == "unresolved", F.struct(F.lit(r.field).alias("field"), F.get(f"{r.field}__keys", F.lit(0)).alias("lookup_key")))
+        for r in spec.links
+    ]
+    each = plan.where("pending").select(F.col(row_id).cast("string").alias("source_row_id"), F.to_json("desired").alias("payload"), F.explode(F.array_compact(F.array(*links))).alias("l"))
+    return each.select(F.lit(dataset).alias("dataset"), "source_row_id", "l.field", "l.lookup_key", "payload")

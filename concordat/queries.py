@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.functions.ops import fingerprint, op, run_chains
-from concordat.functions.text import canonical_segments, compare_form, percent_bucket, shorten
+from concordat.functions.text import canonical_segments, compare_form, key_digest, percent_bucket, shorten
 from concordat.operators import cache, diagnostics, hierarchy, lookup, match, pending, plan, resolve, rules
 from concordat.operators.rules import MapRule, NormalizeRule, SinkField
 from concordat.plans.sync import SyncSpec, build_plan
@@ -145,11 +145,10 @@ def f46_canonical_text(spark, sf):
     return p.select("p_partkey", path.alias("path"), compare_form(F.concat(F.lit(" "), "p_name")).alias("cmp"), shorten(F.col("p_name"), 8).alias("short"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders WHERE o_custkey IS NOT NULL")
+@query("SELECT o_orderkey, CAST(('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 100 AS BIGINT) AS bucket, substr(sha256('s' || o_orderkey), 1, 12) AS digest FROM orders")
 def f52_bucket_cover(spark, sf):
-    o = table(spark, sf, "orders")
-    parts = o.withColumn("bucket", percent_bucket(F.col("o_orderkey").cast("string"))).where("bucket between 0 and 99")
-    return parts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"))
+    k = F.col("o_orderkey").cast("string")
+    return table(spark, sf, "orders").select("o_orderkey", percent_bucket(k).alias("bucket"), key_digest(k, "s").alias("digest"))
 
 
 @query("""SELECT c_custkey, n_name AS nation, r_name AS region, CASE WHEN n_name IS NULL THEN 'none' ELSE 'selected' END AS nation__status
@@ -228,29 +227,26 @@ def j12_link_resolution(spark, sf):
     rows = li.join(p, F.col("p_partkey") == F.col("l_partkey")).withColumn("rid", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     parts = resolve.identity_index(p.where("p_partkey % 13 <> 0"), "p_partkey", {"name": F.col("p_name"), "name_brand": F.concat_ws("|", "p_name", "p_brand")})
     sup = resolve.identity_index(s.where("s_suppkey % 13 <> 0"), "s_suppkey", {"supp": F.col("s_suppkey")})
-    ids = resolve.lookup_ids(parts.unionByName(sup))
     rules_ = [
         resolve.LinkRule("supplier", (("supp", F.col("l_suppkey")),)),
         resolve.LinkRule("part", (("name", F.col("p_name")),), ((("name_brand", F.concat_ws("|", "p_name", "p_brand")),),)),
     ]
-    out = resolve.resolve_links(rows, "rid", rules_, ids)
+    out = resolve.resolve_links(rows, "rid", rules_, parts.unionByName(sup))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "supplier__status", "supplier__id", "part__status")
 
 
-@query("""SELECT 'brand:' || p_brand AS lookup_key, CAST(CASE WHEN p_brand = 'Brand#1' THEN min(CASE WHEN p_size > 25 THEN p_partkey END) ELSE min(p_partkey) END AS VARCHAR) AS first_id FROM part GROUP BY p_brand""")
+@query("""SELECT 'brand:' || p_brand AS lookup_key, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_brand <> 'Brand#1' OR p_size > 25""")
 def j15_batch_first(spark, sf):
     p = table(spark, sf, "part")
     batch = resolve.identity_index(p.where("p_brand = 'Brand#1' and p_size > 25"), "p_partkey", {"brand": F.col("p_brand")})
     stored = resolve.identity_index(p, "p_partkey", {"brand": F.col("p_brand")})
-    out = resolve.batch_first(batch, stored)
-    return out.select("lookup_key", F.array_min(F.transform("ids", lambda x: x.cast("long"))).cast("string").alias("first_id"))
+    return resolve.batch_first(batch, stored)
 
 
-@query("SELECT CAST(k AS BIGINT) AS k, count(DISTINCT id) AS n FROM (SELECT o_custkey AS k, o_orderkey AS id FROM orders) GROUP BY k")
+@query("SELECT 'cust:' || o_custkey AS lookup_key, list_sort(list(DISTINCT CAST(o_orderkey AS VARCHAR))) AS ids FROM orders GROUP BY o_custkey")
 def a3_identity_index(spark, sf):
     o = table(spark, sf, "orders")
-    idx = resolve.lookup_ids(resolve.identity_index(o, "o_orderkey", {"cust": F.col("o_custkey")}))
-    return idx.select(F.substring_index("lookup_key", ":", -1).cast("long").alias("k"), F.size("ids").cast("long").alias("n"))
+    return resolve.lookup_ids(resolve.identity_index(o, "o_orderkey", {"cust": F.col("o_custkey")}))
 
 
 @query("""SELECT user_id, event_id, event_type, count AS sightings FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS count FROM events) WHERE rn = 1""")
@@ -314,10 +310,10 @@ def h4_paths(spark, sf):
     return hierarchy.path_table(tree(spark, sf)).select("node_id", F.array_join("path", "/").alias("path"), "depth", "root_id")
 
 
-@query("SELECT 'r' || n_regionkey AS node_id, count(DISTINCT n_nationkey) + count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey")
+@query("""SELECT 'r' || n_regionkey AS node_id, 'n' || n_nationkey AS descendant_id, CAST(1 AS INTEGER) AS distance FROM nation
+UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 1 FROM customer UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def h5_descendants(spark, sf):
-    d = hierarchy.descendants(hierarchy.path_table(tree(spark, sf)))
-    return d.where("node_id like 'r%'").groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+    return hierarchy.descendants(hierarchy.path_table(tree(spark, sf))).drop("order_path")
 
 
 _SOURCE = "SELECT p_partkey AS node_id, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 97 = 0 THEN 1000000 + p_partkey WHEN p_partkey % 89 = 0 THEN p_partkey + 1 WHEN p_partkey % 89 = 1 AND p_partkey > 1 THEN p_partkey - 1 ELSE p_partkey // 2 END AS parent_id FROM part"
@@ -333,11 +329,17 @@ def j21_anchoring(spark, sf):
     return hierarchy.anchor_verdicts(nodes, nodes.limit(0)).select("node_id", "verdict")
 
 
-@query("""WITH p AS (SELECT DISTINCT p_brand, p_type, p_size FROM part) SELECT CAST(0 AS INTEGER) AS depth, count(DISTINCT p_brand) AS n FROM p
-UNION ALL SELECT 1, count(*) FROM (SELECT DISTINCT p_brand, p_type FROM p) UNION ALL SELECT 2, count(*) FROM p""")
+_PREFIX = "SELECT {c} AS label, CAST({d} AS INTEGER) AS depth, sha256('[' || {n} || ']') AS node_id, {p} AS parent_id FROM (SELECT DISTINCT {k} FROM part)"
+_JSON = [f"""'"' || {c} || '"'""" for c in ("p_brand", "p_type", "p_size")]
+
+
+@query(" UNION ALL ".join(
+    _PREFIX.format(c=f"CAST({c} AS VARCHAR)", d=i, n=" || ',' || ".join(_JSON[: i + 1]), p="sha256('[' || " + " || ',' || ".join(_JSON[:i]) + " || ']')" if i else "NULL", k=", ".join(("p_brand", "p_type", "p_size")[: i + 1]))
+    for i, c in enumerate(("p_brand", "p_type", "p_size"))
+))
 def h1_prefix_tree(spark, sf):
     p = table(spark, sf, "part").select(F.array("p_brand", "p_type", F.lit(" "), F.col("p_size").cast("string")).alias("path"))
-    return hierarchy.prefix_tree(p).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return hierarchy.prefix_tree(p)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'exact_path' WHEN c_custkey % 3 = 1 THEN 'last_two' ELSE 'none' END AS mode, CASE WHEN c_custkey % 3 <> 2 THEN 'n' || c_nationkey END AS node_id FROM customer""")
@@ -395,12 +397,12 @@ def p6_normalize(spark, sf):
     return out.select("p_partkey", "name", "size", (F.size("errors") == 0).alias("row_ok"))
 
 
-_PENDING = "SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_suppkey % 3 = 0"
+_PENDING = "SELECT DISTINCT l_suppkey AS s FROM lineitem"
 
 
 @query(f"SELECT CASE WHEN s % 2 = 0 THEN 'resolved' ELSE 'pending' END AS status, count(*) AS n FROM ({_PENDING}) GROUP BY ALL")
 def j22_wake_pending(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_suppkey % 3 = 0").select(F.col("l_suppkey").alias("s")).distinct()
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s")).distinct()
     req = li.select(F.lit("lineitem").alias("dataset"), F.col("s").cast("string").alias("source_row_id"), F.lit("supplier").alias("field"), F.concat(F.lit("supp:"), "s").alias("lookup_key"), F.lit("{}").alias("payload"))
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     kinds = "dataset string, source_row_id string, field string, lookup_key string, payload string, attempts int, status string, created_at timestamp, last_attempt_at timestamp, expires_at timestamp"
@@ -414,14 +416,14 @@ def s10_membership(spark, sf):
     return files.membership(table(spark, sf, "lineitem"), "l_partkey")
 
 
-@query("""SELECT n_nationkey, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey""")
+@query("""SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey""")
 def j2_canonical_lookup(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    key = n.join(F.broadcast(r.select("r_regionkey", F.lower("r_name").alias("low"))), F.col("r_regionkey") == F.col("n_regionkey"))  # five regions, fixed by the schema
-    key = key.select("n_nationkey", F.concat(F.lit("  "), "low", F.lit("\t")).alias("k"))
-    rule = lookup.LookupRule("region", F.col("k"), r, F.col("r_name"), F.col("r_name"))
-    found = lookup.canonical_lookup(key, "n_nationkey", rule, compare_form)
-    return found.select("n_nationkey", lookup.decide(F.col("candidates"))["value"].alias("region"))
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    key = c.join(n.select("n_nationkey", F.lower("n_name").alias("low")), F.col("n_nationkey") == F.col("c_nationkey"))
+    key = key.select("c_custkey", F.concat(F.lit("  "), "low", F.lit("\t")).alias("k"))
+    rule = lookup.LookupRule("nation", F.col("k"), n, F.col("n_name"), F.col("n_name"))
+    found = lookup.canonical_lookup(key, "c_custkey", rule, compare_form, limit=2)
+    return found.select("c_custkey", lookup.decide(F.col("candidates"))["value"].alias("nation"))
 
 
 @query("""SELECT CASE WHEN GROUPING(l_returnflag) = 1 THEN NULL ELSE l_returnflag END AS dictionary, count(*) FILTER (l_partkey % 3 <> 0) AS hits, count(*) FILTER (l_partkey % 3 = 0) AS misses, CAST(0 AS BIGINT) AS errors FROM lineitem GROUP BY ROLLUP (l_returnflag)""")
@@ -437,10 +439,10 @@ def s5_dictionary_checks(spark, sf):
     return files.check_dictionary(p, "p_name", ["size"])
 
 
-@query("SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS node_id, CASE WHEN n_regionkey <> 0 THEN CAST(n_regionkey AS VARCHAR) END AS parent_id, n_name AS label FROM nation")
+@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS node_id, CASE WHEN c_nationkey <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS parent_id, c_name AS label FROM customer")
 def s7_adjacency(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_regionkey") == 0, " NULL ").otherwise(F.col("n_regionkey").cast("string")).alias("p"), F.concat(F.lit(" "), "n_name").alias("l"))
-    return files.adjacency(n.unionByName(n), "n_nationkey", "p", "l")
+    n = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 0, " NULL ").otherwise(F.col("c_nationkey").cast("string")).alias("p"), F.concat(F.lit(" "), "c_name").alias("l"))
+    return files.adjacency(n.unionByName(n), "c_custkey", "p", "l")
 
 
 @query(f"SELECT node_id, parent_id FROM ({_SOURCE}) WHERE parent_id >= 1000000 OR parent_id >= (SELECT count(*) FROM part)")
@@ -493,10 +495,12 @@ def l5_first_actions(spark, sf):
     return plan.first_actions(items, 25).select("line_no", "op")
 
 
-@query(f"SELECT CASE WHEN count(*) FILTER (op = 'create') = 0 THEN 'SUCCESS' WHEN count(*) FILTER (op = 'create') < count(*) THEN 'PARTIAL' ELSE 'FAILED' END AS status, round(100.0 * count(*) FILTER (op = 'skip') / count(*), 3) AS skip_rate FROM ({_PLAN})")
+@query("""SELECT CASE WHEN count(*) FILTER (p_size <= 5) = 0 THEN 'SUCCESS' WHEN count(*) FILTER (p_size <= 5) < count(*) THEN 'PARTIAL' ELSE 'FAILED' END AS status,
+ round(100.0 * count(*) FILTER (p_size <= 5) / count(*), 3) AS fail_rate, round(100.0 * count(*) FILTER (p_size <= 5) / count(*), 3) > 5 AS fail_rate_alert FROM part""")
 def a9_run_status(spark, sf):
-    s = plan.plan_summary(build_plan(feed(spark, sf), target(spark, sf), sync_spec()))
-    return plan.rates(s, {"skip_rate": ("skipped", "rows_total")}).select(diagnostics.run_status(F.col("rows_total"), F.col("to_create")).alias("status"), "skip_rate")
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size").cast("string")).otherwise("small").alias("size"))
+    s = diagnostics.stage_stats(rules.check_sink(p, [SinkField("size", "int", required=True)]), "normalize")
+    return plan.rates(s, {"fail_rate": ("failed", "rows_total")}, {"fail_rate": 5.0}).select(diagnostics.run_status(F.col("rows_total"), F.col("failed")).alias("status"), "fail_rate", "fail_rate_alert")
 
 
 @query("""SELECT row_id, cand_id, CAST(rk AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, ord) AS rk FROM (""" + _FUZZY + """ SELECT row_id, cand_id, ord, score FROM capped)) WHERE rk <= 2""")

@@ -31,17 +31,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that
-    is unset (a local test), a fresh temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. A local master may do
+    without and gets a fresh temporary one; a cluster may not. What an application
+    writes there lies in a folder of its own, which goes when it ends."""
     sc = spark.sparkContext
     made = getattr(sc, "_concordat_shared", None)
     if made is None:
         made = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not made:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             made = "file://" + tempfile.mkdtemp(prefix="concordat-checkpoint-")
             sc.setCheckpointDir(made)
-        sc._concordat_shared = made
-    return made.rstrip("/")
+        made = sc._concordat_shared = f"{made.rstrip('/')}/concordat-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        _remove_at_stop(spark, made)
+    return made
+
+
+def _remove_at_stop(spark: SparkSession, path: str) -> None:
+    """Delete the application's folder when its context stops, or else when Python ends while it still runs."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    stop = sc.stop
+
+    def clean() -> None:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the folder may be gone, or the context may have stopped by other means
+            pass
+
+    def stop_clean() -> None:
+        if sc._jsc is not None:
+            clean()
+        stop()
+
+    sc.stop = stop_clean
 
 
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:

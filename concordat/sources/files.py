@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from concordat.functions.text import blank, strip
+from concordat.functions.text import blank, canonical_scalar, strip
 
 RAW = "_raw"
 
@@ -19,13 +20,15 @@ def clean(c):
     return F.when(~F.lower(s).isin("", "null"), s)
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, header: bool = True, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
     """All-string rows with ``line_no``, ``record_id`` and ``malformed`` (null, or the line).
 
     With a header, short rows are padded with null and only longer ones are
-    malformed; without one any other width is. Line numbers grow in file order
-    and are unique (dense only within one input split): making them dense takes a
-    pass over all rows.
+    malformed; without one any other width is. ``line_no`` is the number of the
+    record in its file, the header being 1: a first pass counts the records of
+    each input split, the second adds what stands before it. With several files
+    numbers go on in the order of their paths. ``multiline``: quoted values may
+    hold line breaks, which count once; such files are not split.
     """
     if header and columns is None:
         first = spark.read.option("encoding", encoding).text(path).limit(1).first()
@@ -34,11 +37,17 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, h
         width = spark.read.csv(path, sep=sep, encoding=encoding, header=False).columns
         columns = [f"col_{i}" for i in range(len(width))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns] + [T.StructField(RAW, T.StringType())])
-    df = spark.read.csv(path, schema=schema, header=header, sep=sep, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, enforceSchema=True)
+    df = spark.read.csv(path, schema=schema, header=header, sep=sep, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=RAW, enforceSchema=True, multiLine=multiline)
     fields = F.size(F.split(F.regexp_replace(RAW, r'"([^"]|"")*"', ""), re.escape(sep), -1))
     bad = F.when(F.col(RAW).isNotNull() & ((fields > len(columns)) if header else (fields != len(columns))), F.col(RAW))
-    out = df.select(*[clean(F.col(f"`{c}`")).alias(c) for c in columns], bad.alias("malformed"), F.monotonically_increasing_id().alias("line_no"))
-    out = out.withColumn("line_no", F.col("line_no") + (2 if header else 1))
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__from")]
+    out = df.select(*[clean(F.col(f"`{c}`")).alias(c) for c in columns], bad.alias("malformed"), *split, F.monotonically_increasing_id().alias("__at"))
+    # A task reads a split from its start to its end, so that ids of its rows follow each other.
+    counts = out.groupBy("__file", "__from").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"))
+    # One row a split: no more than the file listing itself.
+    before = Window.orderBy("__file", "__from").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    out = out.join(F.broadcast(offsets), ["__file", "__from"]).withColumn("line_no", F.col("__at") - F.col("__lo") + F.col("__before") + (2 if header else 1)).drop("__file", "__from", "__at", "__lo", "__before")
     return out.withColumn("record_id", F.concat(F.lit("line:"), F.col("line_no").cast("string")))
 
 
@@ -50,6 +59,15 @@ def check_dictionary(df: DataFrame, key: str, required: list[str] = (), norm=Non
     return nulls.crossJoin(dup)  # one row each
 
 
+def refuse_duplicates(df: DataFrame, key: str, norm=None) -> DataFrame:
+    """``df``, or an error that names up to five keys that are the same in normal form."""
+    k = (norm or strip)(F.col(key))
+    some = df.groupBy(k.alias("__k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and __k is not null").orderBy("__k").limit(5).collect()
+    if some:
+        raise ValueError(f"duplicate keys: {', '.join(r['__k'] for r in some)}")
+    return df
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of small files, to be compared with a manifest."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -66,6 +84,32 @@ def membership(df: DataFrame, column: str) -> DataFrame:
     return df.select(c.alias("node_id")).where(~blank(F.col("node_id"))).distinct()
 
 
-def snapshot_pages(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
-    """Items of landed pages with their page (file) name."""
-    return spark.read.format(fmt).schema(schema).load(path).withColumn("page", F.input_file_name())
+def snapshot_pages(spark: SparkSession, path: str, schema: str, fmt: str = "json", page_size: int | None = None, max_pages: int | None = None) -> DataFrame:
+    """Items of landed pages with their page (file) name: of all pages, or of the first ``max_pages`` by name.
+
+    ``page_size`` is what a full page holds: a page with fewer items is the last
+    one, so that pages after it are left out.
+    """
+    df = spark.read.format(fmt).schema(schema).load(path).withColumn("page", F.col("_metadata.file_path"))
+    if page_size is None and max_pages is None:
+        return df
+    pages = df.groupBy("page").agg(F.count(F.lit(1)).alias("items"))  # one row a file
+    ranked = pages.withColumn("at", F.row_number().over(Window.orderBy("page")))
+    if max_pages is not None:
+        ranked = ranked.where(F.col("at") <= max_pages)
+    if page_size is not None:
+        last = ranked.where(F.col("items") < page_size).agg(F.min("at").alias("last"))
+        ranked = ranked.crossJoin(last).where(F.col("last").isNull() | (F.col("at") <= F.col("last")))  # one row
+    return df.join(F.broadcast(ranked.select("page")), "page", "left_semi")
+
+
+def hierarchy_source(snapshot: DataFrame, node: str, parent: str, label: str, steps: tuple[tuple, ...] = (("trim",), ("lower",))) -> DataFrame:
+    """(node_id, parent_id, label) of a snapshot, deleted rows included, labels in canonical form, sorted by id."""
+    text = lambda c: clean(F.col(c).cast("string"))
+    out = snapshot.select(text(node).alias("node_id"), text(parent).alias("parent_id"), canonical_scalar(F.col(label).cast("string"), list(steps)).alias("label"))
+    return out.where("node_id is not null").orderBy("node_id")
+
+
+def micro_batches(spark: SparkSession, path: str, schema: str, fmt: str = "json", max_files: int = 1) -> DataFrame:
+    """Landed files as a stream of micro-batches of up to ``max_files``; how long one waits is the trigger of the query."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)

@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from concordat.operators import cache as snapshots
 from concordat.operators.resolve import identity_index
 from concordat.session import ship
 
+def drain(query: StreamingQuery, seconds: float = 600, every: float = 0.2) -> None:
+    """Wait until a query with the trigger ``availableNow`` has used up its input, and stop it.
+
+    A query with time-outs does not end by itself: it goes on with empty batches.
+    The first batch without input tells that the rest was read.
+    """
+    end = time.monotonic() + seconds
+    try:
+        while query.isActive and time.monotonic() < end:
+            last = query.lastProgress
+            if last and last["numInputRows"] == 0 and any(p["numInputRows"] for p in query.recentProgress):
+                break
+            time.sleep(every)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+
+
 DEDUP = "dedup_key string, line_no long, fingerprint string, dedup string"
 
 
@@ -81,21 +103,46 @@ def pending_stream(events: DataFrame, ttl_ms: int = 86_400_000, max_attempts: in
     )
 
 
+BUCKETS = 64
+
+
+def _bucket(pk: str):
+    return F.pmod(F.xxhash64(pk), F.lit(BUCKETS)).cast("int")
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """A version of a snapshot kept by ``refresh_stream``: of each bucket the files of the batch that last wrote it."""
+    manifest = spark.read.parquet(f"{path}/manifest/v={version}")  # one row a bucket
+    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").join(F.broadcast(manifest), ["bucket", "written"]).drop("bucket", "written")
+
+
 def refresh_stream(pages: DataFrame, path: str, columns, pk: str, order: list[str], deleted, checkpoint: str):
-    """Keep a snapshot up to date from a stream of landed pages; each batch writes a new version under ``path``.
+    """Keep a snapshot up to date from a stream of landed pages: each batch is a version (see ``read_snapshot``).
 
-    A repeated batch (after a lost driver) rewrites its own version.
+    Rows lie in ``BUCKETS`` buckets by key. A batch reads and writes the buckets
+    that it has keys of; a manifest says which batch wrote each bucket last. A
+    repeated batch (after a lost driver) rewrites its own files only.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         names = [c.name for c in columns]
-        if batch_id:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-        else:
-            old = snapshots.project_items(batch.limit(0), columns).select(*names)
-        state, _ = snapshots.refresh(old.select(*names), batch, columns, pk, order, deleted)
-        state.drop("change").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        batch = batch.persist()
+        items = snapshots.project_items(batch.withColumn("__deleted", deleted), columns, keep=("__deleted",)).where("not __deleted and failed is null")
+        touched = sorted(r["bucket"] for r in items.select(_bucket(pk).alias("bucket")).distinct().collect())  # at most BUCKETS
+        empty = snapshots.project_items(batch.limit(0), columns).select(*names)
+        manifest = {} if not batch_id else {r["bucket"]: r["written"] for r in spark.read.parquet(f"{path}/manifest/v={batch_id - 1}").collect()}
+        held = [f"{path}/data/bucket={b}/written={manifest[b]}" for b in touched if b in manifest]
+        old = spark.read.parquet(*held).select(*names) if held else empty
+        state, _ = snapshots.refresh(old, batch, columns, pk, order, deleted)
+        made = state.drop("change").withColumn("bucket", _bucket(pk)).withColumn("written", F.lit(batch_id))
+        (
+            made.repartition(max(len(touched), 1), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket", "written").parquet(f"{path}/data")
+        )
+        now = manifest | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(now.items()), "bucket int, written int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={batch_id}")
+        batch.unpersist()
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

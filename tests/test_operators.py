@@ -38,7 +38,7 @@ def test_dedup_null_keys_stay(spark):
 
 
 def test_links_narrowing(spark):
-    ids = spark.createDataFrame([("n:x", ["1", "2"]), ("b:x1", ["2"]), ("b:zz", ["9"])], "lookup_key string, ids array<string>")
+    ids = spark.createDataFrame([("n:x", "1"), ("n:x", "2"), ("b:x1", "2"), ("b:zz", "9")], "lookup_key string, id string")
     df = spark.createDataFrame([(1, "x", "x1"), (2, "x", "zz"), (3, "q", "x1"), (4, None, None)], "rid int, n string, b string")
     rule = resolve.LinkRule("f", (("n", F.col("n")),), ((("b", F.col("b")),),))
     got = {r.rid: (r.f__status, r.f__id) for r in resolve.resolve_links(df, "rid", [rule], ids).collect()}
@@ -61,9 +61,11 @@ def test_pending_life(spark):
 def test_tree_problems_and_cycle(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x"), ("m", "gone"), ("n", "m")], "node_id string, parent_id string")
     got = {r.node_id: (r.verdict, r.broken_at) for r in hierarchy.anchor_verdicts(nodes, nodes.limit(0)).collect()}
-    assert got == {"a": ("anchored", None), "b": ("anchored", None), "c": ("anchored", None), "x": ("cycle", None), "y": ("cycle", None), "z": ("cycle", None), "m": ("missing_parent", "gone"), "n": ("unanchored_subtree", "gone")}
+    assert got == {"a": ("anchored", None), "b": ("anchored", None), "c": ("anchored", None), "x": ("cycle", "x"), "y": ("cycle", "x"), "z": ("cycle", "x"), "m": ("missing_parent", "gone"), "n": ("unanchored_subtree", "gone")}
     held = spark.createDataFrame([("gone",)], "node_id string")
     assert hierarchy.anchor_verdicts(nodes, held).where("node_id = 'n'").first().verdict == "anchored"
+    paths = hierarchy.path_table(nodes.withColumn("label", F.upper("node_id")))  # ends, and knows no path through a cycle
+    assert {r.node_id: r.path for r in paths.collect() if r.node_id in "abcxyz"} == {"a": ["A"], "b": ["A", "B"], "c": ["A", "B", "C"], "x": None, "y": None, "z": None}
     tree, problems = hierarchy.build_tree(nodes)
     assert tree.count() == 0 and {r.problem for r in problems.collect()} == {"cycle", "missing_parent"}
 
@@ -130,3 +132,64 @@ def test_soft_delete_and_projection(spark):
     assert [r.d for r in raw.select(cache.soft_deleted(any_rules=[("not_null", F.col("gone"))]).alias("d")).collect()] == [False, True, False]
     out = cache.project_items(raw, [cache.CacheColumn("id", F.col("id"), "bigint", required=True), cache.CacheColumn("n", F.col("a"), "int", on_error="set_null")]).collect()
     assert [r.failed for r in out] == [None, None, "id: missing"]
+
+
+def test_scalars_count_as_arrays_of_one(spark):
+    from concordat.functions.ops import run_chains
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, " ")], "record_id int, v string")
+    names = ("first", "last", "compact", "unique", "count")
+    out = run_chains(df, {n: (F.col("v"), [op(n)]) for n in names} | {"at": (F.col("v"), [op("at", index=1)])}).orderBy("record_id").collect()
+    assert [tuple(r[n] for n in (*names, "at")) for r in out] == [("a", "a", ["a"], ["a"], 1, None), (None, None, [], [], 0, None), (" ", " ", [], [" "], 1, None)]
+
+
+def test_text_helpers(spark):
+    from concordat.functions import ops, text
+
+    df = spark.createDataFrame([("abcdef",)], "v string")
+    assert [df.select(text.shorten(F.col("v"), n).alias("s")).first().s for n in (0, 2, 3, 4, 5, 6)] == ["", "ab", "abc", "a...", "ab...", "abcdef"]
+    letters = [chr(i) for i in range(1, 0x2000) if not 0x13A0 <= i < 0x1400 and chr(i) not in "\u1c89\u1c8a"]
+    got = spark.createDataFrame([(c,) for c in letters], "c string").select("c", text.casefold(F.col("c")).alias("f")).collect()
+    assert [r.c for r in got if r.f != r.c.casefold()] == []
+    assert ops.java_replacement("$5 \\1 \\g<n>") == "\\$5 $1 ${n}"
+
+
+def test_dictionary_refusal_and_pages(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([("a",), (" a",), ("b",)], "k string")
+    with pytest.raises(ValueError, match="duplicate keys: a"):
+        files.refuse_duplicates(df, "k")
+    assert files.refuse_duplicates(df.where("k <> ' a'"), "k").count() == 2
+    for name, n in (("p1", 2), ("p2", 1), ("p3", 2)):
+        (tmp_path / f"{name}.json").write_text("".join(f'{{"id":{i}}}\n' for i in range(n)))
+    read = lambda **a: files.snapshot_pages(spark, str(tmp_path), "id long", **a).count()
+    assert (read(), read(max_pages=1), read(page_size=2), read(page_size=2, max_pages=1)) == (5, 2, 3, 2)
+
+
+def test_csv_records_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"a\nb"\n2,c\n')
+    rows = files.read_csv(spark, str(tmp_path / "a.csv"), multiline=True).orderBy("line_no").collect()
+    assert [(r.line_no, r.id, r.name) for r in rows] == [(2, "1", "a\nb"), (3, "2", "c")]
+
+
+def test_providers_and_clearing(spark):
+    import pytest
+
+    p = lookup.Providers()
+    p.register("numbers", lambda n: spark.range(n))
+    assert p.get("numbers", n=3).count() == 3
+    with pytest.raises(ValueError):
+        p.get("letters")
+    parts, parents = {n: spark.range(2) for n in ("a", "b")}, {"b": ["a"], "a": []}
+    with pytest.raises(ValueError, match="needed by b"):
+        cache.clear(parts, parents, "a", cascade=False)
+    emptied, counts = cache.clear(parts, parents)
+    assert list(emptied) == ["b", "a"] and {r.dataset: r.rows for r in counts.collect()} == {"a": 2, "b": 2}
+    assert resolve.link_key_names([resolve.LinkRule("f", (("n", F.col("n")),), ((("b", F.col("b")),),))]) == {"n", "b"}
+
+
+def test_shared_folder_goes_with_its_application(spark):
+    from concordat import session
+
+    assert spark.sparkContext.applicationId in session.shared_dir(spark)

@@ -1,5 +1,6 @@
 import pytest
 
+from concordat import queries_detail  # noqa: F401
 from concordat.queries import QUERIES, SQL
 
 
