@@ -28,6 +28,8 @@ from concordat.llm.common import map_rows, prepare, sha, utf8
 
 #: Pre-tokens remembered by a Python worker; beyond that the memory starts anew.
 MEMO = 400_000
+#: Characters of the longest pre-token that is remembered, so that the memory is bounded in bytes.
+KEEP = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -152,7 +154,9 @@ class Codec:
             try:
                 out += memo[piece]
             except KeyError:
-                memo[piece] = ids = self.lookup(piece)
+                ids = self.lookup(piece)
+                if len(piece) <= KEEP:
+                    memo[piece] = ids
                 out += ids
         return out
 

@@ -106,7 +106,7 @@ def train(x: np.ndarray, y: list[str], params: Params = Params()) -> Model:
 
 
 def decode(model: Model, x: np.ndarray, params: Params = Params()) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, scores and ambiguity flags of rows of features."""
+    """Languages, scores and ambiguity flags of rows of features. Of equal losses the first language by name wins, flagged ambiguous."""
     margin = (x @ model.weights[:-1] + model.weights[-1])[:, None, :] * model.codes
     loss = (np.exp(-margin) * model.trust).sum(2)
     p = np.exp(-params.sharpness * (loss - loss.min(1, keepdims=True)))

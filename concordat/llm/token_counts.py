@@ -33,6 +33,8 @@ UNKNOWN = -30.0
 WORDS = re.compile(r"\S+")
 #: Pre-tokens remembered by a Python worker; beyond that the memory starts anew.
 MEMO = 400_000
+#: Characters of the longest pre-token that is remembered, so that the memory is bounded in bytes.
+KEEP = 64
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -98,8 +100,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = {w for ws in split for w in ws}
-            memo.update((w[1:], n) for w, n in m.counts(MARK + w for w in new).items())
-            return {"doc_id": b.column(0), "n_pretokens": list(map(len, split)), "n_tokens": [sum(map(memo.__getitem__, ws)) for ws in split]}
+            made = {w[1:]: n for w, n in m.counts(MARK + w for w in new).items()}
+            memo.update((w, n) for w, n in made.items() if len(w) <= KEEP)
+            long = {w: n for w, n in made.items() if len(w) > KEEP}
+            count = lambda w: memo[w] if w in memo else long[w]
+            return {"doc_id": b.column(0), "n_pretokens": list(map(len, split)), "n_tokens": [sum(map(count, ws)) for ws in split]}
 
         return step
 

@@ -42,6 +42,8 @@ BITS = 20
 GRAM = 4
 #: Words a Python worker remembers; beyond that the memory starts anew.
 MEMO = 400_000
+#: Bytes of the longest word that is remembered.
+KEEP = 64
 
 
 @dataclass(frozen=True)
@@ -231,7 +233,9 @@ def scorer(w: np.ndarray, bias: float):
                 a, k = memo[x]
             except KeyError:
                 fs = word_features(x)
-                a, k = memo[x] = sum(weights[i] for i in fs), len(fs)
+                a, k = sum(weights[i] for i in fs), len(fs)
+                if len(x) <= KEEP:
+                    memo[x] = a, k
             z += a
             n += k
         z = bias + z / max(n, 1) ** 0.5

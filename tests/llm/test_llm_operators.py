@@ -357,6 +357,53 @@ def test_unigram_counts_equal_brute_force(spark, hard):
     assert got[0] == got[1] == got[2] == (0, 0) and got[3] == (1, brute(token_counts.MARK + "a"))
 
 
+def test_unigram_counts_of_whole_documents_equal_brute_force(spark, sf):
+    """Every pre-token of every document, by a score table over all splits of each."""
+    u = token_counts.Unigram(token_counts.load_pieces(queries.vocabulary(queries.PIECE_FILE)))
+    known: dict[str, int] = {}
+
+    def brute(t):
+        best = [(0.0, 0)]
+        for e in range(1, len(t) + 1):
+            c = [(best[e - 1][0] + token_counts.UNKNOWN, best[e - 1][1] - len(t[e - 1].encode()))]
+            c += [(best[s][0] + u.pieces[t[s:e]], best[s][1] - 1) for s in range(e) if t[s:e] in u.pieces]
+            best.append(max(c))
+        return -best[-1][1]
+
+    d = docs(spark, sf)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(d, queries.vocabulary(queries.PIECE_FILE)).collect()}
+    for r in d.select("doc_id", "text").collect():
+        n = 0
+        for w in token_counts.WORDS.findall(r.text or ""):
+            if w not in known:
+                known[w] = brute(token_counts.MARK + w)
+            n += known[w]
+        assert got[r.doc_id] == n
+    long = spark.createDataFrame([(1, "ab" * 500), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(long, queries.vocabulary(queries.PIECE_FILE)).collect()} == {1: brute(token_counts.MARK + "ab" * 500), 2: 0}
+    assert token_counts.token_counts(long.limit(0), queries.vocabulary(queries.PIECE_FILE)).count() == 0
+
+
+def test_language_ties_and_short_texts(spark):
+    import numpy as np
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(d)
+    same = language_id.Model(["b", "a"][::-1], np.array([[1.0], [-1.0]]), np.zeros((model.weights.shape[0], 1), np.float32), np.ones((2, 1)))
+    names, _, close = language_id.decode(same, np.zeros((1, model.weights.shape[0] - 1), np.float32))
+    assert names == ["a"] and close.all()
+    short = d.where("length(text) >= 60").select("doc_id", "lang", F.substring("text", 1, 60).alias("text"))
+    out = language_id.predict(short, model).join(short, "doc_id").collect()
+    test = [r.lang_pred == r.lang for r in out if r.lang and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(test) / len(test) > 0.9
+    assert language_id.predict(d.limit(0), model).count() == 0
+
+
+def test_scans_of_an_empty_table(spark, hard):
+    path = queries.vocabulary(queries.BPE_FILE)
+    assert license_scan.scan(hard.limit(0)).count() == 0 and bpe.round_trip(hard.limit(0), path, queries.pattern()).count() == 0
+
+
 def test_html_layouts(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><div class=ad>Buy</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three<br>four<p>Five &lt;i&gt;</article><footer>Foot</footer>"
     plain = "<div class='sidebar'><p>menu thing</p></div><div class='article-body'><p>Some long text here that is quite a paragraph of words, and so on.</p></div><section id='comments'><p>nice post</p></section>"

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 
@@ -16,3 +18,15 @@ def test_pipeline_stages(spark, sf):
     final = cp.STAGES[-1][1](spark, kept, sf)
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in cp.run(spark, sf).collect())
+
+
+def test_stages_on_hard_rows(spark, sf):
+    """Nulls in any column, repeated rows and ids, empty and long texts, clashing names, and no rows at all."""
+    rows = [(1, "the same text here again and again"), (2, "the same text here again and again"), (2, "another text"), (2, "another text"), (None, "no id"), (None, None), (3, None), (4, ""), (5, "x " * 20000), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("id", "h", "bad_id", "keep_id", "text_sha256", "n", "score", "__sha")})
+    left = {"toxicity": 10, "exact_dedup": 5, "jaccard_join": 7, "decontamination": 10}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.count() == left[name], name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    assert cp.STAGES[-1][1](spark, docs, sf).count() == 10
