@@ -166,7 +166,7 @@ def f4_more_string_ops(spark, sf):
     return out.select("p_partkey", "titled", "first_up", "ascii", F.col("names.first").alias("given"), F.col("comma.last").alias("last"), "non_ascii", "empty", "dollar")
 
 
-@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN user_id + 0.5 END AS num, CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'not a number' END AS num_err, event_type = 'click' AS yes, 'k' AS const, event_type AS copy,
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN CAST(user_id + 0.5 AS DOUBLE) END AS num, CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'not a number' END AS num_err, event_type = 'click' AS yes, 'k' AS const, event_type AS copy,
  event_type = 'view' AS same, CASE WHEN event_type = 'view' THEN event_type ELSE 'other' END AS map_each, CAST(1 AS BIGINT) AS n_scalar, event_type AS first_scalar FROM events""")
 def f21_more_value_ops(spark, sf):
     e = table(spark, sf, "events")
