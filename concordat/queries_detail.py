@@ -335,6 +335,20 @@ def r2_plan_with_links(spark, sf):
     return made.join(asked, "line_no", "left").select("line_no", "op", "pending", "wanted", "target_id")
 
 
+@query("""SELECT o.o_orderkey AS line_no, CAST(o.o_orderkey AS VARCHAR) AS match_key, CASE WHEN o.o_orderkey % 10 = 0 THEN 'create' WHEN o.o_orderkey % 7 = 0 THEN 'update' ELSE 'skip' END AS op,
+ CASE WHEN o.o_orderkey % 10 <> 0 AND o.o_orderkey % 7 = 0 THEN '{"v":"' || o.o_orderstatus || '"}' END AS status_change FROM orders o""")
+def r6_orders_plan(spark, sf):
+    """The sync plan over all orders: a tenth is missing in the target, a seventh has another status there."""
+    o = table(spark, sf, "orders")
+    fed = o.select(F.col("o_orderkey").alias("line_no"), F.concat(F.lit(" "), "o_orderkey").alias("code"), F.concat("o_orderstatus", F.lit(" ")).alias("status"))
+    kept = o.where("o_orderkey % 10 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("code"), F.when(F.col("o_orderkey") % 7 == 0, "?").otherwise(F.col("o_orderstatus")).alias("status"))
+    spec = SyncSpec(
+        [MapRule(("code",), ("code",), (op("trim"),), required=True), MapRule(("status",), ("status",), (op("trim"), op("upper")))],
+        [match.IdentityRule("code", F.col("code"), F.col("code"))], [resolve.DiffRule("status")], ["code"], "id",
+    )
+    return build_plan(fed, kept, spec).select("line_no", "match_key", "op", F.try_element_at("changes", F.lit("status")).alias("status_change"))
+
+
 # Pending links
 
 
