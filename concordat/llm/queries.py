@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordat.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, license_scan, pii, token_counts, toxicity
+from concordat.llm import bpe, decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, language_id, license_scan, pii, piece_bpe, source_divergence, token_counts, toxicity
 from concordat.llm.common import held_out
 from concordat.session import table
 
@@ -72,11 +72,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(PIECE_FILE))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_toxicity, op3_byte_bpe, op4_language_id, op5_license_scan,
         op6_token_counts, op7_exact_dedup, op8_jaccard_join, op9_html_extraction, op10_pii,
+        op11_filter_audit, op12_piece_bpe, op13_source_divergence,
     )
 }
 
@@ -106,5 +120,71 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_filter_audit": """
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM w
+),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+b(c, v) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order, a.v AS v1, b.v AS v2, d.v AS v3, e.v AS v4, g.v AS v5
+  FROM b a JOIN b ON b.v <> a.v JOIN b d ON d.v NOT IN (a.v, b.v) JOIN b e ON e.v NOT IN (a.v, b.v, d.v) JOIN b g ON a.v + b.v + d.v + e.v + g.v = 31
+),
+s AS (
+  SELECT filter_order, 1 AS step, v1 AS v, 0 AS before FROM o UNION ALL SELECT filter_order, 2, v2, v1 FROM o UNION ALL
+  SELECT filter_order, 3, v3, v1 + v2 FROM o UNION ALL SELECT filter_order, 4, v4, v1 + v2 + v3 FROM o UNION ALL SELECT filter_order, 5, v5, 31 - v5 FROM o
+),
+r AS (
+  SELECT part, filter_order, step, v,
+         sum(CASE WHEN mask & (before + v) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & v > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & v > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = v THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & v > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & v > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m CROSS JOIN s GROUP BY part, filter_order, step, v
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, v) AS BIGINT) AS shapley
+FROM r
+""",
+    "op13_source_divergence": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY lang, source),
+g AS (SELECT lang, source, coalesce(gn.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN gn USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5) // (g.total + 5 * v.v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (k.n + 5) // (v.total + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+f AS (SELECT a.lang, a.source, b.source AS other, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+),
+terms AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }
