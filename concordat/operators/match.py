@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from concordat.functions import vector
 from concordat.functions.text import blank, casefold
-from concordat.session import ship
+from concordat.session import materialize, ship
 
 
 @dataclass(frozen=True)
@@ -100,6 +100,38 @@ def score_candidates(pairs: DataFrame, comparators: list[Comparator], digits: in
     return pairs.withColumn("score", F.bround(sum((_compare(c) * F.lit(c.weight) for c in comparators), F.lit(0.0)) / F.lit(total), digits))
 
 
+def _bound(c: Comparator) -> Column:
+    """What a comparator's value can't exceed, by built-in functions.
+
+    Of a similarity: the characters that both texts have, each as often as it
+    occurs in both, are all that matching blocks can hold.
+    """
+    if c.kind != "similarity":
+        return _compare(c)
+    a, b = F.col(f"s_{c.field}").cast("string"), F.col(f"c_{c.field}").cast("string")
+    size = F.char_length(a) + F.char_length(b)
+    times = lambda s, x: F.char_length(s) - F.char_length(F.replace(s, x, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, x: n + F.when(x == "", 0).otherwise(F.least(times(a, x), times(b, x))))
+    return F.when(a.isNull() | b.isNull(), 0.0).when(size == 0, 1.0).otherwise(F.lit(2.0) * shared / size)
+
+
+def score_top(pairs: DataFrame, row_id: str, comparators: list[Comparator], top: int, digits: int = 4) -> DataFrame:
+    """Pairs with ``score``, as ``score_candidates``, of all that can be among the ``top`` of their row.
+
+    Each row's ``top`` pairs by what their scores can't exceed are scored first.
+    Of the others only those go to the comparison of texts that may reach the
+    least of these scores; the rest can't be among the best, ties included.
+    """
+    total = sum(c.weight for c in comparators)
+    bound = F.bround(sum((_bound(c) * F.lit(c.weight) for c in comparators), F.lit(0.0)) / F.lit(total), digits)
+    w = Window.partitionBy(row_id).orderBy(F.desc("bound"), "ord")
+    ranked = materialize(pairs.withColumn("bound", bound).withColumn("__place", F.row_number().over(w)), "bounded")
+    first = materialize(score_candidates(ranked.where(F.col("__place") <= top), comparators, digits), "first-scores")
+    least = first.groupBy(row_id).agg(F.min("score").alias("__least"))
+    more = ranked.where(F.col("__place") > top).join(least, row_id).where(F.col("bound") >= F.col("__least")).drop("__least")
+    return first.unionByName(score_candidates(more, comparators, digits)).drop("__place", "bound")
+
+
 def fuzzy_decision(scored: DataFrame, row_id: str, accept: float, review: float, tie_delta: float = 0.0, top_k: int = 3) -> DataFrame:
     """(row_id, decision, cand_id, score, top): a tie of the two best comes first, then the thresholds."""
     w = Window.partitionBy(row_id).orderBy(F.desc("score"), "ord")

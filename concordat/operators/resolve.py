@@ -1,131 +1,16 @@
-"""Links between records, merge, diff and the operation of each row."""
+"""Merge, diff and the operation of each row."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concordat.functions.ops import fingerprint
 from concordat.functions.text import blank, collapse, compare_form
 
 
-@dataclass(frozen=True)
-class LinkRule:
-    """``field`` refers to a record found by lookup keys, tried in order.
-
-    ``keys``: (key name, column over the rows). ``narrow``: groups of such keys
-    that thin out several candidates, in order. ``overrides``: a map column, by key
-    name, whose values that are not blank go before the keys' own. A field that
-    holds whole numbers is left as it is unless ``target_id`` is one of the keys.
-    """
-
-    field: str
-    keys: tuple[tuple[str, Column], ...]
-    narrow: tuple[tuple[tuple[str, Column], ...], ...] = ()
-    overrides: Column | None = None
-    target_id: str | None = None
-
-    def key(self, name: str, value: Column) -> Column:
-        value = value.cast("string")
-        if self.overrides is None:
-            return value
-        other = self.overrides[name].cast("string")
-        return F.when(~blank(other), other).otherwise(value)
-
-    def skipped(self, kinds: dict[str, str]) -> bool:
-        """Is the field an id already? ``kinds``: types by column name."""
-        return kinds.get(self.field) in ("tinyint", "smallint", "int", "bigint") and all(n != self.target_id for n, _ in self.keys)
-
-
-def link_key_names(rules: list[LinkRule]) -> set[str]:
-    """Names of all keys that links are looked up by."""
-    return {n for r in rules for keys in (r.keys, *r.narrow) for n, _ in keys}
-
-
-def identity_index(records: DataFrame, record_id: str, keys: dict[str, Column]) -> DataFrame:
-    """(lookup_key, id), distinct: one entry for each key name and value that is not blank."""
-    each = F.array(*[F.struct(F.lit(k).alias("name"), c.cast("string").alias("value")) for k, c in keys.items()])
-    flat = records.where(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("id"), F.explode(each).alias("k"))
-    return flat.where(~blank(F.col("k.value"))).select(F.concat_ws(":", "k.name", "k.value").alias("lookup_key"), "id").distinct()
-
-
-def lookup_ids(index: DataFrame) -> DataFrame:
-    """(lookup_key, ids): sorted ids of a key, as one list. For keys with few ids; see ``key_stats``."""
-    return index.groupBy("lookup_key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-
-
-def key_stats(index: DataFrame) -> DataFrame:
-    """(lookup_key, n, least): how many ids a key has (1, or 2 for several) and the least; nothing grows with a key."""
-    return index.groupBy("lookup_key").agg(F.min("id").alias("least"), F.max("id").alias("__m")).select("lookup_key", F.when(F.col("least") == F.col("__m"), 1).otherwise(2).alias("n"), "least")
-
-
-def batch_first(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Both indexes (lookup_key, id) as one; any id of the current batch hides the stored ids of its key."""
-    hidden = batch.select("lookup_key").distinct()
-    return batch.select("lookup_key", "id").unionByName(stored.select("lookup_key", "id").join(hidden, "lookup_key", "left_anti"))
-
-
-def resolve_links(df: DataFrame, row_id: str, rules: list[LinkRule], index: DataFrame) -> DataFrame:
-    """Adds <field>__id, <field>__status (resolved, ambiguous, unresolved, none) and <field>__keys for each rule.
-
-    ``index``: distinct (lookup_key, id). All rules' keys go through one join to
-    aggregates of the index. The first key that has candidates decides; narrowing
-    groups intersect, and an empty intersection keeps what there was. Ids are
-    gathered in lists only for the keys of rules that narrow.
-    """
-    kinds = dict(df.dtypes)
-    named = sorted({n for r in rules if r.narrow for keys in (r.keys, *r.narrow) for n, _ in keys})
-    stats = key_stats(index)
-    if named:
-        lists = lookup_ids(index.where(F.substring_index("lookup_key", ":", 1).isin(named)))
-        stats = stats.join(lists, "lookup_key", "left")
-    else:
-        stats = stats.withColumn("ids", F.lit(None).cast("array<string>"))
-    tries = []
-    for r, rule in enumerate(rules):
-        if rule.skipped(kinds):
-            continue
-        for g, keys in enumerate((rule.keys, *rule.narrow)):
-            for k, (name, col) in enumerate(keys):
-                tries.append(F.struct(F.lit(r).alias("rule"), F.lit(g).alias("grp"), F.lit(k).alias("ord"), F.lit(name).alias("name"), rule.key(name, col).alias("value")))
-    if not tries:
-        tries.append(F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("grp"), F.lit(0).alias("ord"), F.lit("").alias("name"), F.lit(None).cast("string").alias("value")))
-    flat = df.select(row_id, F.explode(F.array(*tries)).alias("t")).select(row_id, "t.*").where(~blank(F.col("value")))
-    flat = flat.withColumn("lookup_key", F.concat_ws(":", "name", "value")).join(stats, "lookup_key", "left")
-    main = F.col("grp") == 0
-    aggs = []
-    for r, rule in enumerate(rules):
-        mine = F.col("rule") == r
-        aggs.append(F.min_by(F.struct("n", "least", "ids"), F.when(mine & main & F.col("n").isNotNull(), F.col("ord"))).alias(f"c{r}"))
-        aggs.append(F.array_sort(F.collect_list(F.when(mine & main, F.struct("ord", "lookup_key")))).alias(f"k{r}"))
-        aggs += [F.flatten(F.collect_list(F.when(mine & (F.col("grp") == g + 1), F.col("ids")))).alias(f"n{r}_{g}") for g in range(len(rule.narrow))]
-    per = flat.groupBy(row_id).agg(*aggs)
-    out = {}
-    for r, rule in enumerate(rules):
-        if rule.skipped(kinds):
-            none = F.lit(None).cast("array<string>")
-            out |= {f"{rule.field}__status": F.lit("none"), f"{rule.field}__id": F.col(rule.field).cast("string"), f"{rule.field}__keys": none}
-            continue
-        n, one = F.col(f"c{r}.n"), F.col(f"c{r}.least")
-        if rule.narrow:
-            cand = F.col(f"c{r}.ids")
-            for g in range(len(rule.narrow)):
-                both = F.array_intersect(cand, F.col(f"n{r}_{g}"))
-                cand = F.when((F.size(cand) > 1) & (F.size(both) > 0), both).otherwise(cand)
-            n, one = F.when(F.col(f"c{r}.n").isNotNull(), F.size(cand)), F.get(cand, F.lit(0))
-        status = F.when(F.coalesce(F.size(f"k{r}"), F.lit(0)) <= 0, "none").when(n.isNull(), "unresolved").when(n == 1, "resolved").otherwise("ambiguous")
-        out |= {f"{rule.field}__status": status, f"{rule.field}__id": F.when(n == 1, one), f"{rule.field}__keys": F.transform(f"k{r}", lambda x: x["lookup_key"])}
-    spare = [f"{a}{r}" for r in range(len(rules)) for a in ("c", "k")] + [f"n{r}_{g}" for r, x in enumerate(rules) for g in range(len(x.narrow))]
-    return df.join(per, row_id, "left").withColumns(out).drop(*spare)
-
-
-def as_id(c: Column) -> Column:
-    """An id as whole number text where it is one, else as it is."""
-    return F.coalesce(c.try_cast("bigint").cast("string"), c.cast("string"))
-
-
 @dataclass(frozen=True)
 class DiffRule:
     """Compare ``desired`` with ``existing`` (default: the same name) after normalising both; report as ``output``."""

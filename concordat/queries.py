@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions.ops import fingerprint, op, run_chains
 from concordat.functions.text import canonical_segments, compare_form, key_digest, percent_bucket, shorten
-from concordat.operators import cache, diagnostics, hierarchy, lookup, match, pending, plan, resolve, rules
+from concordat.operators import cache, diagnostics, hierarchy, links, lookup, match, pending, plan, resolve, rules
 from concordat.operators.rules import MapRule, NormalizeRule, SinkField
 from concordat.plans.sync import SyncSpec, build_plan
 from concordat.session import table
@@ -225,28 +225,28 @@ def j12_link_resolution(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
     rows = li.join(p, F.col("p_partkey") == F.col("l_partkey")).withColumn("rid", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    parts = resolve.identity_index(p.where("p_partkey % 13 <> 0"), "p_partkey", {"name": F.col("p_name"), "name_brand": F.concat_ws("|", "p_name", "p_brand")})
-    sup = resolve.identity_index(s.where("s_suppkey % 13 <> 0"), "s_suppkey", {"supp": F.col("s_suppkey")})
+    parts = links.identity_index(p.where("p_partkey % 13 <> 0"), "p_partkey", {"name": F.col("p_name"), "name_brand": F.concat_ws("|", "p_name", "p_brand")})
+    sup = links.identity_index(s.where("s_suppkey % 13 <> 0"), "s_suppkey", {"supp": F.col("s_suppkey")})
     rules_ = [
-        resolve.LinkRule("supplier", (("supp", F.col("l_suppkey")),)),
-        resolve.LinkRule("part", (("name", F.col("p_name")),), ((("name_brand", F.concat_ws("|", "p_name", "p_brand")),),)),
+        links.LinkRule("supplier", (("supp", F.col("l_suppkey")),)),
+        links.LinkRule("part", (("name", F.col("p_name")),), ((("name_brand", F.concat_ws("|", "p_name", "p_brand")),),)),
     ]
-    out = resolve.resolve_links(rows, "rid", rules_, parts.unionByName(sup))
+    out = links.resolve_links(rows, "rid", rules_, parts.unionByName(sup))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "supplier__status", "supplier__id", "part__status")
 
 
 @query("""SELECT 'brand:' || p_brand AS lookup_key, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_brand <> 'Brand#1' OR p_size > 25""")
 def j15_batch_first(spark, sf):
     p = table(spark, sf, "part")
-    batch = resolve.identity_index(p.where("p_brand = 'Brand#1' and p_size > 25"), "p_partkey", {"brand": F.col("p_brand")})
-    stored = resolve.identity_index(p, "p_partkey", {"brand": F.col("p_brand")})
-    return resolve.batch_first(batch, stored)
+    batch = links.identity_index(p.where("p_brand = 'Brand#1' and p_size > 25"), "p_partkey", {"brand": F.col("p_brand")})
+    stored = links.identity_index(p, "p_partkey", {"brand": F.col("p_brand")})
+    return links.batch_first(batch, stored)
 
 
 @query("SELECT 'cust:' || o_custkey AS lookup_key, list_sort(list(DISTINCT CAST(o_orderkey AS VARCHAR))) AS ids FROM orders GROUP BY o_custkey")
 def a3_identity_index(spark, sf):
     o = table(spark, sf, "orders")
-    return resolve.lookup_ids(resolve.identity_index(o, "o_orderkey", {"cust": F.col("o_custkey")}))
+    return links.lookup_ids(links.identity_index(o, "o_orderkey", {"cust": F.col("o_custkey")}))
 
 
 @query("""SELECT user_id, event_id, event_type, count AS sightings FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS count FROM events) WHERE rn = 1""")

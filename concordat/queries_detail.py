@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions.ops import op, run_chains
 from concordat.functions.text import canonical_scalar, collapse
-from concordat.operators import cache, diagnostics, hierarchy, lookup, match, pending, plan, resolve, rules, topology
+from concordat.operators import cache, diagnostics, hierarchy, links, lookup, match, pending, plan, resolve, rules, topology
 from concordat.operators.rules import MapRule, SinkField
 from concordat.plans.sync import SyncSpec, build_plan, pending_requests
 from concordat.queries import _PLAN, _SOURCE, _TREE, feed, part_nodes, query, sync_spec, target, tree
@@ -276,8 +276,8 @@ def j13_link_overrides(spark, sf):
     o = table(spark, sf, "orders").withColumn("meta", F.create_map(F.lit("cust"), F.when((F.col("o_custkey") % 5 == 0) & (F.col("o_orderkey") % 2 == 0), "1").otherwise(" ")))
     o = o.select("o_orderkey", "meta", F.col("o_custkey").cast("string").alias("cust"), F.col("o_custkey").alias("done"))
     ids = o.select(F.concat(F.lit("cust:"), "cust").alias("lookup_key"), F.col("cust").alias("id")).unionByName(spark.range(1).select(F.lit("cust:1").alias("lookup_key"), F.lit("1").alias("id"))).distinct()
-    links = [resolve.LinkRule("cust", (("cust", F.col("cust")),), overrides=F.col("meta")), resolve.LinkRule("done", (("cust", F.col("done")),))]
-    return resolve.resolve_links(o, "o_orderkey", links, ids).select("o_orderkey", "cust__id", "done__id", "done__status")
+    both = [links.LinkRule("cust", (("cust", F.col("cust")),), overrides=F.col("meta")), links.LinkRule("done", (("cust", F.col("done")),))]
+    return links.resolve_links(o, "o_orderkey", both, ids).select("o_orderkey", "cust__id", "done__id", "done__status")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'resolved' ELSE 'pending' END AS nation__status, CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey END AS nation__id FROM customer")
@@ -321,17 +321,17 @@ def r3_merge_ids_and_secrets(spark, sf):
     tid, _ = resolve.target_id(F.col("st"), F.col("ref"), k)
     does = resolve.operation(F.col("st"), F.create_map(F.lit("a"), F.lit("b")))
     life = resolve.secret_lifecycle(does, "ephemeral", ttl_seconds=60)
-    return c.select("c_custkey", merged["name"].alias("name"), merged["segment"].alias("segment"), tid.alias("tid"), resolve.as_id(F.concat(F.lit("0"), "c_custkey")).alias("num"), ((does == "update") & life["delete_on_success"]).alias("keeps"), F.size(resolve.secret_fields(does, on_create=["token"])).alias("n_secrets"))
+    return c.select("c_custkey", merged["name"].alias("name"), merged["segment"].alias("segment"), tid.alias("tid"), links.as_id(F.concat(F.lit("0"), "c_custkey")).alias("num"), ((does == "update") & life["delete_on_success"]).alias("keeps"), F.size(resolve.secret_fields(does, on_create=["token"])).alias("n_secrets"))
 
 
 @query(f"""SELECT line_no, CASE WHEN nation % 5 = 0 THEN NULL ELSE op END AS op, nation % 5 = 0 AS pending, CASE WHEN nation % 5 = 0 THEN 'nation:' || nation END AS wanted, CASE WHEN target_ref IS NULL THEN match_key ELSE target_ref END AS target_id FROM ({_PLAN}) JOIN (SELECT c_custkey + 2 AS line_no, c_nationkey AS nation FROM customer) USING (line_no)""")
 def r2_plan_with_links(spark, sf):
     """The sync plan with a link to nations of which a fifth is missing; the requests of rows that wait."""
     spec = sync_spec()
-    spec = SyncSpec(spec.rules, spec.identity, spec.diff, spec.key, spec.target_id, links=[resolve.LinkRule("nation", (("nation", F.col("nation")),))])
-    index = resolve.identity_index(table(spark, sf, "nation").where("n_nationkey % 5 <> 0"), "n_nationkey", {"nation": F.col("n_nationkey")})
-    made = materialize(build_plan(feed(spark, sf), target(spark, sf), spec, index=index).select("line_no", "op", "pending", "target_id", "desired", "nation__status", "nation__keys"), "plan")
-    asked = pending_requests(made, spec, "customer").select(F.col("source_row_id").cast("long").alias("line_no"), F.col("lookup_key").alias("wanted"))
+    spec = SyncSpec(spec.rules, spec.identity, spec.diff, spec.key, spec.target_id, links=[links.LinkRule("nation", (("nation", F.col("nation")),))])
+    index = links.identity_index(table(spark, sf, "nation").where("n_nationkey % 5 <> 0"), "n_nationkey", {"nation": F.col("n_nationkey")})
+    made = materialize(build_plan(feed(spark, sf), target(spark, sf), spec, index=index).select("line_no", "op", "pending", "target_id", "desired", "requests"), "plan")
+    asked = pending_requests(made).select(F.col("source_row_id").cast("long").alias("line_no"), F.col("lookup_key").alias("wanted"))
     return made.join(asked, "line_no", "left").select("line_no", "op", "pending", "wanted", "target_id")
 
 
@@ -560,5 +560,5 @@ def ts4_refresh_stream(spark, sf):
 def ts5_index_batch(spark, sf):
     o = table(spark, sf, "orders")
     key = {"cust": F.col("o_custkey")}
-    stored = resolve.identity_index(o.where("o_orderkey % 3 = 0"), "o_orderkey", key)
+    stored = links.identity_index(o.where("o_orderkey % 3 = 0"), "o_orderkey", key)
     return state.index_batch(o, stored, "o_orderkey", key)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from concordat.operators import cache as snapshots
-from concordat.operators.resolve import identity_index
+from concordat.operators.links import identity_index
 from concordat.session import ship
 
 def drain(query: StreamingQuery, seconds: float = 600, every: float = 0.2) -> None:

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from concordat.operators import cache, hierarchy, lookup, match, pending, plan, resolve, rules
+from concordat.operators import cache, hierarchy, links, lookup, match, pending, plan, resolve, rules
 from concordat.functions.ops import op
 from concordat.plans.sync import SyncSpec, build_plan
 from concordat.sources import files, plan_store
@@ -40,8 +40,8 @@ def test_dedup_null_keys_stay(spark):
 def test_links_narrowing(spark):
     ids = spark.createDataFrame([("n:x", "1"), ("n:x", "2"), ("b:x1", "2"), ("b:zz", "9")], "lookup_key string, id string")
     df = spark.createDataFrame([(1, "x", "x1"), (2, "x", "zz"), (3, "q", "x1"), (4, None, None)], "rid int, n string, b string")
-    rule = resolve.LinkRule("f", (("n", F.col("n")),), ((("b", F.col("b")),),))
-    got = {r.rid: (r.f__status, r.f__id) for r in resolve.resolve_links(df, "rid", [rule], ids).collect()}
+    rule = links.LinkRule("f", (("n", F.col("n")),), ((("b", F.col("b")),),))
+    got = {r.rid: (r.f__status, r.f__id) for r in links.resolve_links(df, "rid", [rule], ids).collect()}
     assert got == {1: ("resolved", "2"), 2: ("ambiguous", None), 3: ("unresolved", None), 4: ("none", None)}
 
 
@@ -186,7 +186,7 @@ def test_providers_and_clearing(spark):
         cache.clear(parts, parents, "a", cascade=False)
     emptied, counts = cache.clear(parts, parents)
     assert list(emptied) == ["b", "a"] and {r.dataset: r.rows for r in counts.collect()} == {"a": 2, "b": 2}
-    assert resolve.link_key_names([resolve.LinkRule("f", (("n", F.col("n")),), ((("b", F.col("b")),),))]) == {"n", "b"}
+    assert links.link_key_names([links.LinkRule("f", (("n", F.col("n")),), ((("b", F.col("b")),),))]) == {"n", "b"}
 
 
 def test_shared_folder_goes_with_its_application(spark):
