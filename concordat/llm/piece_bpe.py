@@ -24,6 +24,7 @@ any name. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,7 @@ class PieceCodec:
         self.rank = np.full(self.base, NONE, np.int32)
         for i, (_, s) in pieces.items():
             self.rank[i] = order[s]
+        self.made_rank = np.append(self.rank, NONE)  # by what a pair makes; -1, the last entry, is nothing
         found = [(symbols[t[:k]] * self.base + symbols[t[k:]], i) for t, i in ids.items() for k in range(1, len(t)) if t[:k] in symbols and t[k:] in symbols]
         found.sort()
         self.pair_key = np.array([k for k, _ in found] + [np.iinfo(np.int64).max], np.int64)
@@ -152,52 +154,64 @@ class PieceCodec:
         at = np.searchsorted(self.pair_key, key)
         return np.where(self.pair_key[at] == key, self.pair_id[at], np.int32(-1))
 
-    def _ranks(self, made: np.ndarray) -> np.ndarray:
-        return np.where(made >= 0, self.rank[made], NONE)
-
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Symbols of each word after all merge rounds."""
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word after all merge rounds."""
         if not words:
             return []
-        sizes = np.array([len(w) for w in words])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym, word = self.of_char[points], np.repeat(np.arange(len(words)), sizes)
-        done: list = [None] * len(words)
+        sym, word, at_point = self.of_char[points], np.repeat(np.arange(len(words)), sizes), np.arange(len(points))
+        done = []
         made = np.full(len(sym), -1, np.int32)  # what a symbol makes with the next one of its word
         if len(sym) > 1:
             made[:-1] = np.where(word[1:] == word[:-1], self._pairs(sym[:-1], sym[1:]), -1)
         while len(sym):
-            rank = self._ranks(made)
+            rank = self.made_rank[made]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
             live = best != NONE
             lengths = np.diff(np.r_[starts, len(sym)])
             if not live.all():  # words without a pair leave
-                for s, n in zip(starts[~live].tolist(), lengths[~live].tolist()):
-                    done[word[s]] = sym[s : s + n]
                 keep = np.repeat(live, lengths)
-                sym, word, made, rank = sym[keep], word[keep], made[keep], rank[keep]
+                done.append((word[~keep], sym[~keep], at_point[~keep]))
+                sym, word, made, rank, at_point = sym[keep], word[keep], made[keep], rank[keep], at_point[keep]
                 best, lengths = best[live], lengths[live]
                 if not len(sym):
                     break
-            least = np.repeat(best, lengths)
             if self.run_ids is not None and (run := best == self.run_rank).any():
-                sym, word, made = self._cut_runs(sym, word, made, np.repeat(run, lengths))
+                sym, word, made, at_point = self._cut_runs(sym, word, made, at_point, np.repeat(run, lengths))
                 continue
-            at = np.flatnonzero(rank == least)
+            at = np.flatnonzero(rank == np.repeat(best, lengths))
             # Of places that overlap, every second one from the left.
-            fresh = np.r_[True, np.diff(at) != 1]
-            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))) % 2 == 0]
+            near = np.diff(at) == 1
+            if near.any():
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(np.r_[True, ~near], place, 0))) % 2 == 0]
             if self.risky[made[at]].any():
                 at = self._until_earlier(sym, word, made, rank, at)
-            sym = sym.copy()
             sym[at] = made[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             at = at - np.arange(len(at))  # places after the second symbols are gone
-            sym, word, made = sym[keep], word[keep], made[keep]
-            self._renew(sym, word, made, np.unique(np.r_[at, at[at > 0] - 1]))
-        return done
+            sym, word, made, at_point = sym[keep], word[keep], made[keep], at_point[keep]
+            before = at[at > 0] - 1
+            self._renew(sym, word, made, np.concatenate([at, before]))
+        return self._lists(points, len(words), *map(np.concatenate, zip(*done)))
+
+    def _lists(self, points: np.ndarray, n: int, word: np.ndarray, sym: np.ndarray, at_point: np.ndarray) -> list[list[int]]:
+        """The symbols of ``n`` words as lists of ids; symbols that are no pieces are single characters and become bytes."""
+        order = np.argsort(word, kind="stable")
+        word, sym = word[order], sym[order]
+        ends = np.searchsorted(word, np.arange(n + 1)).tolist()
+        ids = sym.tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:])]
+        odd = np.flatnonzero(sym >= self.model["size"])
+        if len(odd):
+            raw, at_point = self.model["bytes"], at_point[order]
+            for w in np.unique(word[odd]).tolist():
+                a, b = ends[w], ends[w + 1]
+                out[w] = [x for k in range(a, b) for x in ([ids[k]] if ids[k] < self.model["size"] else [raw[c] for c in chr(points[at_point[k]]).encode("utf-8", "surrogatepass")])]
+        return out
 
     def _renew(self, sym, word, made, at) -> None:
         """What the symbols at ``at`` make with their new neighbours."""
@@ -212,13 +226,13 @@ class PieceCodec:
         left = np.where(before, np.r_[np.int32(0), new[:-1]], sym[np.maximum(at - 1, 0)])
         has_left = (at > 0) & (word[np.maximum(at - 1, 0)] == word[at])
         right, has_right = sym[np.minimum(at + 2, n - 1)], (at + 2 < n) & (word[np.minimum(at + 2, n - 1)] == word[at])
-        early = has_left & (self._ranks(self._pairs(left, new)) <= r) | has_right & (self._ranks(self._pairs(new, right)) <= r)
+        early = has_left & (self.made_rank[self._pairs(left, new)] <= r) | has_right & (self.made_rank[self._pairs(new, right)] <= r)
         seen = np.cumsum(early) - early  # early merges before this one, over all words
         w = word[at]
         first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
         return at[seen == np.repeat(seen[first], np.diff(np.r_[first, len(at)]))]
 
-    def _cut_runs(self, sym, word, made, mine):
+    def _cut_runs(self, sym, word, made, at_point, mine):
         """The runs of the run symbol in the words ``mine``, each cut into pieces."""
         k = len(self.run_ids) - 1
         hit = mine & (sym == self.run_symbol)
@@ -230,24 +244,10 @@ class PieceCodec:
         head[hit] = self.run_heads[np.minimum(length - offset // k * k, k)[hit], (offset % k)[hit]]
         keep = ~hit | head
         size = np.bincount(np.cumsum(keep) - 1)
-        sym, word, made, heads = sym[keep], word[keep], made[keep], head[keep]
+        sym, word, made, at_point, heads = sym[keep], word[keep], made[keep], at_point[keep], head[keep]
         sym = np.where(heads, self.run_ids[np.where(heads, size, 1)], sym)
         self._renew(sym, word, made, np.flatnonzero(heads | np.r_[heads[1:], False]))
-        return sym, word, made
-
-    def _ids(self, word: str, symbols: np.ndarray) -> list[int]:
-        """Ids of a merged word; symbols that are no pieces become bytes."""
-        if (symbols < self.model["size"]).all():
-            return symbols.tolist()
-        out, at = [], 0
-        for s in symbols.tolist():
-            if s < self.model["size"]:
-                out.append(s)
-                at += len(self.model["pieces"][s][0])
-            else:
-                out += [self.model["bytes"][b] for b in word[at].encode("utf-8", "surrogatepass")]
-                at += 1
-        return out
+        return sym, word, made, at_point
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text, begin and end included. New words are merged together, in blocks of FLAT symbols."""
@@ -255,29 +255,22 @@ class PieceCodec:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        new = {w for ws in split for w in ws}.difference(memo)
-        long: dict[str, list[int]] = {}
+        new = set().union(*split).difference(memo)
         block, held = [], 0
         for w in new:
             block.append(w)
             held += len(w)
             if held >= FLAT:
-                self._learn(block, long)
+                memo.update(zip(block, self.merge(block)))
                 block, held = [], 0
-        self._learn(block, long)
-        out = []
-        for ws in split:
-            ids = [self.model["bos"]]
-            for w in ws:
-                ids += memo[w] if w in memo else long[w]
-            ids.append(self.model["eos"])
-            out.append(ids)
+        memo.update(zip(block, self.merge(block)))
+        bos, eos = [self.model["bos"]], [self.model["eos"]]
+        out = [[*bos, *chain.from_iterable(map(memo.__getitem__, ws)), *eos] for ws in split]
+        for w in new:
+            if len(w) > KEEP:
+                del memo[w]
         return out
 
-    def _learn(self, words: list[str], long: dict[str, list[int]]) -> None:
-        for w, symbols in zip(words, self.merge(words)):
-            (self.memo if len(w) <= KEEP else long)[w] = self._ids(w, symbols)
-
     def decode(self, ids) -> str:
         """The text of ids: marks are spaces, one in front is dropped, bytes that are no UTF-8 become U+FFFD each."""
         ids, control = list(ids), (self.model["bos"], self.model["eos"])
@@ -286,11 +279,11 @@ class PieceCodec:
         if lead is not None and ids[lead] in self.model["pieces"] and parts[lead].startswith(b" "):
             parts[lead] = parts[lead][1:]
         try:
-            inside = [k for k, i in enumerate(ids) if i in control and 0 < k < len(ids) - 1]
-            if not inside:
+            if sum(map(ids.count, set(control))) == sum(i in control for i in ids[:1] + ids[1:][-1:]):
                 return b"".join(parts).decode()
         except UnicodeDecodeError:
             return _lossy(b"".join(parts))
+        inside = [k for k, i in enumerate(ids) if i in control and 0 < k < len(ids) - 1]
         # Bytes on the two sides of a begin or end id are no one character.
         return "".join(_lossy(b"".join(parts[a:b])) for a, b in zip([0, *inside], [*inside, len(ids)]))
 
