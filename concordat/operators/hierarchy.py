@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concordat.functions.text import blank, strip
 from concordat.operators.diagnostics import add, diag, with_channels
@@ -44,12 +45,13 @@ def anchored_nodes(nodes: DataFrame, verdicts: DataFrame) -> DataFrame:
 def jump(nodes: DataFrame) -> DataFrame:
     """(node_id, top, depth, done): the furthest ancestor reached and steps to it; not done: on or below a cycle.
 
-    Each round doubles the steps; a chain that is still open after more rounds
-    than the logarithm of the node count can't end.
+    Each round doubles the steps. A chain that ends and is longer than two rounds
+    reach has nodes at every depth in between, so that as soon as a round settles
+    no node, what is open can't end: rounds follow the depth, not the node count.
     """
     cur = materialize(nodes.select("node_id", F.coalesce("parent_id", "node_id").alias("top"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent_id").isNull().alias("done")), "jump")
-    n = cur.count()
-    for _ in range(max(n, 1).bit_length() + 1):
+    left = cur.where("not done").count()
+    while left:
         up = cur.select(F.col("node_id").alias("top"), F.col("top").alias("__t"), F.col("depth").alias("__d"), F.col("done").alias("__f"))
         nxt = cur.join(up, "top", "left").select(
             "node_id", F.when(F.col("done") | F.col("__t").isNull(), F.col("top")).otherwise(F.col("__t")).alias("top"),
@@ -57,7 +59,8 @@ def jump(nodes: DataFrame) -> DataFrame:
             (F.col("done") | F.col("__t").isNull() | F.coalesce("__f", F.lit(False))).alias("done"),
         )
         cur = materialize(nxt, "jump")
-        if cur.where("not done").isEmpty():
+        before, left = left, cur.where("not done").count()
+        if left == before:
             break
     return cur
 
@@ -92,26 +95,30 @@ def anchor_verdicts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 def _cycle_entries(nodes: DataFrame) -> DataFrame:
     """(node_id, __entry) of nodes that all end in cycles: the cycle node that the least node id leading into the same cycle enters first.
 
-    After as many steps as there are nodes every walk is on its cycle; what a
-    walk has reached by then marks the nodes that are on cycles.
+    One table doubles each walk: where it is, and the least id it has met. Once a
+    round changes no least id and no longer narrows where walks are, the latter
+    are the nodes on cycles and the former name each cycle by its least id.
     """
     nodes = materialize(nodes, "cyclic")
-    n = max(nodes.count(), 1)
-    far = nodes.select("node_id", F.col("parent_id").alias("at"))
-    low = nodes.select("node_id", F.least("node_id", "parent_id").alias("low"), F.col("parent_id").alias("at"))
-    for _ in range(n.bit_length()):
-        step = far.select(F.col("node_id").alias("at"), F.col("at").alias("__t"))
-        far = materialize(far.join(step, "at").select("node_id", F.col("__t").alias("at")), "far")
-        more = low.select(F.col("node_id").alias("at"), F.col("low").alias("__l"), F.col("at").alias("__t"))
-        low = materialize(low.join(more, "at").select("node_id", F.least("low", "__l").alias("low"), F.col("__t").alias("at")), "low")
-    on = far.select(F.col("at").alias("node_id")).distinct().withColumn("__on", F.lit(True))
-    # The least id of a cycle names it; a walk from any node has met it.
-    ring = low.join(on, "node_id", "left_semi").select("node_id", F.col("low").alias("ring"))
+    walk, spread = nodes.select("node_id", F.col("parent_id").alias("at"), F.least("node_id", "parent_id").alias("low")), -1
+    while True:
+        more = walk.select(F.col("node_id").alias("at"), F.col("at").alias("__t"), F.col("low").alias("__l"))
+        walk = materialize(walk.join(more, "at").select("node_id", F.col("__t").alias("at"), F.least("low", "__l").alias("low"), (F.col("__l") < F.col("low")).alias("fell")), "walk")
+        told = walk.agg(F.count_if("fell").alias("fell"), F.countDistinct("at").alias("spread")).first()
+        if not told.fell and told.spread == spread:
+            break
+        walk, spread = walk.drop("fell"), told.spread
+    on = materialize(walk.select(F.col("at").alias("node_id")).distinct(), "on-cycle")
+    ring = walk.join(on, "node_id", "left_semi").select("node_id", F.col("low").alias("ring"))
     # The first cycle node of each walk: itself on a cycle, else found by doubling over the nodes that are not.
-    first = nodes.join(on, "node_id", "left").select("node_id", F.when(F.col("__on"), F.col("node_id")).otherwise(F.col("parent_id")).alias("enter"))
-    for _ in range(n.bit_length()):
+    mark = on.withColumn("__on", F.lit(True))
+    first = nodes.join(mark, "node_id", "left").select("node_id", F.when(F.col("__on"), F.col("node_id")).otherwise(F.col("parent_id")).alias("enter"))
+    while True:
+        first = materialize(first.join(mark.withColumnRenamed("node_id", "enter"), "enter", "left").select("node_id", "enter", F.col("__on").isNotNull().alias("in")), "enter")
+        if first.where("not in").isEmpty():
+            break
         hop = first.select(F.col("node_id").alias("enter"), F.col("enter").alias("__e"))
-        first = materialize(first.join(hop, "enter").select("node_id", F.col("__e").alias("enter")), "enter")
+        first = first.join(hop, "enter").select("node_id", F.when(F.col("in"), F.col("enter")).otherwise(F.col("__e")).alias("enter"))
     named = first.join(ring.select(F.col("node_id").alias("enter"), "ring"), "enter")
     pick = named.groupBy("ring").agg(F.min_by("enter", "node_id").alias("__entry"))
     return named.join(pick, "ring").select("node_id", "__entry")
@@ -163,6 +170,78 @@ def descendants(paths: DataFrame) -> DataFrame:
     return each.where("node_id <> descendant_id").select("node_id", "descendant_id", (F.col("at") - F.col("pos")).alias("distance"), "order_path")
 
 
+def interval_labels(nodes: DataFrame) -> DataFrame:
+    """(node_id, lo, hi, depth): an ancestor's open interval holds those of all below it; ``lo`` is pre-order by node id, ``hi`` post-order.
+
+    The tree is walked around: each node is entered and left, and what follows
+    each of these steps is known from the node, its first child, its next sibling
+    and its parent. Positions on the walk are found by doubling, in about
+    log2(nodes) rounds whatever the depth, with no path or list of children.
+    Nodes on or below a cycle, or whose parent is no node, have null labels.
+    """
+    nodes = nodes.select("node_id", "parent_id")
+    up = materialize(jump(missing_as_root(nodes)), "reached")
+    good = up.where("done").select("node_id", F.col("top").alias("root"))
+    sound = missing_parents(nodes).select(F.col("node_id").alias("root"))
+    tree = materialize(nodes.join(good.join(sound, "root", "left_anti"), "node_id").drop("root"), "sound")
+    # Siblings in order, and the next one, over all parents: ordered parts with the number of rows before each.
+    line = numbered(tree, ["parent_id", "node_id"])
+    after = line.select((F.col("at") - 1).alias("at"), F.col("node_id").alias("next"), F.col("parent_id").alias("__p"))
+    sib = materialize(line.join(after, "at", "left").select("node_id", "parent_id", F.when(F.col("parent_id").eqNullSafe(F.col("__p")), F.col("next")).alias("next")), "siblings")
+    kid = tree.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.min("node_id").alias("kid"))
+    step = lambda node, leave: F.struct(node.alias("node"), F.lit(leave).alias("leave"))
+    known = sib.join(kid, "node_id", "left")
+    enter = F.struct(step(F.col("node_id"), False).alias("s"), F.when(F.col("kid").isNotNull(), step(F.col("kid"), False)).otherwise(step(F.col("node_id"), True)).alias("to"), F.lit(1).alias("rise"))
+    leave = F.struct(step(F.col("node_id"), True).alias("s"), F.when(F.col("next").isNotNull(), step(F.col("next"), False)).when(F.col("parent_id").isNotNull(), step(F.col("parent_id"), True)).alias("to"), F.lit(-1).alias("rise"))
+    walk = known.select(F.explode(F.array(enter, leave)).alias("w")).select("w.s", "w.to", F.lit(1).cast("long").alias("steps"), F.col("w.rise").cast("long").alias("rise"))
+    walk = materialize(walk, "walk")
+    # Steps to the end of the walk, and how far it rises from here on.
+    while not walk.where("to is not null").isEmpty():
+        ahead = walk.select(F.col("s").alias("to"), F.col("to").alias("__to"), F.col("steps").alias("__n"), F.col("rise").alias("__r"))
+        walk = materialize(walk.join(ahead, "to", "left").select("s", F.col("__to").alias("to"), (F.col("steps") + F.coalesce("__n", F.lit(0))).alias("steps"), (F.col("rise") + F.coalesce("__r", F.lit(0))).alias("rise")), "walk")
+    total = 2 * tree.count()
+    at = lambda leave: F.max(F.when(F.col("s.leave") == leave, F.lit(total) - F.col("steps")))
+    placed = walk.groupBy(F.col("s.node").alias("node_id")).agg(at(False).alias("lo"), at(True).alias("hi"), (-F.max(F.when(~F.col("s.leave"), F.col("rise")))).alias("depth"))
+    return nodes.select("node_id").join(placed, "node_id", "left")
+
+
+def missing_as_root(nodes: DataFrame) -> DataFrame:
+    """The nodes, those whose parent is no node as roots."""
+    held = nodes.select(F.col("node_id").alias("parent_id")).distinct().withColumn("__held", F.lit(True))
+    return nodes.join(held, "parent_id", "left").select("node_id", F.when(F.col("__held"), F.col("parent_id")).alias("parent_id"))
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``at``, its row number from 0 by ``order``, with no task that holds all rows: parts by range, and what lies before each."""
+    parts = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), "ordered")
+    split = F.shiftright("__m", 33)
+    counts = parts.groupBy(split.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # one row a task
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return parts.withColumn("__part", split).join(F.broadcast(before), "__part").withColumn("at", F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__part", "__before")
+
+
+def is_below(node: str, ancestor: str) -> Column:
+    """Does the node of labels ``<node>lo``, ``<node>hi`` lie below that of ``<ancestor>lo``, ``<ancestor>hi``? A comparison of ranges."""
+    return (F.col(f"{ancestor}lo") < F.col(f"{node}lo")) & (F.col(f"{node}hi") < F.col(f"{ancestor}hi"))
+
+
+def descendant_counts(labels: DataFrame) -> DataFrame:
+    """(node_id, below): how many nodes lie below each; no join."""
+    return labels.where("lo is not null").select("node_id", F.call_function("div", F.col("hi") - F.col("lo") - F.lit(1), F.lit(2)).alias("below"))
+
+
+def descendants_in(labels: DataFrame, some: DataFrame, stretch: int = 1 << 12) -> DataFrame:
+    """(node_id, descendant_id, distance) for the nodes of ``some`` (node_id), in pre-order by ``lo``: a range join by stretches of the walk.
+
+    A node's interval is cut at the stretches it crosses, so that a large one is
+    shared by many tasks.
+    """
+    cut = lambda c: F.call_function("div", F.col(c), F.lit(stretch))
+    asked = labels.join(some.select("node_id").distinct(), "node_id").where("lo is not null").select("node_id", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("depth").alias("__depth"), F.explode(F.sequence(cut("lo"), cut("hi"))).alias("__s"))
+    each = labels.where("lo is not null").select(F.col("node_id").alias("descendant_id"), "lo", "depth", cut("lo").alias("__s"))
+    return asked.join(each, "__s").where("lo > __lo and lo < __hi").select("node_id", "descendant_id", (F.col("depth") - F.col("__depth")).alias("distance"), "lo")
+
+
 def structural_signature(paths: DataFrame) -> DataFrame:
     return paths.withColumn("signature", F.sha2(F.to_json(F.struct("path", "root_id", "depth")), 256))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concordat.functions.text import blank, collapse, strip
 
@@ -43,26 +44,30 @@ class Providers:
             raise ValueError(f"unknown provider {name!r}") from None
 
 
-def _found(limit: int | None) -> Column:
-    """Values of a key, sorted: one or two as mergeable aggregates, so that no list of a hot key is ever made."""
+def _found(side: DataFrame, limit: int | None) -> DataFrame:
+    """(__k, found): the sorted values (v) of each key, or the ``limit`` least; see ``lookup`` for limits 1 and 2."""
     if limit == 1:
-        return F.array(F.min("v"))
+        return side.groupBy("__k").agg(F.array(F.min("v")).alias("found"))
     if limit == 2:  # the least and the greatest: all that a decision needs of several
-        return F.when(F.count("v") > 1, F.array(F.min("v"), F.max("v"))).otherwise(F.array(F.min("v")))
-    values = F.array_sort(F.collect_list("v"))
-    return F.slice(values, 1, limit) if limit else values
+        return side.groupBy("__k").agg(F.when(F.count("v") > 1, F.array(F.min("v"), F.max("v"))).otherwise(F.array(F.min("v"))).alias("found"))
+    if limit:  # tasks pass on the least values of a key only, however many they have
+        w = Window.partitionBy("__k").orderBy("v")
+        side = side.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit)
+    return side.groupBy("__k").agg(F.array_sort(F.collect_list("v")).alias("found"))
 
 
 def lookup(df: DataFrame, row_id: str, rule: LookupRule, limit: int | None = None) -> DataFrame:
     """(row_id, candidates) of rows with a key: array of (priority, confidence, value); nulls are no candidates.
 
     ``provider_key`` is aggregated first, so that the join has one row a key and
-    a frequent key of the feed never multiplies. With ``limit`` 1 or 2 nothing
-    grows with a key's rows (of more than two, the two are the least and the
-    greatest); without a limit a key's values are one list.
+    a frequent key of the feed never multiplies. With a ``limit`` nothing grows
+    with a key's rows, in a task or in the shuffle (with 2, of more values the two
+    are the least and the greatest, which is what decisions need; else the least
+    ones); without a limit a key's values are one list.
     """
     side = rule.provider.select(strip(rule.provider_key.cast("string")).alias("__k"), rule.value.cast("string").alias("v"))
-    side = side.where("__k <> '' and v is not null").groupBy("__k").agg(_found(limit).alias("found"))
+    side = side.where("__k <> '' and v is not null")
+    side = _found(side, limit)
     keyed = df.select(row_id, strip(rule.key.cast("string")).alias("__k")).where(~blank(F.col("__k")))
     one = lambda v: F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.confidence).alias("confidence"), v.alias("value"))
     return keyed.join(side, "__k").select(row_id, F.transform("found", one).alias("candidates"))
@@ -178,7 +183,7 @@ def canonical_lookup(df: DataFrame, row_id: str, rule: LookupRule, canonical, li
     a scan of the provider for each row.
     """
     side = rule.provider.select(canonical(rule.provider_key.cast("string")).alias("__k"), rule.value.cast("string").alias("v")).where("v is not null")
-    side = side.groupBy("__k").agg(_found(limit).alias("found"))
+    side = _found(side, limit)
     one = lambda v: F.struct(F.lit(rule.priority).alias("priority"), F.lit(rule.confidence).alias("confidence"), v.alias("value"))
     keyed = df.where(rule.key.isNotNull()).select(row_id, canonical(rule.key.cast("string")).alias("__k"))
     return keyed.join(side, "__k").select(row_id, F.transform("found", one).alias("candidates"))

@@ -528,32 +528,35 @@ def ts2_dedup_stream(spark, sf):
     return _drained(spark, state.dedup_stream(stream)).select("dedup_key", "line_no", "dedup")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_row_id, 'resolved' AS status, CAST(o_custkey AS VARCHAR) AS resolved_id FROM orders WHERE o_custkey % 2 = 0")
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS source_row_id, CASE WHEN o_custkey % 2 = 0 THEN 'resolved' ELSE 'conflict' END AS status, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS resolved_id
+FROM orders WHERE o_custkey % 2 = 0 OR o_orderkey % 3 = 0""")
 def ts3_pending_stream(spark, sf):
-    """Orders ask for customers in a first batch; the even ones arrive in a second."""
+    """Orders ask for customers in a first batch; the even ones arrive in a second; a third of the orders asks again in a third one, which is once too often."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_custkey % 2 = 0")
     kinds = "event string, dataset string, lookup_key string, source_row_id string, resolved_id string"
     none = F.lit(None).cast("string")
     ask = o.select(F.lit("request").alias("event"), F.lit("orders").alias("dataset"), F.concat(F.lit("cust:"), "o_custkey").alias("lookup_key"), F.col("o_orderkey").cast("string").alias("source_row_id"), none.alias("resolved_id"))
     come = c.select(F.lit("identity").alias("event"), F.lit("orders").alias("dataset"), F.concat(F.lit("cust:"), "c_custkey").alias("lookup_key"), none.alias("source_row_id"), F.col("c_custkey").cast("string").alias("resolved_id"))
+    again = o.where("o_orderkey % 3 = 0 and o_custkey % 2 = 1")
+    again = again.select(F.lit("request").alias("event"), F.lit("orders").alias("dataset"), F.concat(F.lit("cust:"), "o_custkey").alias("lookup_key"), F.col("o_orderkey").cast("string").alias("source_row_id"), none.alias("resolved_id"))
     src = _fresh(spark, "links")
-    for part in (ask, come):
+    for part in (ask, come, again):
         part.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(src)
-    return _drained(spark, state.pending_stream(stream)).select("source_row_id", "status", "resolved_id")
+    return _drained(spark, state.pending_stream(stream, max_attempts=2)).select("source_row_id", "status", "resolved_id")
 
 
 @query("SELECT user_id, arg_max(event_type, (event_id % 2, event_id)) AS event_type FROM events GROUP BY user_id")
 def ts4_refresh_stream(spark, sf):
     """Events landed in two pages keep a snapshot of the last event type of each user."""
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    src, path = _fresh(spark, "pages"), _fresh(spark, "snapshot")
+    src, log = _fresh(spark, "pages"), state.snapshot_log(_fresh(spark, "snapshot"), "user_id")
     for half in (0, 1):
         e.where(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(src)
     pages = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
     cols = [cache.CacheColumn("user_id", F.col("user_id"), "bigint", required=True), cache.CacheColumn("event_type", F.col("event_type"))]
-    state.refresh_stream(pages, path, cols, "user_id", ["event_id"], F.lit(False), _fresh(spark, "offsets")).awaitTermination(600)
-    return state.read_snapshot(spark, path, 1)
+    state.refresh_stream(pages, log, cols, "user_id", ["event_id"], F.lit(False), _fresh(spark, "offsets")).awaitTermination(600)
+    return log.read(spark, 1)
 
 
 @query("SELECT 'cust:' || o_custkey AS lookup_key, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 3 <> 0")

@@ -1,18 +1,23 @@
-"""Incremental jobs: cross-run dedup, pending links, snapshot refresh."""
+"""Incremental jobs: cross-run dedup, pending links, snapshot refresh, the identity index.
+
+State lies in RocksDB, key by key, so that it may outgrow the memory of executors.
+"""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from concordat.operators import cache as snapshots
-from concordat.operators.links import identity_index
+from concordat.operators.links import append_index, identity_index
 from concordat.session import ship
+from concordat.sources.keyed_log import GONE, KeyedLog
+
 
 def drain(query: StreamingQuery, seconds: float = 600, every: float = 0.2) -> None:
     """Wait until a query with the trigger ``availableNow`` has used up its input, and stop it.
@@ -33,116 +38,148 @@ def drain(query: StreamingQuery, seconds: float = 600, every: float = 0.2) -> No
         query.stop()
 
 
+#: Rows of a frame that a stateful step hands on at once.
+FRAME = 10_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(spark: SparkSession) -> None:
+    """Steps with several states a key need the RocksDB store; a session setting that is left as it is where it names one already."""
+    ship(spark)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(name, None) or ""):
+        spark.conf.set(name, ROCKSDB)
+
+
 DEDUP = "dedup_key string, line_no long, fingerprint string, dedup string"
 
 
-def _first_seen(key, frames, state: GroupState):
+class FirstSeen(StatefulProcessor):
     """A key's first fingerprint is remembered; later rows are duplicates of it or conflicts."""
-    first = state.get[0] if state.exists else None
-    for pdf in frames:
-        pdf = pdf.sort_values(["line_no"], kind="stable")
-        kinds = []
-        for f in pdf.fingerprint:
-            if first is None:
-                first = f
-                kinds.append("first")
-            else:
-                kinds.append("duplicate" if f == first else "conflict")
-        yield pd.DataFrame({"dedup_key": key[0], "line_no": pdf.line_no, "fingerprint": pdf.fingerprint, "dedup": kinds})
-    state.update((first,))
-
-
-def dedup_stream(rows: DataFrame) -> DataFrame:
-    """Stream of (dedup_key, line_no, fingerprint) -> the same with ``dedup``, over all batches and runs."""
-    ship(rows.sparkSession)
-    return rows.select("dedup_key", "line_no", "fingerprint").groupBy("dedup_key").applyInPandasWithState(_first_seen, DEDUP, "first string", "append", GroupStateTimeout.NoTimeout)
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-PENDING = "dataset string, lookup_key string, source_row_id string, status string, resolved_id string"
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "fingerprint string", self.ttl_ms)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("line_no", kind="stable")  # a batch's rows of one key
+        known = self.first.exists()
+        first = self.first.get()[0] if known else pdf.fingerprint.iloc[0]
+        same = pdf.fingerprint.eq(first) if first is not None else pdf.fingerprint.isna()
+        kinds = same.map({True: "duplicate", False: "conflict"}).to_numpy(copy=True)
+        if not known:
+            kinds[0] = "first"
+        self.first.update((first,))
+        yield pd.DataFrame({"dedup_key": key[0], "line_no": pdf.line_no.to_numpy(), "fingerprint": pdf.fingerprint.to_numpy(), "dedup": kinds})
 
-def _pending(ttl_ms: int, max_attempts: int):
-    def step(key, frames, state: GroupState):
-        """State of a lookup key: its id once it has arrived, and the rows that wait for it."""
-        known, waiting = state.get if state.exists else (None, "")
-        wait = {r: int(n) for r, n in (x.split("\t") for x in waiting.split("\n") if x)}
-        out = []
-        if state.hasTimedOut:
-            out = [(r, "expired", None) for r in sorted(wait)]
-            wait = {}
-        for pdf in frames:
-            for r in pdf[pdf.event == "identity"].itertuples():
-                known = r.resolved_id if known is None else min(known, r.resolved_id)
-            for r in pdf[pdf.event == "request"].sort_values("source_row_id").itertuples():
-                wait[r.source_row_id] = wait.get(r.source_row_id, 0) + 1
-        if known is not None:
-            out += [(r, "resolved", known) for r in sorted(wait)]
-            wait = {}
-        else:
-            late = sorted(r for r, n in wait.items() if n >= max_attempts)
-            out += [(r, "conflict", None) for r in late]
-            wait = {r: n for r, n in wait.items() if n < max_attempts}
-        if wait or known is not None:
-            state.update((known, "\n".join(f"{r}\t{n}" for r, n in sorted(wait.items()))))
-            if wait:
-                state.setTimeoutDuration(ttl_ms)
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame({"dataset": key[0], "lookup_key": key[1], "source_row_id": [x[0] for x in out], "status": [x[1] for x in out], "resolved_id": [x[2] for x in out]})
-
-    return step
-
-
-def pending_stream(events: DataFrame, ttl_ms: int = 86_400_000, max_attempts: int = 5) -> DataFrame:
-    """Stream of (event: request or identity, dataset, lookup_key, source_row_id, resolved_id) -> links that
-    were resolved, ran into a conflict (too many attempts) or expired."""
-    ship(events.sparkSession)
-    return events.groupBy("dataset", "lookup_key").applyInPandasWithState(
-        _pending(ttl_ms, max_attempts), PENDING, "known string, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def dedup_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Stream of (dedup_key, line_no, fingerprint) -> the same with ``dedup``, over all batches and runs.
+
+    With ``ttl_ms`` a key that is not seen for so long is forgotten.
+    """
+    _stateful(rows.sparkSession)
+    keyed = rows.select("dedup_key", "line_no", "fingerprint").groupBy("dedup_key")
+    return keyed.transformWithStateInPandas(FirstSeen(ttl_ms), DEDUP, "append", "none" if ttl_ms is None else "processingTime")
 
 
-BUCKETS = 64
+PENDING = "dataset string, lookup_key string, source_row_id string, status string, resolved_id string"
 
 
-def _bucket(pk: str):
-    return F.pmod(F.xxhash64(pk), F.lit(BUCKETS)).cast("int")
+class PendingLinks(StatefulProcessor):
+    """State of a lookup key: its id once it has arrived, and each request that waits for it, with its attempts and deadline.
 
+    A request has the deadline of its first attempt; requests of one batch share
+    a timer. Ids are forgotten ``known_ttl_ms`` after they were last seen.
+    """
 
-def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """A version of a snapshot kept by ``refresh_stream``: of each bucket the files of the batch that last wrote it."""
-    manifest = spark.read.parquet(f"{path}/manifest/v={version}")  # one row a bucket
-    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data").join(F.broadcast(manifest), ["bucket", "written"]).drop("bucket", "written")
+    def __init__(self, ttl_ms: int, max_attempts: int, known_ttl_ms: int | None):
+        self.ttl_ms, self.max_attempts, self.known_ttl_ms = ttl_ms, max_attempts, known_ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "resolved_id string", self.known_ttl_ms)
+        self.waiting = handle.getMapState("waiting", "source_row_id string", "attempts int, deadline long")
+
+    def _told(self, key, rows: list[str], status: str, found: str | None = None) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(rows), FRAME):
+            yield pd.DataFrame({"dataset": key[0], "lookup_key": key[1], "source_row_id": rows[i : i + FRAME], "status": status, "resolved_id": pd.Series([found] * len(rows[i : i + FRAME]), dtype=object)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self.known.get()[0] if self.known.exists() else None
+        deadline, timed, late = timerValues.getCurrentProcessingTimeInMs() + self.ttl_ms, False, {}
+        arrived = False
+        for pdf in rows:
+            ids = pdf.resolved_id[pdf.event == "identity"]
+            if len(ids):
+                known, arrived = min(filter(None, [known, ids.min()])), True
+            for row, more in pdf.source_row_id[pdf.event == "request"].value_counts().items():
+                held = self.waiting.getValue((row,)) if self.waiting.containsKey((row,)) else None
+                attempts, until = (held[0], held[1]) if held else (0, deadline)
+                self.waiting.updateValue((row,), (attempts + int(more), until))
+                timed |= held is None
+                if attempts + more >= self.max_attempts:
+                    late[row] = True
+        if arrived:
+            self.known.update((known,))
+        if known is not None:
+            yield from self._told(key, sorted(r[0] for r in self.waiting.keys()), "resolved", known)
+            self.waiting.clear()
+            return
+        for row in late:
+            self.waiting.removeKey((row,))
+        yield from self._told(key, sorted(late), "conflict")
+        if timed and self.waiting.exists():
+            self.handle.registerTimer(deadline)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        gone = sorted(r[0] for r, v in self.waiting.iterator() if v[1] <= now)
+        for row in gone:
+            self.waiting.removeKey((row,))
+        yield from self._told(key, gone, "expired")
+
+    def close(self) -> None:
+        pass
+
+
+def pending_stream(events: DataFrame, ttl_ms: int = 86_400_000, max_attempts: int = 5, known_ttl_ms: int | None = None) -> DataFrame:
+    """Stream of (event: request or identity, dataset, lookup_key, source_row_id, resolved_id) -> links that
+    were resolved, ran into a conflict (too many attempts) or expired, each by its own deadline."""
+    _stateful(events.sparkSession)
+    keyed = events.select("event", "dataset", "lookup_key", "source_row_id", "resolved_id").groupBy("dataset", "lookup_key")
+    return keyed.transformWithStateInPandas(PendingLinks(ttl_ms, max_attempts, known_ttl_ms), PENDING, "append", "processingTime")
 
 
-def refresh_stream(pages: DataFrame, path: str, columns, pk: str, order: list[str], deleted, checkpoint: str):
-    """Keep a snapshot up to date from a stream of landed pages: each batch is a version (see ``read_snapshot``).
+def snapshot_log(path: str, pk: str, buckets: int = 64) -> KeyedLog:
+    """The snapshot that ``refresh_stream`` keeps, by primary key."""
+    return KeyedLog(path, (pk,), (pk,), buckets)
 
-    Rows lie in ``BUCKETS`` buckets by key. A batch reads and writes the buckets
-    that it has keys of; a manifest says which batch wrote each bucket last. A
-    repeated batch (after a lost driver) rewrites its own files only.
+
+def refresh_batch(log: KeyedLog, pages: DataFrame, version: int, columns, pk: str, order: list[str], deleted, compact_every: int = 0) -> None:
+    """One version of a snapshot: the rows that a batch of landed pages inserts or replaces are all that is written.
+
+    Every ``compact_every`` batches the merged rows are written as a base, so that
+    readers merge no more batches than that.
     """
+    names = [c.name for c in columns]
+    items = snapshots.project_items(pages.withColumn("__deleted", deleted), columns, keep=("__deleted", *order)).where("not __deleted and failed is null")
+    last = snapshots.last_wins(items, pk, order).select(*names)
+    log.append(last.withColumn(GONE, F.lit(False)), version)
+    if compact_every and log.pending_deltas(pages.sparkSession) >= compact_every:
+        log.compact(pages.sparkSession)
+
+
+def refresh_stream(pages: DataFrame, log: KeyedLog, columns, pk: str, order: list[str], deleted, checkpoint: str, compact_every: int = 0) -> StreamingQuery:
+    """Keep a snapshot up to date from a stream of landed pages: each batch is a version of ``log``; a repeated one replaces itself."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        names = [c.name for c in columns]
-        batch = batch.persist()
-        items = snapshots.project_items(batch.withColumn("__deleted", deleted), columns, keep=("__deleted",)).where("not __deleted and failed is null")
-        touched = sorted(r["bucket"] for r in items.select(_bucket(pk).alias("bucket")).distinct().collect())  # at most BUCKETS
-        empty = snapshots.project_items(batch.limit(0), columns).select(*names)
-        manifest = {} if not batch_id else {r["bucket"]: r["written"] for r in spark.read.parquet(f"{path}/manifest/v={batch_id - 1}").collect()}
-        held = [f"{path}/data/bucket={b}/written={manifest[b]}" for b in touched if b in manifest]
-        old = spark.read.parquet(*held).select(*names) if held else empty
-        state, _ = snapshots.refresh(old, batch, columns, pk, order, deleted)
-        made = state.drop("change").withColumn("bucket", _bucket(pk)).withColumn("written", F.lit(batch_id))
-        (
-            made.repartition(max(len(touched), 1), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "written").parquet(f"{path}/data")
-        )
-        now = manifest | dict.fromkeys(touched, batch_id)
-        spark.createDataFrame(sorted(now.items()), "bucket int, written int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={batch_id}")
-        batch.unpersist()
+        refresh_batch(log, batch, batch_id, columns, pk, order, deleted, compact_every)
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -150,3 +187,12 @@ def refresh_stream(pages: DataFrame, path: str, columns, pk: str, order: list[st
 def index_batch(batch: DataFrame, stored: DataFrame, record_id: str, keys) -> DataFrame:
     """New identity-index entries of a batch: those not stored yet."""
     return identity_index(batch, record_id, keys).join(stored, ["lookup_key", "id"], "left_anti")
+
+
+def index_stream(records: DataFrame, log: KeyedLog, record_id: str, keys, dataset: str, checkpoint: str) -> StreamingQuery:
+    """Keep a stored index up to date from a stream of records; a batch reads the buckets its keys lie in and writes its new entries."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        append_index(log, identity_index(batch, record_id, keys, dataset), batch_id)
+
+    return records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

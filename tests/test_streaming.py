@@ -46,6 +46,7 @@ def test_refresh_versions(spark, tmp_path):
         land(spark.createDataFrame(rows, kinds), tmp_path / "pages", 1_700_000_000 + i)
     pages = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "pages"))
     cols = [CacheColumn("id", F.col("id"), "bigint", required=True), CacheColumn("name", F.col("name"))]
-    state.refresh_stream(pages, str(tmp_path / "snap"), cols, "id", ["ord"], F.lit(False), str(tmp_path / "cp")).awaitTermination(120)
-    version = lambda v: {r.id: r.name for r in state.read_snapshot(spark, str(tmp_path / "snap"), v).collect()}
+    log = state.snapshot_log(str(tmp_path / "snap"), "id")
+    state.refresh_stream(pages, log, cols, "id", ["ord"], F.lit(False), str(tmp_path / "cp")).awaitTermination(120)
+    version = lambda v: {r.id: r.name for r in log.read(spark, v).collect()}
     assert version(0) == {1: "a", 2: "b"} and version(1) == {1: "c", 2: "b", 3: None}
