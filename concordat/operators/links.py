@@ -251,9 +251,15 @@ def _wave(df: DataFrame, row_id: str, rules: list[LinkRule], active: list[int],
     if narrowing or any(rules[i].position for i in active):
         entries = materialize(entries, "entries")
     stats = key_stats(entries)
-    hit = F.struct("ord", "n", "least", "lookup_key")
-    per = tried.join(stats, AT).groupBy(row_id).agg(*[F.min_by(hit, F.when(F.col("rule") == i, F.col("ord"))).alias(f"__c{i}") for i in active])
-    df = df.join(per, row_id, "left")
+    for i in active:
+        if len(rules[i].keys) == 1:  # nothing to choose from: rows meet the counts of their key where they are
+            mine = stats.where(F.col("dataset") == key(i)).select(F.col("lookup_key").alias("__lk"), F.struct("n", "least", "lookup_key").alias(f"__c{i}"))
+            df = df.join(mine, F.get(f"{rules[i].field}__keys", F.lit(0)) == F.col("__lk"), "left").drop("__lk")
+    several = [i for i in active if len(rules[i].keys) > 1]
+    if several:
+        hit = F.struct("ord", "n", "least", "lookup_key")
+        per = tried.where(F.col("rule").isin(several)).join(stats, AT).groupBy(row_id).agg(*[F.min_by(hit, F.when(F.col("rule") == i, F.col("ord"))).alias(f"__c{i}") for i in several])
+        df = df.join(per, row_id, "left")
     for i in active:
         f, c = rules[i].field, F.col(f"__c{i}")
         df = df.withColumns({f"__n{i}": c["n"], f"__one{i}": c["least"], f"__key{i}": c["lookup_key"], f"__set{i}": c["lookup_key"]})
@@ -272,37 +278,35 @@ def _wave(df: DataFrame, row_id: str, rules: list[LinkRule], active: list[int],
 def _narrow(df: DataFrame, field: str, i: int, groups: int, dataset: str, entries: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The counts of rows with several candidates after the rule's narrowing groups, in order.
 
-    A question is a deciding key with its narrowing groups; rows that ask the same
-    share it. A group's question holds all keys that candidates must have: those
-    that stood before and the group's own. Candidates come from the rarest of
-    them, and each other key has to hold them too. A group that leaves none is
-    passed over. Gives (rows, sets): ``sets`` (set, id) has the candidates of
-    narrowed questions beside those of keys.
+    ``sets`` (set, id) has the candidates of each key of the rule's data set; those
+    that groups leave are added to it. What a group asks is which ids the set that
+    stands so far and all keys of the group have in common: each such question is
+    answered once, however many rows ask it. Candidates come from the smallest of
+    these sets, and each other one has to hold them too. A group that leaves none
+    is passed over.
     """
     open_ = F.col(f"__n{i}") > 1
     asked = [F.col(f"__key{i}").alias("main"), F.col(f"{field}__narrow").alias("groups")]
-    first = df.where(open_).select(*asked, F.col(f"__n{i}").alias("n"), F.col(f"__one{i}").alias("least")).groupBy("main", "groups").agg(F.max("n").alias("n"), F.min("least").alias("least"))
-    q = materialize(first.withColumns({"qid": F.monotonically_increasing_id(), "keys": F.array("main"), "set": F.col("main")}), "questions")
-    mine = entries.where(F.col("dataset") == dataset).select("lookup_key", "id")
-    stats = key_stats(mine)
+    q = df.where(open_).select(*asked, F.col(f"__n{i}").alias("n"), F.col(f"__one{i}").alias("least")).groupBy("main", "groups").agg(F.max("n").alias("n"), F.min("least").alias("least"))
+    q = materialize(q.withColumn("set", F.col("main")), "questions")
+    mine = entries.where(F.col("dataset") == dataset)
+    sizes = key_stats(mine).select(F.col("lookup_key").alias("set"), "n")
     for g in range(0 if q.isEmpty() else groups):
         group = F.get("groups", F.lit(g))
-        step = q.where((F.col("n") > 1) & group.isNotNull()).select("qid", F.array_distinct(F.concat("keys", group)).alias("all"))
-        flat = step.select("qid", "all", F.explode("all").alias("lookup_key")).join(stats, "lookup_key")
-        start = flat.groupBy("qid").agg(F.min_by("lookup_key", F.struct("n", "lookup_key")).alias("rare"), F.count(F.lit(1)).alias("known"), F.first("all").alias("all"))
-        start = start.where(F.col("known") == F.size("all")).select("qid", F.col("rare").alias("lookup_key"), F.array_except("all", F.array("rare")).alias("rest"))
-        found = start.join(mine, "lookup_key").select("qid", "id", "rest")
-        held = found.select("qid", "id", F.size("rest").alias("m"), F.explode_outer("rest").alias("lookup_key")).join(mine.withColumn("__in", F.lit(1)), ["lookup_key", "id"], "left")
-        left = held.groupBy("qid", "id", "m").agg(F.count("__in").alias("k")).where("k = m").select("qid", "id")
-        left = materialize(left, "narrowed")
-        cut = left.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__l"))
-        took = F.col("__n").isNotNull()
-        mark = F.concat(F.lit(f"\0{i} {g} "), F.col("qid").cast("string"))  # no lookup key begins so
+        every = F.when((F.col("n") > 1) & group.isNotNull(), F.array_sort(F.array_distinct(F.concat(F.array("set"), group))))
+        q = q.withColumn("all", every)
+        step = materialize(q.where("all is not null").select("all").distinct().withColumn("sid", F.monotonically_increasing_id()), "steps")
+        flat = step.select("sid", "all", F.explode("all").alias("set")).join(sizes, "set")
+        start = flat.groupBy("sid", "all").agg(F.min_by("set", F.struct("n", "set")).alias("rare"), F.count(F.lit(1)).alias("known"))
+        start = start.where(F.col("known") == F.size("all")).select("sid", F.col("rare").alias("set"), F.array_except("all", F.array("rare")).alias("rest"))
+        found = start.join(sets, "set").select("sid", "id", F.size("rest").alias("m"), F.explode_outer("rest").alias("set"))
+        held = found.join(sets.withColumn("__in", F.lit(1)), ["set", "id"], "left").groupBy("sid", "id", "m").agg(F.count("__in").alias("k"))
+        left = materialize(held.where("k = m").select("sid", "id"), "narrowed")
+        mark = F.concat(F.lit(f"\0{i} {g} "), F.col("sid").cast("string"))  # no lookup key begins so
+        cut = left.groupBy("sid").agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__l")).join(step, "sid").select("all", mark.alias("__s"), "__n", "__l")
         sets = sets.unionByName(left.select(mark.alias("set"), "id"))
-        q = q.join(cut, "qid", "left").select(
-            "qid", "main", "groups", F.when(took, F.col("__n")).otherwise(F.col("n")).alias("n"), F.when(took, F.col("__l")).otherwise(F.col("least")).alias("least"),
-            F.when(took, F.array_distinct(F.concat("keys", group))).otherwise(F.col("keys")).alias("keys"), F.when(took, mark).otherwise(F.col("set")).alias("set"),
-        )
+        sizes = sizes.unionByName(cut.select(F.col("__s").alias("set"), F.col("__n").alias("n")))
+        q = q.join(cut, "all", "left").select("main", "groups", F.coalesce("__n", "n").alias("n"), F.coalesce("__l", "least").alias("least"), F.coalesce("__s", "set").alias("set"))
         q = materialize(q, "questions")
     told = q.select(F.col("main").alias("__main"), F.col("groups").alias("__groups"), F.col("n").alias("__qn"), F.col("least").alias("__ql"), F.col("set").alias("__qs"))
     out = df.join(told, (F.col(f"__key{i}") == F.col("__main")) & F.col(f"{field}__narrow").eqNullSafe(F.col("__groups")), "left")

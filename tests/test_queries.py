@@ -1,6 +1,6 @@
 import pytest
 
-from concordat import queries_detail, queries_links  # noqa: F401
+from concordat import queries_detail, queries_links, queries_stores  # noqa: F401
 from concordat.queries import QUERIES, SQL
 
 
