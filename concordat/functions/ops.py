@@ -112,7 +112,7 @@ def _trim(c):
 
 _put("lower", F.lower)
 _put("upper", F.upper)
-_put("title", lambda c: vector.title(c))
+_put("title", lambda c: text.title(c))
 _put("capitalize", lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2**31 - 1))))
 _put("upper_first", lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 2**31 - 1)))
 _put("transliterate", lambda c: vector.transliterate(c))

@@ -80,3 +80,16 @@ def canonical_segments(arr: Column, steps: list[tuple], drop_blank: bool = False
 def canonical_scalar(c: Column, steps: list[tuple], drop_blank: bool = False) -> Column:
     """One segment; '' when it was dropped."""
     return F.coalesce(F.get(canonical_segments(F.array(c), steps, drop_blank), F.lit(0)), F.lit(""))
+
+
+def title(c: Column) -> Column:
+    """Each run of letters that have a case begins with a capital and goes on in small ones, as in O'Neil."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]+|[^\p{IsLowercase}\p{IsUppercase}\p{Lt}]+"), F.lit(0))
+
+    def one(x: Column) -> Column:
+        # A letter whose capital is several (as of a ligature) keeps the first of them large.
+        head = F.upper(F.substring(x, 1, 1))
+        large = F.when(F.char_length(head) > 1, F.concat(F.substring(head, 1, 1), F.lower(F.substring(head, 2, 9)))).otherwise(F.initcap(F.substring(x, 1, 1)))
+        return F.concat(large, F.lower(F.substring(x, 2, 1 << 30)))
+
+    return F.array_join(F.transform(runs, one), "")

@@ -1,4 +1,4 @@
-"""The three text functions Spark SQL lacks, as Arrow helpers."""
+"""The two text functions Spark SQL lacks, as Arrow helpers."""
 
 from __future__ import annotations
 
@@ -17,22 +17,30 @@ TABLE = {ord(k): v for k, v in (CYRILLIC | GREEK | OTHER).items()}
 TABLE |= {ord(k.upper()): v.capitalize() for k, v in (CYRILLIC | GREEK | OTHER).items() if k.upper() != k and len(k.upper()) == 1}
 
 
+#: Sounds that Unicode's names of kana spell another way than Latin letters do.
+KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji", "du": "zu"}
+
+
+def _spelled(x: str) -> str:
+    """Kana and Hangul syllables as their Unicode names spell them; other characters as they are."""
+    if "\u3041" <= x <= "\u30fa" or "\uac00" <= x <= "\ud7a3":
+        name = unicodedata.name(x, "").lower()
+        if " letter " in name or name.startswith("hangul syllable "):
+            sound = name.rsplit(" ", 1)[1]
+            return KANA.get(sound, sound) if " letter " in name else sound
+    return x
+
+
 def to_ascii(s: str | None) -> str | None:
     """ASCII spelling of a text; letters without one are dropped."""
     if s is None or s.isascii():
         return s
     # Accents come off first where a letter has its own spelling without them (Greek), but й and ё keep theirs.
     bare = "".join(unicodedata.normalize("NFD", x)[0] if "Ͱ" <= x <= "Ͽ" or "ἀ" <= x <= "῿" else x for x in unicodedata.normalize("NFC", s))
-    plain = unicodedata.normalize("NFKD", bare.translate(TABLE))
+    plain = unicodedata.normalize("NFKD", "".join(map(_spelled, bare.translate(TABLE))))
     return plain.encode("ascii", "ignore").decode()
 
 
-@F.pandas_udf(T.StringType())
-def title(s: pd.Series) -> pd.Series:
-    """Capital after any non-letter, as in O'Neil."""
-    return s.map(lambda x: None if x is None else x.title())
-
-
 @F.pandas_udf(T.StringType())
 def transliterate(s: pd.Series) -> pd.Series:
     return s.map(to_ascii)

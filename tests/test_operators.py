@@ -193,3 +193,12 @@ def test_shared_folder_goes_with_its_application(spark):
     from concordat import session
 
     assert spark.sparkContext.applicationId in session.shared_dir(spark)
+
+
+def test_clear_order_and_sweep_interval(spark):
+    from datetime import datetime
+
+    one = spark.range(3)
+    emptied, counts = cache.clear({n: one for n in ("customer", "orders", "lineitem", "part")}, {"orders": ["customer"], "lineitem": ["orders", "part"], "customer": [], "part": []}, "customer")
+    assert list(emptied) == ["lineitem", "orders", "customer"] and [r.step for r in counts.orderBy("step").collect()] == [0, 1, 2]
+    assert pending.due(datetime(2024, 1, 1), datetime(2024, 1, 2), 3600) and not pending.due(datetime(2024, 1, 1), datetime(2024, 1, 1), 3600) and pending.due(None, datetime(2024, 1, 1), 1)

@@ -84,3 +84,13 @@ def test_registry():
         r.get("b")
     with pytest.raises(ValueError):
         OPS.apply(Op("parse_bool", {"true_values": ("x",), "false_values": ("X",)}), None)
+
+
+def test_title_and_spellings(spark):
+    """As str.title, whatever the letters; kana and Hangul are spelled out."""
+    from concordat.functions import text, vector
+
+    some = ["o'neil mc-donald", "ЖУК жук", "ßeta", "ﬁne", "a漢b", "ΣΑΣ ΟΔΟΣ", "", "ǆ x", "éa É", "x1y 2z", "they're", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in some], "x string").select(text.title(F.col("x"))).collect()]
+    assert got == [None if x is None else x.title() for x in some]
+    assert vector.to_ascii("カタカナ ひらがな し つ 한국 Привет") == "katakana hiragana shi tsu hangug Privet"
