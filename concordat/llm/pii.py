@@ -34,6 +34,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from concordat.session import materialize
 
@@ -54,7 +55,8 @@ CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(]?[0-9]\S*+)*+"
 #: What an unseen instance of a kind may look like.
 LIKE = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9a-fA-F]+(?:[.:][0-9a-fA-F]+){3,7}$", "card": r"^(?:[^0-9]*+[0-9]){13,19}[^0-9]*$", "phone": r"^[^A-Za-z@]*$"}
 PHONE_DIGITS = r"^(?:[^0-9]*+[0-9]){7,15}[^0-9]*$"
-#: Number groups of a run that can be one instance: each has a digit, and no kind has more digits.
+#: Number groups of a run that can be one instance: each has a digit, and no kind but email has more digits.
+#: An instance of the kind email is an address with up to so many groups in all.
 GROUPS = 19
 #: Matches whose lengths are added up in one go when places are computed.
 BLOCK = 64
@@ -183,42 +185,82 @@ def _bare(s: Column) -> Column:
     return F.regexp_replace(s, r"^[^0-9A-Za-z@+(]++|[^0-9A-Za-z]++$", "")
 
 
+def _before(numbers: Column) -> Column:
+    """Sums of the numbers before each place, the whole sum last, in two levels of blocks."""
+    step = F.lit(BLOCK)
+    blocks = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / step).cast("int")), lambda j: _sum(F.slice(x, j * step + 1, step)))
+    ahead = lambda x: F.transform(x, lambda _, j: _sum(F.slice(x, F.lit(1), j)))
+
+    def each(v: Column) -> Column:
+        def one(i: Column) -> Column:
+            block = F.floor(i / step).cast("int")
+            return F.get(v["ahead"], block) + _sum(F.slice(v["x"], block * step + 1, i % step))
+
+        return F.transform(F.sequence(F.lit(0), F.size(v["x"])), one)
+
+    return _let(numbers, lambda x: _let(blocks(x), lambda y: _let(F.struct(x.alias("x"), ahead(y).alias("ahead")), each)))
+
+
+#: Digits that a candidate of several groups must have: those of a phone number at least, of a card number at most.
+FEW, MANY = 7, 19
+
+
 def _cut(run: Column) -> Column:
-    """array<struct<start, s, last>> of the candidates in a run (start: from the run's own; last: its last group).
+    """array<struct<start, stop, s, before, after>> of the candidates in a run (start, s, before, after).
 
-    From each group on: the group alone, and the longest run of groups that may be an instance.
+    From each group on: the shortest and the longest run of groups that may be an
+    instance. Inside a run the words beside a candidate are the groups beside it;
+    at its ends those beside the run.
     """
 
     def cut(v: Column) -> Column:
-        groups = v["groups"]
+        groups, n = v["groups"], F.size(v["groups"])
 
         def from_group(i: Column) -> Column:
-            at = _sum(F.transform(F.slice(groups, F.lit(1), i), lambda g: F.length(g) + 1))
-            sizes = F.sequence(F.least(F.lit(GROUPS), F.size(groups) - i), F.lit(1), F.lit(-1))
-            made = F.transform(sizes, lambda k: F.struct(at.cast("int").alias("start"), _bare(F.array_join(F.slice(groups, i + 1, k), " ")).alias("s"), (i + k).cast("int").alias("last"), k.cast("int").alias("k")))
-            fits = F.filter(made, lambda x: _of_any_kind(x["s"]))
-            return F.filter(F.array_distinct(F.array(F.get(fits, F.lit(0)), F.try_element_at(fits, F.lit(-1)))), lambda x: x.isNotNull())
+            made = lambda k: _bare(F.array_join(F.slice(groups, i + 1, k), " "))
+            digits = lambda k: F.get(v["digits"], i + k) - F.get(v["digits"], i)
+            # Several groups make no address of dots or colons: what they may be shows in their digits or an @.
+            could = lambda k: (k == 1) | digits(k).between(FEW, MANY) | (F.get(v["ats"], i + k) > F.get(v["ats"], i))
+            pick = lambda sizes: F.aggregate(sizes, F.lit(None).cast("int"), lambda got, k: F.when(got.isNotNull(), got).when(could(k), F.when(_of_any_kind(made(k)), k)))
+            most = F.least(F.lit(GROUPS), n - i)
+            sizes = F.array_compact(F.array_distinct(F.array(pick(F.sequence(most, F.lit(1), F.lit(-1))), pick(F.sequence(F.lit(1), most)))))
+            lead = F.length(F.regexp_extract(F.get(groups, i), r"^[^0-9A-Za-z@+(]*+", 0))
+            start = v["run"]["start"] + F.get(v["starts"], i) + lead
+
+            def one(k: Column) -> Column:
+                before = F.when(i == 0, v["run"]["before"]).otherwise(F.lower(F.get(groups, i - 1)))
+                after = F.when(i + k == n, v["run"]["after"]).otherwise(F.lower(F.get(groups, i + k)))
+                return F.struct(start.cast("int").alias("start"), (start + F.length(made(k))).cast("int").alias("stop"), made(k).alias("s"), before.alias("before"), after.alias("after"))
+
+            return F.transform(sizes, one)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_group))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), from_group))
+    def counted(v: Column) -> Column:
+        sums = {"starts": lambda g: F.length(g) + 1, "digits": lambda g: F.length(_digits(g)), "ats": lambda g: F.length(g) - F.length(F.translate(g, "@", ""))}
+        return _let(F.struct(v["run"].alias("run"), v["groups"].alias("groups"), *[_before(F.transform(v["groups"], f)).alias(k) for k, f in sums.items()]), cut)
 
-    return _let(F.struct(F.split(run, " ", -1).alias("groups")), cut)
+    return _let(F.struct(run.alias("run"), F.split(run["s"], " ", -1).alias("groups")), counted)
 
 
 def _mentions(rows: DataFrame) -> DataFrame:
-    """Seeds and candidates: rid, kind (null: candidate), start, stop, s, before, after (the words beside it)."""
-    seeds = rows.where("size(base) > 0").select("rid", F.explode("base").alias("b")).select("rid", "b.*").select("rid", "kind", "start", "stop", "s", "before", "after")
-    runs = rows.where(F.col("text").rlike("[0-9@]")).select("rid", "base", F.explode(_places(F.col("text"), CANDIDATE)).alias("c"))
-    could = runs.select("rid", "base", "c", F.explode(_cut(F.col("c.s"))).alias("x")).where("x.s <> ''")
-    groups = F.split("c.s", " ", -1)
-    # Inside a run the words beside a candidate are the groups beside it; at its ends those beside the run.
-    first = F.col("x.last") - F.col("x.k")
-    before = F.when(first == 0, F.col("c.before")).otherwise(F.lower(F.get(groups, first - 1)))
-    after = F.when(F.col("x.last") == F.size(groups), F.col("c.after")).otherwise(F.lower(F.get(groups, F.col("x.last"))))
-    lead = F.length(F.regexp_extract(F.element_at(groups, first + 1), r"^[^0-9A-Za-z@+(]*+", 0))
-    start = F.col("c.start") + F.col("x.start") + lead
-    placed = could.select("rid", "base", start.alias("start"), (start + F.length("x.s")).alias("stop"), F.col("x.s").alias("s"), before.alias("before"), after.alias("after"))
-    free = placed.where(~F.exists("base", lambda x: (x["start"] < F.col("stop")) & (F.col("start") < x["stop"])))
-    return seeds.unionByName(free.select("rid", F.lit(None).cast("int").alias("kind"), "start", "stop", "s", "before", "after"))
+    """Seeds and candidates: rid, kind (null: candidate), start, stop, s, before, after (the words beside it).
+
+    Candidates that overlap a base span are none: one pass over the ends of the
+    former and the starts of the latter, in order, knows how far spans reach.
+    """
+    cols = ["rid", "kind", "start", "stop", "s", "before", "after"]
+    seeds = rows.where("size(base) > 0").select("rid", F.explode("base").alias("b")).select("rid", "b.*").select(*cols)
+
+    def candidates(some: DataFrame) -> DataFrame:
+        runs = some.where(F.col("text").rlike("[0-9@]")).select("rid", F.explode(_places(F.col("text"), CANDIDATE)).alias("c"))
+        return runs.select("rid", F.explode(_cut(F.col("c"))).alias("x")).where("x.s <> ''").select("rid", F.lit(None).cast("int").alias("kind"), "x.*").select(*cols)
+
+    base = seeds.select("rid", F.col("start").alias("pos"), F.lit(1).alias("is_base"), F.col("stop").alias("reach"), *[F.lit(None).cast(t).alias(c) for c, t in zip(cols[1:], ("int", "int", "int", "string", "string", "string"))])
+    mixed = candidates(rows.where("size(base) > 0")).select("rid", F.col("stop").alias("pos"), F.lit(0).alias("is_base"), F.lit(None).cast("int").alias("reach"), *cols[1:])
+    w = Window.partitionBy("rid").orderBy("pos", "is_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = mixed.unionByName(base).withColumn("reach", F.max("reach").over(w)).where("is_base = 0 and (reach is null or reach <= start)")
+    return seeds.unionByName(candidates(rows.where("size(base) = 0"))).unionByName(swept.select(*cols))
 
 
 def bootstrap(rows: DataFrame, corpus: DataFrame, params: Params = Params()) -> DataFrame:
@@ -263,11 +305,16 @@ def bootstrap(rows: DataFrame, corpus: DataFrame, params: Params = Params()) ->
         instances = materialize(known.unionByName(found.join(known.select("s").distinct(), "s", "left_anti")), "instances")
     best = instances.where(F.col("conf") >= params.accept).groupBy("s").agg(F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("b"))
     spans = mentions.where("kind is null").join(best, "s").select("rid", (-F.col("b.k")).alias("kind"), "start", "stop", F.col("b.conf").alias("conf")).distinct()
+    spans = materialize(spans, "found")
     # Of candidates that overlap, the more trusted one stays, of equal ones the longer, then the first.
-    a, b = spans.alias("a"), spans.alias("b")
+    # Those that overlap share a stretch of the text; a stretch has no more spans than characters, about.
+    stretch = lambda c: F.floor(c / F.lit(BLOCK))
+    cells = spans.withColumn("cell", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("stop") - 1))))
+    a, b = cells.alias("a"), cells.alias("b")
     rank = lambda t: F.struct(F.col(f"{t}.conf"), F.col(f"{t}.stop") - F.col(f"{t}.start"), -F.col(f"{t}.start"))
-    over = (F.col("a.rid") == F.col("b.rid")) & (F.col("a.start") < F.col("b.stop")) & (F.col("b.start") < F.col("a.stop")) & (rank("a") < rank("b"))
-    return a.join(b, over, "left_anti").select("rid", "kind", "start", "stop")
+    over = (F.col("a.rid") == F.col("b.rid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.start") < F.col("b.stop")) & (F.col("b.start") < F.col("a.stop")) & (rank("a") < rank("b"))
+    worse = a.join(b, over, "left_semi").select("rid", "kind", "start", "stop").distinct()
+    return spans.select("rid", "kind", "start", "stop").join(worse, ["rid", "kind", "start", "stop"], "left_anti")
 
 
 def _is(kind: int):
