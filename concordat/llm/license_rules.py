@@ -338,6 +338,9 @@ class Rule:
     weight: float  # confidence of a detection
 
 
+#: How a passage of at most five words ends that is but the name of a license.
+BARE = re.compile(r"(?:licen[sc]e(?: agreement)?|eula|terms of use)$")
+
 #: Ways a name is used, most telling first: (before the name, after it, priority, weight).
 FORMS = (
     (r"spdx licen[sc]e identifier (?:", r")", 90, 1.0),
@@ -406,5 +409,9 @@ def rules() -> list[tuple[tuple[str, ...], list[Rule]]]:
         ]
         out.append((gates_of(names), own))
     # A longer signature is the more exact one: the scan prefers it at equal priority.
-    out += [(gates_of(((label, regex),)), [Rule(label, regex, 9500, 1.0)]) for label, regex in BODIES]
+    # A bare name among them counts like any other name that stands alone.
+    _, _, priority, weight = FORMS[-1]
+    for label, regex in BODIES:
+        rank = (priority * 100, weight) if all(BARE.search(x) and len(x.split()) <= 5 for x in spellings(regex)) else (9500, 1.0)
+        out.append((gates_of(((label, regex),)), [Rule(label, regex, *rank)]))
     return out

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,12 @@ class Scanner:
         self.gates = {g for gates, _ in self.families for g in gates} | {phrase.split()[0] for phrase, _ in self.base}
 
     def base_places(self, joined: bytes) -> list[tuple[int, str]]:
-        """(word index, label) of every place of a base phrase, overlapping ones too."""
+        """(start byte, label) of every place of a base phrase, overlapping ones too."""
         out = []
         for phrase, label in self.base:
             at = joined.find(phrase)
             while at >= 0:
-                out.append((joined.count(b" ", 0, at), label))
+                out.append((at, label))
                 at = joined.find(phrase, at + 1)
         return out
 
@@ -51,11 +52,7 @@ class Scanner:
                 for r, regex in own:
                     found += [(m.start(), m.end(), r.label, r.priority, r.weight) for m in regex.finditer(joined)]
         found.sort(key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
-        kept: list[tuple[int, int, str, int, float]] = []
-        for d in found:
-            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-                kept.append(d)
-        return sorted(kept)
+        return sorted(suppress(found))
 
     def scan(self, text: str | None) -> dict:
         ws = words(text)
@@ -63,17 +60,43 @@ class Scanner:
         present = set(ws)
         if not present.isdisjoint(self.gates):
             joined = b" " + b" ".join(ws) + b" "
+            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            word_at = lambda at: np.searchsorted(spaces, np.array(at, np.int64)).tolist()  # noqa: E731  spaces before a place
             base = self.base_places(joined)
             kept = self.detections(joined, present)
             labels = {label for _, label in base}
-            at = [i for i, _ in base]
+            at = word_at([i for i, _ in base])
             out |= {"n_base": len(base), "first_word": min(at, default=None), "last_word": max(at, default=None), "base_labels": ",".join(sorted(labels))}
             out["labels"] = ",".join(sorted(labels | {d[2] for d in kept}))
             out["score"] = 1.0 if base else max((d[4] for d in kept), default=0.0)
-            out["spans"] = [{"label": d[2], "first": joined.count(b" ", 0, d[0]) - 1, "last": joined.count(b" ", 0, d[1]) - 1} for d in kept]
+            first, last = word_at([d[0] for d in kept]), word_at([d[1] for d in kept])
+            out["spans"] = [{"label": d[2], "first": a - 1, "last": b - 1} for d, a, b in zip(kept, first, last)]
         return out
 
 
+def suppress(found: list[tuple]) -> list[tuple]:
+    """Those of (start, end, ...), best first, that lie inside none kept before.
+
+    Some interval kept so far holds a new one if, of those that start no later, the
+    furthest end is no nearer: running maxima over ranks of starts, in a binary
+    indexed tree, tell that in the logarithm of their number.
+    """
+    rank = {at: i + 1 for i, at in enumerate(sorted({d[0] for d in found}))}
+    furthest, kept = [-1] * (len(rank) + 1), []
+    for d in found:
+        i, end = rank[d[0]], -1
+        while i:
+            end = max(end, furthest[i])
+            i &= i - 1
+        if end < d[1]:
+            kept.append(d)
+            i = rank[d[0]]
+            while i < len(furthest):
+                furthest[i] = max(furthest[i], d[1])
+                i += i & -i
+    return kept
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first and last word) of every row."""
 
