@@ -4,7 +4,8 @@ Every block element is a node with a hidden state, content or boilerplate.
 Parent-child potentials tie neighbours, emission potentials tie a node to its
 tag, class and id words, length and link share. Both are trained by counting on
 labelled pages: a few pages labelled by hand (``LABELLED``) and pages of the
-input that mark their own article with ``<article>`` or ``<main>``. Sum-product
+input that mark their own article with one ``<article>``, or else one ``<main>``
+(pages with several of either train nothing). Sum-product
 message passing, one upward and one downward pass, gives each node's content
 marginal; the text blocks of nodes at 0.5 or more are the main text, in page
 order, joined by two line breaks. Nothing else is dropped or cut.
@@ -46,6 +47,17 @@ LABELLED = (
     '<body data-is=b><div class="sidebar"><p>Latest</p></div><div data-is=c class="article-body"><p>The text of the article stands in a box of its own, as it does on many pages.</p><p>More of it.</p></div><div class="footer"><p>Terms</p></div></body>',
     '<body data-is=b><div class="topmenu menu"><a href=#>Start</a></div><div data-is=c class="page text"><div class="post-content"><h2>Head</h2><p>The text of the post stands here.</p></div></div><div class="comments"><p>First!</p></div></body>',
     '<body data-is=b><div data-is=c class="story article"><div class="entry"><p>One more story, with a few words in its text.</p></div></div><div class="banner ads"><p>Sale</p></div></body>',
+    # Layout tables: the cells of one row are menu, article and margin.
+    '<body data-is=b><table class="layout"><tr><td class="header">The town paper</td></tr><tr><td class="menu"><a href=#>Front page</a><ul><li><a href=#>Sport</a></li></ul></td><td data-is=c><h1>Old bridge closed</h1><p>The bridge over the river was closed to all traffic on Monday, and will stay so until the spring.</p><p>Walkers may still cross.</p></td><td class="sidebar"><p>Weather and tides</p></td></tr><tr><td class="footer">All rights reserved</td></tr></table></body>',
+    '<body data-is=b><center><table><tr><td><a href=#>Home</a></td><td><a href=#>Archive</a></td></tr></table></center><table data-is=c><tr><td><h2>Notes on bread</h2></td></tr><tr><td><p>Bread needs time more than it needs work, which is why it suits people who stay at home.</p><table><tr><th>Flour</th><td>500 g</td></tr><tr><th>Water</th><td>350 g</td></tr></table></td></tr></table><table><tr><td class="copyright">Contact</td></tr></table></body>',
+    '<body data-is=b><table id="main"><tbody><tr><td class="nav left"><ul><li><a href=#>Start</a></li><li><a href=#>Shop</a></li></ul></td><td class="content" data-is=c><p>This text stands in a cell of its own, and has no heading at all above it.</p><p>It goes on here for some words more.</p></td><td class="ads"><p>Buy two and pay for one</p></td></tr></tbody></table></body>',
+    '<body data-is=b><table><tbody><tr><td><table><tr><td class="logo">The village</td><td><a href=#>Index</a></td></tr></table></td></tr><tr data-is=c><td><table><tr><td><h1>The well</h1></td></tr><tr><td><p>The old well behind the church was dug out again last summer by twelve people and a goat.</p></td></tr><tr><td><p>It holds water now.</p></td></tr></table></td></tr></tbody></table></body>',
+    # Sections of the text itself.
+    '<body data-is=b><header class="top"><ul><li><a href=#>Home</a></li></ul></header><main data-is=c><section><h2>First part</h2><p>The first part tells of the year in which the mill was built, and who paid for it.</p></section><section><h2>Second part</h2><p>The second part tells how it burnt down, and why nobody was sad.</p><p>It was insured.</p></section><section><h2>Third</h2><p>And so on.</p></section></main><section class="newsletter"><p>Get our letter</p></section><footer><p>Imprint</p></footer></body>',
+    # Parts of an article that open on a click, forms and remarks of readers inside it.
+    '<body data-is=b><nav><a href=#>Home</a></nav><article data-is=c><h1>Questions</h1><p>Some things are asked again and again, so here are the answers to them.</p><details><summary>What does it cost?</summary><p>Nothing at all, and it never will, as long as there are people who help.</p></details><details><summary>More</summary><p>There is more to read in the next part.</p><ul><li>One point</li></ul></details>'
+    '<section class="comments" id="comments" data-is=b><h3>2 comments</h3><ol class="comment-list"><li class="comment"><p>Thank you, that was what I wanted to know all along.</p></li></ol><form><p>Leave a reply</p></form></section></article></body>',
+    '<body data-is=b><main><div class="post" data-is=c><h1>On rain</h1><p>It rained for a week, and when it stopped the roads were gone.</p><address>Written by the river</address><fieldset><legend>Note</legend><p>A box with a note that belongs to the text.</p></fieldset><div id="respond" class="respond discussion" data-is=b><h2>Responses</h2><div><p>We had the same here last year, it was hard.</p></div></div></div></main></body>',
 )
 
 
@@ -78,6 +90,10 @@ def count_page(dom: Dom, state: list[int]) -> Counter:
     return c
 
 
+#: Names of sections for readers' remarks: boilerplate in an article too, heading and all.
+REMARKS = frozenset("comment comments commentlist discussion respond replies disqus".split())
+
+
 def own_labels(dom: Dom) -> list[int] | None:
     """States of a page that marks one article (or else one main part) of its own; None otherwise."""
     for kind in ("article", "main"):
@@ -91,7 +107,7 @@ def own_labels(dom: Dom) -> list[int] | None:
     for i in range(1, len(dom.tag)):
         if i == roots[0]:
             state[i] = CONTENT
-        elif dom.tag[i] not in inner:
+        elif dom.tag[i] not in inner and REMARKS.isdisjoint(dom.names[i]):
             state[i] = state[dom.parent[i]]
     return state
 
