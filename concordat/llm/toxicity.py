@@ -12,7 +12,12 @@ hashed. Only features that are telling count: their share of the positives is
 ``ratio`` times that of the unlabelled texts at least, whatever the number of
 texts, and surely more than chance (see ``telling``). A text's logit is a bias
 plus the weights of its features, divided by the root of the number of all its
-features (the norm of its vector), so that no text gathers a score by length.
+features (the norm of its vector), so that no text gathers a score by length. A
+text of more than ``WINDOW`` words is scored by the most toxic of the whole and of
+its stretches of so many words (they begin every ``STEP`` words, the last one ends
+with the text), so that clean text hides no toxic stretch. A stretch counts without
+its one strongest word: of the many stretches of a long text some hold a word that
+is there by chance, which alone is no evidence.
 
 Training reads a bounded sample (``max_positive``, ``max_unlabelled``: expected
 sizes, taken by a hash of the id). Feature counts of the sample are summed in
@@ -40,6 +45,8 @@ from concordat.session import materialize
 
 BITS = 20
 GRAM = 4
+#: Words of a stretch that is scored, and words from one stretch to the next.
+WINDOW, STEP = 200, 100
 #: Words a Python worker remembers; beyond that the memory starts anew.
 MEMO = 400_000
 #: Bytes of the longest word that is remembered.
@@ -224,11 +231,10 @@ def scorer(w: np.ndarray, bias: float):
     memo: dict[bytes, tuple[float, int]] = {}
     weights = array("f", w)
 
-    def of(text: str | None) -> float:
-        if len(memo) > MEMO:
-            memo.clear()
-        z, n = 0.0, 0
-        for x in set(words(text)):
+    def logit(stretch: list[bytes], chance: bool = False) -> float:
+        """Logit of some words; with ``chance`` without the strongest of them."""
+        z, n, top = 0.0, 0, 0.0
+        for x in set(stretch):
             try:
                 a, k = memo[x]
             except KeyError:
@@ -238,12 +244,27 @@ def scorer(w: np.ndarray, bias: float):
                     memo[x] = a, k
             z += a
             n += k
-        z = bias + z / max(n, 1) ** 0.5
+            if a > top:
+                top = a
+        return bias + (z - top if chance else z) / max(n, 1) ** 0.5
+
+    def of(text: str | None) -> float:
+        if len(memo) > MEMO:
+            memo.clear()
+        ws = words(text)
+        z = logit(ws)
+        if len(ws) > WINDOW:
+            z = max(z, max(logit(ws[i : i + WINDOW], True) for i in stretches(len(ws))))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
     return of
 
 
+def stretches(n: int) -> list[int]:
+    """Where the stretches of a text of ``n`` words begin: every word is in one."""
+    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STEP), n - WINDOW]
+
+
 def drop_toxic(docs: DataFrame, model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, whose text scores under ``threshold``."""
     w, bias = model

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import string
 import zlib
@@ -50,7 +51,8 @@ def test_decontaminate_edges(spark, hard):
 
 
 def test_bpe_equals_tiktoken(spark, sf, hard):
-    tiktoken = pytest.importorskip("tiktoken")
+    import tiktoken
+
     path = queries.vocabulary(queries.BPE_FILE)
     ranks = bpe.load_ranks(path)
     enc = tiktoken.Encoding("own", pat_str=queries.pattern(), mergeable_ranks=ranks, special_tokens={})
@@ -541,3 +543,20 @@ def test_pii_places_of_many_matches(spark):
     got = {r.doc_id: r for r in pii.find(df).collect()}
     want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(BASE["email"], text))
     assert got[1].spans == want and got[1].n_email == 700 and got[2].spans == got[3].spans == ""
+
+
+def test_toxicity_is_not_hidden_by_clean_text(spark):
+    """A toxic stretch anywhere in a long text is found; the stretches cover every word."""
+    for n in (0, 1, 199, 200, 201, 300, 301, 5000):
+        starts = toxicity.stretches(n)
+        assert {i for s in starts for i in range(s, min(s + toxicity.WINDOW, n))} == set(range(n)) and all(s + toxicity.WINDOW <= max(n, toxicity.WINDOW) for s in starts)
+    rnd = random.Random(3)
+    clean = lambda n: " ".join(f"word{rnd.randint(0, 300)}" for _ in range(n))
+    bad = lambda: " ".join(f"vile{rnd.randint(10, 49)} word{rnd.randint(0, 300)}" for _ in range(60))
+    docs = [(i, bad() if i % 4 == 0 else clean(120)) for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    long = [f"{clean(a)} {bad()} {clean(b)}" for a, b in ((0, 3000), (1500, 1500), (3000, 0), (777, 4000))] + [clean(4000) for _ in range(4)]
+    got = [r.score >= 0.5 for r in toxicity.score(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert got == [True] * 4 + [False] * 4
