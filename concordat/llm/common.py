@@ -18,8 +18,9 @@ BATCH_ROWS = 250
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The word class: after A-Z are lower-cased, everything but these separators.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The word class: after A-Z are lower-cased, everything but the other ASCII characters,
+#: as ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``. Java takes seven times as long for the negated form.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 
 #: Byte table for the same words: lower-case A-Z, blank out ASCII separators.
 #: UTF-8 never uses ASCII bytes inside a longer character, so bytes are enough.

@@ -50,6 +50,23 @@ def test_decontaminate_edges(spark, hard):
     assert decontaminate.keep_uncontaminated(clash, b).count() == clash.count() - 3
 
 
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WORDS, 0])
+def test_decontaminate_splits_each_text_once_a_pass(spark, sf, bound, monkeypatch):
+    plans, write = [], decontaminate.materialize
+    plan = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, tag: (plan(df), write(df, tag))[1])
+    plan(decontaminate.decontaminate(docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), broadcast_words=bound))
+    # Windows, counts and the result; beyond the bound the hits (places and comparison) are a pass of their own.
+    assert sum(p.count("regexp_extract_all(") for p in plans) == (3 if bound else 5), plans
+
+
+def test_words_are_those_of_the_contract(spark):
+    texts = ["".join(map(chr, range(i, i + 2048))) for i in range(0, 0xD800, 2048)] + ["".join(map(chr, range(i, i + 8192))) for i in range(0xE000, 0x110000, 8192)]
+    texts += ["".join(f"{chr(i)}a{chr(i)}B" for i in range(1, 256)), *HARD]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", decontaminate.words_of(F.col("text")).alias("w")).collect()
+    assert {r.id: r.w for r in got} == {i: WORD.findall((t or "").translate(LOW)) for i, t in enumerate(texts)}
+
+
 def test_bpe_equals_tiktoken(spark, sf, hard):
     import tiktoken
 
